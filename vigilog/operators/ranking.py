@@ -126,11 +126,10 @@ def running_sums(
     if keys:
         cuts = placed.groupBy(*keys).agg(borders.alias("_cuts"))
         placed = placed.join(cuts, keys)
-        cut_points = F.col("_cuts")
     else:
-        cut_points = placed.agg(borders).scalar()
+        placed = placed.withColumn("_cuts", placed.agg(borders).scalar())
     placed = placed.withColumn(
-        "_b", F.size(F.filter(cut_points, lambda c: c < F.col("_o")))
+        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_o")))
     ).drop("_cuts")
     sums = placed.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -151,18 +150,23 @@ def running_sums(
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs: dict[str, float], keys: list[str] | None = None
+    df: DataFrame,
+    column: str,
+    probs: dict[str, float],
+    keys: list[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles with linear interpolation between neighbours, one row per key group.
 
-    ``probs`` maps output names to probabilities. Equal values collapse first;
-    no value list of a whole group is ever held in one place.
+    ``probs`` maps output names to probabilities; a row counts ``weight`` times.
+    Equal values collapse first; no value list of a whole group is ever held in
+    one place.
     """
     keys = list(keys or [])
     counted = (
         df.where(F.col(column).isNotNull())
         .groupBy(*keys, F.col(column).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     )
     placed = running_sums(counted, "_v", ["_n"], keys)
 
