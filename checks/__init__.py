@@ -1,5 +1,5 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from . import normalization
+from . import normalization, scores, tables, windows
 
-ALL = [normalization.checks]
+ALL = [part.checks for part in (normalization, tables, windows, scores)]

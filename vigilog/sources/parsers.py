@@ -149,7 +149,7 @@ def _web(df: DataFrame, line: Column, pattern: str, event: str) -> DataFrame:
         df.withColumn("_g", capture(line, pattern, 9))
         .withColumns(
             {
-                "timestamp": parse_ts(group(g, 3), DEFAULT_YEAR),
+                "timestamp": parse_ts(group(g, 3), DEFAULT_YEAR, "web"),
                 "ip": group(g, 1),
                 "user": known(2),
                 "event_type": F.lit(event),
@@ -206,7 +206,7 @@ def parse_auth(df: DataFrame, ruleset: str = "auth", reference_year: int = DEFAU
     g, message = F.col("_g"), F.col("_message")
     pattern = SYSLOG_LINE_AGENT if ruleset == "agent" else SYSLOG_LINE
     df = df.withColumn("_g", capture(F.col("value"), pattern, 5)).withColumns(
-        {"_message": group(g, 5), "timestamp": parse_ts(group(g, 1), reference_year)}
+        {"_message": group(g, 5), "timestamp": parse_ts(group(g, 1), reference_year, "syslog")}
     )
     if ruleset == "agent":
         found = {
@@ -257,7 +257,7 @@ def parse_firewall(df: DataFrame) -> DataFrame:
         df.withColumn("_c", csv_fields(line))
         .withColumns(
             {
-                "timestamp": F.when(complete, parse_ts(group(c, 0), DEFAULT_YEAR)),
+                "timestamp": F.when(complete, parse_ts(group(c, 0), DEFAULT_YEAR, "plain")),
                 "ip": group(c, 1),
                 "user": F.lit(None).cast("string"),
                 "event_type": group(c, 6),
@@ -351,7 +351,7 @@ def parse_postgres(df: DataFrame) -> DataFrame:
         .withColumn("_message", group(g, 5))
         .withColumns(
             {
-                "timestamp": parse_ts(group(g, 1), DEFAULT_YEAR),
+                "timestamp": parse_ts(group(g, 1), DEFAULT_YEAR, "plain"),
                 "ip": first_match(message, FROM_ADDRESS),
                 "user": F.substring_index(account, "@", 1),
                 "event_type": _first_rule(F.lower(message), DATABASE_EVENTS, "db_event"),

@@ -8,7 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import DEFAULT_SALT, log_id, mask_pii, pseudonym
+from ..functions.identity import (
+    DEFAULT_SALT,
+    log_id,
+    mask_emails,
+    mask_named_tokens,
+    pseudonym,
+)
 from ..functions.text import empty_to_null
 from ..schema import DEAD_LETTER, LOG_COLUMNS, LOG_SOURCES, LOGS, conform
 from . import parsers
@@ -47,14 +53,15 @@ def normalize(raw: DataFrame, source: str, salt: str = DEFAULT_SALT, **options)
     parsed = parser(raw, **options)
     have = set(raw.columns)
     failed = F.col("timestamp").isNull() | F.col("event_type").isNull()
-    return parsed.select(
+    # Masking goes in two projections: the second pass reads the first one's result often.
+    return parsed.withColumn("_masked", mask_emails(F.col("value"), salt)).select(
         log_id(F.col("value")).alias("log_id"),
         "timestamp",
         F.lit(label).alias("source"),
         empty_to_null(F.col("ip")).alias("ip"),
         pseudonym(empty_to_null(F.col("user")), salt).alias("user"),
         "event_type",
-        mask_pii(F.col("value"), salt).alias("raw"),
+        mask_named_tokens(F.col("_masked"), salt).alias("raw"),
         "metadata",
         (F.col("filename") if "filename" in have else F.lit(None).cast("string")).alias("filename"),
         (F.col("line_num") if "line_num" in have else F.lit(None).cast("long")).alias("line_num"),
@@ -62,15 +69,21 @@ def normalize(raw: DataFrame, source: str, salt: str = DEFAULT_SALT, **options)
     )
 
 
-def normalize_mixed(raw: DataFrame, salt: str = DEFAULT_SALT, **options: dict) -> DataFrame:
+def normalize_mixed(
+    raw: DataFrame,
+    salt: str = DEFAULT_SALT,
+    names: tuple[str, ...] | None = None,
+    **options: dict,
+) -> DataFrame:
     """Lines of many files: each goes to the parser its ``source`` column names.
 
     The file-name rule is a predicate on file metadata, so every branch of the
-    union lists only its own files. Lines of unknown sources are left out.
+    union lists only its own files. Lines of unknown sources are left out, as
+    are those of sources not in ``names`` when that is given.
     """
     branches = [
         normalize(raw.where(F.col("source") == name), name, salt, **options.get(name, {}))
-        for name in _SOURCES
+        for name in (names or tuple(_SOURCES))
     ]
     return reduce(DataFrame.unionByName, branches)
 
