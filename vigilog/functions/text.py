@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as Unicode plus the four information separators.
@@ -70,3 +70,13 @@ def digits_or_text(value: Column) -> Column:
     """A number where the text is all digits, else the text, as VARIANT for JSON output."""
     number = F.when(F.regexp_like(value, F.lit("^[0-9]+$")), value.try_cast("bigint"))
     return F.coalesce(number.cast("variant"), value.cast("variant"))
+
+
+def stage(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once, however often and wherever it is used.
+
+    A plain projection lets filters above it be rewritten in terms of its
+    expression, which repeats an expensive regex for every reference. A
+    one-element generator keeps later filters above the computed value.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

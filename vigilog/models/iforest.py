@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import exact_quantiles, hash_sample
 from ..schema import MODEL_FEATURES
+from ..session import cut_lineage
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double"
@@ -131,7 +132,8 @@ def fit_iforest(
     local = train.sparkSession.createDataFrame(nodes.toPandas(), NODE_SCHEMA)
     forest = IsolationForest(local, names, size)
     if contamination is not None:
-        scored = raw_scores(train, forest).select((-F.col("_s")).alias("score"))
+        # The quantile reads its input several times: score once and keep the scores.
+        scored = cut_lineage(raw_scores(train, forest).select((-F.col("_s")).alias("score")))
         row = exact_quantiles(scored, "score", {"offset": contamination}).first()
         forest.offset = float(row["offset"])
     return forest

@@ -108,7 +108,7 @@ def fit_lof(
         own = _factor(neighbours, density).join(
             points.select(F.col("pid").alias("qid"), "mult"), "qid"
         )
-        scored = own.select((-F.col("lof")).alias("score"), "mult")
+        scored = cut_lineage(own.select((-F.col("lof")).alias("score"), "mult"))
         row = exact_quantiles(scored, "score", {"offset": contamination}, weight="mult").first()
         model.offset = float(row["offset"])
     return model

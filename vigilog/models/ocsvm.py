@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import exact_quantiles
 from ..schema import MODEL_FEATURES
+from ..session import cut_lineage
 
 
 @dataclass
@@ -103,7 +104,7 @@ def fit_ocsvm(
             average += (w - average) / step
         model = OneClassSvm(names, omega, phases, average, 0.0)
         # The offset is the exact nu quantile, so the share outside equals nu.
-        margins = _margins(data, model, "score").select("score")
+        margins = cut_lineage(_margins(data, model, "score").select("score"))
         model.rho = float(exact_quantiles(margins, "score", {"offset": nu}).first()["offset"])
         return model
     finally:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import event_class, risk
 from ..operators.features import extract_features, with_src_count
+from ..session import cut_lineage
 
 
 def rank_addresses(logs: DataFrame, minutes: int, limit: int = 10) -> DataFrame:
@@ -30,6 +31,8 @@ def _top(scored: DataFrame, limit: int) -> DataFrame:
         F.count("*").alias("windows"),
         F.sum("src_count").alias("signals"),
     )
+    # The maximum and the ranking both read this small table: the lines are processed once.
+    groups = cut_lineage(groups)
     per_address = groups.groupBy("ip").agg(
         F.collect_list(F.struct("score", "event_type", "source")).alias("parts"),
         F.max("score").alias("top"),

@@ -18,15 +18,12 @@ from .training import score_with
 def score_windows(features: DataFrame, scaler: DataFrame, model, score_max: float | None = None) -> DataFrame:
     """Feature rows with src_count, anomaly_score, is_anomaly, event_type and risk_score.
 
-    The scored rows keep the unscaled signals: scaled values live in a side array only.
+    The measured signals travel next to the scaled ones, so nothing is joined back.
     """
     counted = with_src_count(features)
-    inputs = scale(model_inputs(counted), scaler)
-    scored = score_with(
-        inputs.select("feature_id", *MODEL_FEATURES), model
-    ).select("feature_id", "anomaly_score", "is_anomaly")
-    joined = counted.join(scored, "feature_id")
-    classed = classify_event(joined)
+    inputs = model_inputs(counted.withColumn("_row", F.struct("*")))
+    scored = score_with(scale(inputs, scaler).select("_row", *MODEL_FEATURES), model)
+    classed = classify_event(scored.select("_row.*", "anomaly_score", "is_anomaly"))
     if score_max is None:
         # The maximum is taken over the scores, so they are computed once and kept.
         classed = cut_lineage(classed)

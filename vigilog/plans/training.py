@@ -55,7 +55,8 @@ def train(
     labelled = label_by_ip(model_inputs(features), attackers).withColumn(
         "y", F.col("is_attack").cast("int")
     )
-    split = cut_lineage(temporal_split(labelled, ratio, seed=seed))
+    # The split counts and ranks its input: extract the features once.
+    split = cut_lineage(temporal_split(cut_lineage(labelled), ratio, seed=seed))
     part = split.where(F.col("split") == "train")
     scaler = fit_scaler(part)
     scaled = cut_lineage(scale(part, scaler))

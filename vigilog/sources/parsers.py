@@ -18,6 +18,7 @@ from ..functions.text import (
     empty_to_null,
     first_match,
     group,
+    stage,
 )
 from ..functions.timestamps import parse_ts
 
@@ -146,7 +147,7 @@ def _web(df: DataFrame, line: Column, pattern: str, event: str) -> DataFrame:
         )
     )
     return (
-        df.withColumn("_g", capture(line, pattern, 9))
+        stage(df, "_g", capture(line, pattern, 9))
         .withColumns(
             {
                 "timestamp": parse_ts(group(g, 3), DEFAULT_YEAR, "web"),
@@ -205,14 +206,11 @@ def parse_auth(df: DataFrame, ruleset: str = "auth", reference_year: int = DEFAU
     """Syslog authentication lines under the 'auth', 'secrepo_auth' or 'agent' rules."""
     g, message = F.col("_g"), F.col("_message")
     pattern = SYSLOG_LINE_AGENT if ruleset == "agent" else SYSLOG_LINE
-    df = df.withColumn("_g", capture(F.col("value"), pattern, 5)).withColumns(
+    df = stage(df, "_g", capture(F.col("value"), pattern, 5)).withColumns(
         {"_message": group(g, 5), "timestamp": parse_ts(group(g, 1), reference_year, "syslog")}
     )
     if ruleset == "agent":
-        found = {
-            "_a": _agent_match(message),
-        }
-        df = df.withColumns(found).withColumns(
+        df = stage(df, "_a", _agent_match(message)).withColumns(
             {"ip": F.col("_a.ip"), "user": F.col("_a.user"), "event_type": F.col("_a.event")}
         )
     else:
@@ -254,7 +252,7 @@ def parse_firewall(df: DataFrame) -> DataFrame:
         )
     )
     return (
-        df.withColumn("_c", csv_fields(line))
+        stage(df, "_c", csv_fields(line))
         .withColumns(
             {
                 "timestamp": F.when(complete, parse_ts(group(c, 0), DEFAULT_YEAR, "plain")),
@@ -278,9 +276,8 @@ def parse_firewall_realworld(df: DataFrame) -> DataFrame:
             return F.lower(field)
         return field.try_cast("double" if name == "elapsed_time" else "bigint")
 
-    df = df.withColumn("_c", csv_fields(line)).withColumn(
-        "_v", F.struct(*[typed(n, i).alias(n) for i, n in enumerate(PORT_LOG_FIELDS)])
-    )
+    df = stage(df, "_c", csv_fields(line))
+    df = stage(df, "_v", F.struct(*[typed(n, i).alias(n) for i, n in enumerate(PORT_LOG_FIELDS)]))
     complete = ~F.startswith(line, F.lit("Source Port")) & (F.size(c) >= 12)
     for name in PORT_LOG_FIELDS:
         complete = complete & F.col("_v")[name].isNotNull()
@@ -318,7 +315,7 @@ def parse_pfsense(df: DataFrame, event_time: Column | None = None) -> DataFrame:
     )
     kept = df.where(~F.regexp_like(line, F.lit("^(rulenumber|#)")) & (line != ""))
     return (
-        kept.withColumn("_c", F.split(line, ",", -1))
+        stage(kept, "_c", F.split(line, ",", -1))
         .withColumns(
             {
                 "timestamp": event_time if event_time is not None else F.current_timestamp(),
@@ -347,7 +344,7 @@ def parse_postgres(df: DataFrame) -> DataFrame:
         )
     )
     return (
-        df.withColumn("_g", capture(F.col("value"), DATABASE_LINE, 5))
+        stage(df, "_g", capture(F.col("value"), DATABASE_LINE, 5))
         .withColumn("_message", group(g, 5))
         .withColumns(
             {
@@ -392,7 +389,7 @@ def parse_api(df: DataFrame) -> DataFrame:
         F.from_json(line, _API_SCHEMA, {"allowSingleQuotes": "false"}),
     )
     return (
-        df.withColumn("_j", parsed)
+        stage(df, "_j", parsed)
         .withColumns(
             {
                 "timestamp": F.when(has_message, parse_ts(j["timestamp"], DEFAULT_YEAR)),

@@ -15,7 +15,7 @@ from ..functions.identity import (
     mask_named_tokens,
     pseudonym,
 )
-from ..functions.text import empty_to_null
+from ..functions.text import empty_to_null, stage
 from ..schema import DEAD_LETTER, LOG_COLUMNS, LOG_SOURCES, LOGS, conform
 from . import parsers
 
@@ -51,10 +51,11 @@ def normalize(raw: DataFrame, source: str, salt: str = DEFAULT_SALT, **options)
         raise ValueError(f"no parser registered for source {source!r}")
     parser, label = _SOURCES[source]
     parsed = parser(raw, **options)
+    parsed = stage(parsed.withColumnRenamed("timestamp", "_ts"), "timestamp", F.col("_ts"))
     have = set(raw.columns)
     failed = F.col("timestamp").isNull() | F.col("event_type").isNull()
     # Masking goes in two projections: the second pass reads the first one's result often.
-    return parsed.withColumn("_masked", mask_emails(F.col("value"), salt)).select(
+    return stage(parsed, "_masked", mask_emails(F.col("value"), salt)).select(
         log_id(F.col("value")).alias("log_id"),
         "timestamp",
         F.lit(label).alias("source"),
