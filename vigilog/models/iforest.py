@@ -127,7 +127,11 @@ def fit_iforest(
         out.insert(0, "tree", number)
         return out
 
-    nodes = dealt.select("tree", "_rank", *names).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    # Growing costs much more time than its few bytes suggest: a fixed number of
+    # partitions keeps AQE from putting all trees into one task.
+    tasks = min(trees, max(2, train.sparkSession.sparkContext.defaultParallelism))
+    spread = dealt.select("tree", "_rank", *names).repartition(tasks, "tree")
+    nodes = spread.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
     # The node table is small and read often: keep it on the driver's side as a local table.
     local = train.sparkSession.createDataFrame(nodes.toPandas(), NODE_SCHEMA)
     forest = IsolationForest(local, names, size)

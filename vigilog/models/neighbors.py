@@ -172,6 +172,10 @@ def _search(visits: DataFrame, index: CellIndex, k: int) -> DataFrame:
     keys = ["cell", "part", "chunk"]
     # Both sides may stem from one table: fresh names keep their columns apart.
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    # Distances cost far more time than bytes: keep the partition number, so that
+    # AQE does not put the chunks of small tables into one task.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return (
         left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, _CANDIDATES)
     )

@@ -93,7 +93,7 @@ def apply_triage(alerts: DataFrame, events: DataFrame, chunk: str = "day") -> Da
             )
         )
     )
-    joined = alerts.join(final, "id", "left")
+    joined = conform(alerts, ALERTS).join(final, "id", "left")
     touched = F.col("_t").isNotNull()
 
     def updated(new: str, old: str) -> Column:

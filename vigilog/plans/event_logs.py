@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _TS_WEB = "dd/MMM/yyyy:HH:mm:ss"
 _TS_SYSLOG = "MMM d HH:mm:ss"
 _TS_PLAIN = "yyyy-MM-dd HH:mm:ss"
@@ -16,7 +18,7 @@ _TS_PLAIN = "yyyy-MM-dd HH:mm:ss"
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the derived address, source, user and request fields."""
-    df = spark.read.parquet(f"{folder}/events.parquet")
+    df = spread(spark.read.parquet(f"{folder}/events.parquet"))
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     source = (

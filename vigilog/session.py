@@ -48,6 +48,15 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that arrives in fewer partitions than there are cores one per core.
+
+    Tables of many files or row groups are left as they are: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and return it with a short plan."""
     spark = df.sparkSession
