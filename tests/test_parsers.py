@@ -12,6 +12,7 @@ from vigilog.functions.identity import DEFAULT_SALT, mask_pii
 from vigilog.functions.metadata import parse_metadata
 from vigilog.functions.text import capture, csv_fields, strip
 from vigilog.functions.timestamps import parse_ts
+from vigilog.plans.ingest import ingest_text
 from vigilog.sources.flows import normalize_cicids
 from vigilog.sources.raw import detect_source, read_numbered_logs, read_raw_logs
 from vigilog.sources.registry import normalize, normalize_mixed, split_dead_letters
@@ -226,9 +227,19 @@ def test_files_numbering_and_routing(spark, tmp_path):
         logs, dead = split_dead_letters(normalize_mixed(raw))
         assert logs.count() == 266
         assert sorted(r.line_num for r in dead.collect()) == [2 * i + 1 for i in range(0, 400, 3)]
+        # Other files next to it must not shift the numbers.
+        for i in range(5):
+            (tmp_path / f"auth_{i}.log").write_text("junk line\n" * (300 * i + 1))
+        raw = detect_source(read_numbered_logs(spark, str(tmp_path))).where("source = 'nginx'")
+        _, dead = split_dead_letters(normalize_mixed(raw))
+        assert sorted(r.line_num for r in dead.collect()) == [2 * i + 1 for i in range(0, 400, 3)]
+        done = ingest_text(spark, str(tmp_path), str(tmp_path.parent / (tmp_path.name + "-staging")))
+        numbers = sorted(r.line_num for r in done.dead.collect() if r.source == "nginx")
+        assert numbers == [2 * i + 1 for i in range(0, 400, 3)]
+        assert done.dead.where("source = 'auth'").count() == sum(300 * i + 1 for i in range(5))
         plain = detect_source(read_raw_logs(spark, str(tmp_path)))
         assert {(r.filename, r.source) for r in plain.select("filename", "source").distinct().collect()} == {
-            ("nginx_access.log", "nginx"), ("notes.txt", None)
+            ("nginx_access.log", "nginx"), ("notes.txt", None), *((f"auth_{i}.log", "auth") for i in range(5))
         }
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -216,7 +216,8 @@ def nearest_points(queries: DataFrame, index: CellIndex, k: int) -> DataFrame:
             out += [cells[row].astype("int32") for row in hit]
         return pd.Series(out)
 
-    visits = (
+    # Read for the counts and for the search: find the cells to visit once.
+    visits = cut_lineage(
         homed.join(bound, "qid", "left")
         .withColumn("cells", others("vec", "reach", "cell"))
         .select("qid", "vec", F.explode("cells").alias("cell"))

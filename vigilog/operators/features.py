@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.metadata import destination_port, with_metadata
-from ..schema import FEATURES
+from ..functions.metadata import with_metadata
+from ..schema import FEATURES, MODEL_FEATURES
 
 # Which source names a merged window, lowest to highest.
 SOURCE_PRIORITY = ["nginx", "auth", "firewall"]
@@ -412,8 +412,6 @@ def with_src_count(df: DataFrame) -> DataFrame:
 
 def model_inputs(df: DataFrame) -> DataFrame:
     """Missing values as 0 and log1p of the mean bytes; derives src_count if absent."""
-    from ..schema import MODEL_FEATURES
-
     counted = df if "src_count" in df.columns else with_src_count(df)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in MODEL_FEATURES}
     filled["bytes_per_request"] = F.log1p(filled["bytes_per_request"])

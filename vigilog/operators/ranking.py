@@ -110,7 +110,7 @@ def running_sums(
     values: list[str],
     keys: list[str] | None = None,
     descending: bool = False,
-    buckets: int = 128,
+    buckets: int = 256,
 ) -> DataFrame:
     """Add ``cum_<v>`` (running sum up to and with the row) and ``total_<v>`` per key group.
 
@@ -121,7 +121,7 @@ def running_sums(
     sign = -1 if descending else 1
     placed = df.withColumn("_o", F.col(order) * F.lit(sign))
     borders = F.percentile_approx(
-        "_o", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(2000)
+        "_o", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(16 * buckets)
     )
     if keys:
         cuts = placed.groupBy(*keys).agg(borders.alias("_cuts"))

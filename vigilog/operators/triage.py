@@ -50,7 +50,7 @@ def _carried(df: DataFrame, value: Column, name: str, include_current: bool) ->
     )
 
 
-def triage_history(alerts: DataFrame, events: DataFrame, chunk: str = "day") -> DataFrame:
+def triage_history(alerts: DataFrame, events: DataFrame, chunk: str = "hour") -> DataFrame:
     """Every applied event with the status before it and the assignee after it."""
     known = alerts.select(
         F.col("id").alias("alert_id"),
@@ -81,7 +81,7 @@ def triage_history(alerts: DataFrame, events: DataFrame, chunk: str = "day") ->
     )
 
 
-def apply_triage(alerts: DataFrame, events: DataFrame, chunk: str = "day") -> DataFrame:
+def apply_triage(alerts: DataFrame, events: DataFrame, chunk: str = "hour") -> DataFrame:
     """Alerts after all their triage events."""
     order = F.struct("timestamp", "event_id")
     final = (
@@ -112,7 +112,7 @@ def apply_triage(alerts: DataFrame, events: DataFrame, chunk: str = "day") -> Da
     )
 
 
-def triage_audit(alerts: DataFrame, events: DataFrame, chunk: str = "day") -> DataFrame:
+def triage_audit(alerts: DataFrame, events: DataFrame, chunk: str = "hour") -> DataFrame:
     """One audit row per applied event."""
     h = triage_history(alerts, events, chunk)
     details = F.to_json(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.identity import log_id
+from ..functions.text import stage, strip
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -21,40 +22,56 @@ def read_raw_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _lines(spark.read.option("recursiveFileLookup", True).text(path))
 
 
-def read_numbered_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """As :func:`read_raw_logs`, plus the 1-based ``line_num`` inside each file.
+def _numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All lines as (line, file, line_num), numbered inside each file.
 
     Lines are numbered inside their file split, and each split starts after the
     lines counted in the splits before it: no file passes through one task.
+    Row ids are only comparable between two scans that read the same files, so
+    the file name goes through a generator: a filter on it must not prune one
+    of the scans.
     """
     df = spark.read.option("recursiveFileLookup", True).text(path)
     lines = df.select(
-        "value",
+        F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("filename"),
+        F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),
     )
     splits = lines.groupBy("file_path", "split_start").agg(
         F.count("*").alias("n"), F.min("row_id").alias("first_id")
     )
-    splits = splits.select(
-        "file_path",
-        "split_start",
-        "first_id",
-        F.expr(
-            "coalesce(sum(n) over (partition by file_path order by split_start"
-            " rows between unbounded preceding and 1 preceding), 0)"
-        ).alias("before"),
+    before = "sum(n) over (partition by file_path order by split_start rows between unbounded preceding and 1 preceding)"
+    starts = splits.select(
+        "file_path", "split_start", "first_id", F.expr(f"coalesce({before}, 0)").alias("before")
+    )
+    return stage(lines, "file", F.col("file_name")).join(starts, ["file_path", "split_start"]).select(
+        "line", "file", (F.col("before") + F.col("row_id") - F.col("first_id") + 1).alias("line_num")
     )
-    numbered = lines.join(splits, ["file_path", "split_start"]).select(
-        strip(F.col("value")).alias("value"),
-        "filename",
-        (F.col("before") + F.col("row_id") - F.col("first_id") + 1).alias("line_num"),
+
+
+def read_numbered_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As :func:`read_raw_logs`, plus the 1-based ``line_num`` inside each file."""
+    numbered = _numbered_lines(spark, path).select(
+        strip(F.col("line")).alias("value"), F.col("file").alias("filename"), "line_num"
     )
     return numbered.where((F.col("value") != "") & ~F.startswith("filename", F.lit(".")))
 
 
+def number_dead_letters(spark: SparkSession, path: str | list[str], failed: DataFrame) -> DataFrame:
+    """Failed rows (log_id, filename, ...) once per place they stand at, with ``line_num``.
+
+    Only lines whose id failed are kept of the numbered scan, so parsing keeps
+    its own scan with one file list per source.
+    """
+    places = read_numbered_logs(spark, path).select(
+        log_id(F.col("value")).alias("log_id"), "filename", "line_num"
+    )
+    once = failed.drop("line_num").dropDuplicates(["log_id", "filename"])
+    return places.join(once, ["log_id", "filename"])
+
+
 def stream_raw_logs(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Lines of files as they arrive, from the oldest on; the query's checkpoint keeps the place."""
     reader = spark.readStream.option("recursiveFileLookup", True)

@@ -4,21 +4,15 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from functools import reduce
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identity import DEFAULT_SALT
-from ..operators.features import (
-    SOURCE_PRIORITY,
-    _addressed,
-    _entropy,
-    _or_empty,
-)
 from ..functions.metadata import with_metadata
-from ..sources.raw import stream_raw_logs
+from ..operators.features import SOURCE_PRIORITY, _addressed, _entropy, _or_empty
+from ..sources.raw import stream_raw_logs, with_host
 from ..sources.registry import normalize, split_dead_letters
 
 log = logging.getLogger(__name__)
@@ -51,13 +45,15 @@ def stream_normalize(
 
     def write(batch: DataFrame, number: int) -> None:
         folder = f"batch={number:010d}"
-        staged = f"{checkpoint}/parsed/{folder}"
-        batch.write.mode("overwrite").parquet(staged)
-        logs, dead = split_dead_letters(batch.sparkSession.read.parquet(staged))
-        if host is not None:
-            logs = logs.withColumn("hostname", F.lit(host))
-        logs.write.mode("overwrite").parquet(f"{logs_path}/{folder}")
-        dead.write.mode("overwrite").parquet(f"{dead_path}/{folder}")
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            logs, dead = split_dead_letters(kept)
+            if host is not None:
+                logs = with_host(logs, host)
+            logs.write.mode("overwrite").parquet(f"{logs_path}/{folder}")
+            dead.write.mode("overwrite").parquet(f"{dead_path}/{folder}")
+        finally:
+            kept.unpersist()
 
     writer = parsed.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/query")
     return _start(writer, interval)
@@ -180,7 +176,3 @@ def run_cycles(
 
     writer = logs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _start(writer, interval)
-
-
-def union_streams(*dfs: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)
