@@ -10,6 +10,8 @@ from vigilog.functions.timestamps import parse_ts
 from vigilog.plans.event_logs import event_flows, event_lines, event_logs, read_events
 from vigilog.sources.flows import nest_metadata, normalize_cicids, normalize_unsw
 from vigilog.sources.raw import with_host
+from vigilog.session import work_folder
+from vigilog.sources.tables import write_labelled
 from vigilog.sources.registry import normalize, register_source, split_dead_letters, validate_logs
 
 from .base import EV, LOGS, Checks, hashed, naive
@@ -385,5 +387,7 @@ def registered_source(spark, folder):
 def host_labels(spark, folder):
     e = event_logs(spark, folder)
     k = F.regexp_extract("raw", r"k=(\d+)$", 1).cast("int") % 3
-    labelled = with_host(e, F.concat(F.lit("collector-"), k.cast("string")))
+    path = work_folder(spark, "labelled")
+    write_labelled(with_host(e, F.concat(F.lit("collector-"), k.cast("string"))), path)
+    labelled = spark.read.parquet(path)
     return labelled.groupBy("source", "hostname").agg(F.count("*").alias("n"))

@@ -122,19 +122,18 @@ def build_index(points: DataFrame, seed: int = 42, cell_rows: int = CELL_ROWS) -
     dims, cuts, children = _grow_tree(x, wanted)
     celled = _with_chunks(_with_cell(points, dims, cuts, children), "pid", "chunk")
     celled = cut_lineage(celled)
-    bounds = celled.groupBy("cell").agg(
-        F.array(*[F.min(F.col("vec")[i]) for i in range(width)]).alias("low"),
-        F.array(*[F.max(F.col("vec")[i]) for i in range(width)]).alias("high"),
-    )
-    boxes = bounds.orderBy("cell").toPandas()
+    values = celled.select("cell", F.posexplode("vec").alias("dim", "v"))
+    bounds = values.groupBy("cell", "dim").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    # One row per cell and dimension, at most MAX_CELLS * width of them.
+    boxes = bounds.orderBy("cell", "dim").toPandas()
     return CellIndex(
         celled,
         dims,
         cuts,
         children,
-        _matrix(boxes["low"]),
-        _matrix(boxes["high"]),
-        boxes["cell"].to_numpy(dtype=int),
+        boxes["low"].to_numpy(dtype=float).reshape(-1, width),
+        boxes["high"].to_numpy(dtype=float).reshape(-1, width),
+        boxes["cell"].to_numpy(dtype=int)[::width],
     )
 
 

@@ -54,6 +54,7 @@ def risk_score(df: DataFrame, score_max: Column | float | None = None) -> DataFr
     """Add ``risk_score`` from anomaly_score, event_type and source.
 
     Scores are relative to the batch's maximum unless ``score_max`` fixes one.
+    The maximum reads ``df`` once more: write costly scores to a table first.
     """
     if score_max is None:
         reference = batch_max(df)

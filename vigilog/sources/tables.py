@@ -28,6 +28,12 @@ def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def write_labelled(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Rows with a host label, one folder per (source, hostname) stream."""
+    labelled = df.hint("rebalance", "source", "hostname")
+    labelled.write.mode(mode).partitionBy("source", "hostname").parquet(path)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Unified rows; text columns that exports left empty become NULL."""
     df = spark.read.parquet(path)
