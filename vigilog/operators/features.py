@@ -16,8 +16,6 @@ from ..schema import FEATURES, MODEL_FEATURES
 # Which source names a merged window, lowest to highest.
 SOURCE_PRIORITY = ["nginx", "auth", "firewall"]
 TOP_ENDPOINTS = 10
-# Parts a hot (address, window) is cut into while its categories are ranked.
-SALTS = 32
 
 _KEY = ["window_size_min", "window_start", "ip"]
 _COUNTS = T.MapType(T.StringType(), T.LongType())
@@ -116,17 +114,20 @@ def top_counts(
     """Map of the ``k`` most frequent values per group, ties by value.
 
     The rank filter becomes a group limit on both sides of the shuffle, so no
-    group larger than ``k`` rows per task is ever sorted in one place.
+    group larger than ``k`` rows per task is ever sorted in one place. The hash
+    in front of the keys lets the sort compare numbers before it compares text.
     """
-    order = W.partitionBy(*keys).orderBy(F.desc(count), F.col(value))
-    best = counts.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
+    hashed = counts.withColumn("_h", F.xxhash64(*keys))
+    order = W.partitionBy("_h", *keys).orderBy(F.desc(count), F.col(value))
+    best = hashed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
     entry = F.struct(F.col("_rn"), F.col(value), F.col(count))
     ordered = F.array_sort(F.collect_list(entry))
-    return best.groupBy(*keys).agg(
+    top = best.groupBy("_h", *keys).agg(
         F.map_from_entries(
             F.transform(ordered, lambda e: F.struct(e[value], e[count].cast("long")))
         ).alias(name)
     )
+    return top.drop("_h")
 
 
 def top_endpoints(
@@ -234,93 +235,82 @@ def merge_features(*dfs: DataFrame) -> DataFrame:
 
 
 def category_counts(logs: DataFrame, minutes: int) -> DataFrame:
-    """(window, address, kind, value) with n, bytes and fails: all a feature row needs.
+    """(window, address, kind, value) with n, bytes and fails: all numbers of a feature row.
 
-    One pass over the unified rows. A web row counts once as 'agent' and once
-    as 'path'; authentication rows count as 'user', firewall rows as 'port'.
-    The result adds up: wider windows are sums of narrower ones.
+    A web row counts under its user agent, an authentication row under its user,
+    a firewall row under its port. The result adds up: wider windows are sums of
+    narrower ones.
     """
     rows = with_metadata(
         _addressed(logs).where(F.col("source").isin(*SOURCE_PRIORITY)),
-        ["user_agent", "bytes", "path", "dst_port"],
+        ["user_agent", "bytes", "dst_port"],
     )
     source, m = F.col("source"), F.col("_m")
-
-    def entry(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-
     user = F.when(F.col("user") != "", F.col("user"))
-    entries = (
-        F.when(
-            source == "nginx",
-            F.array(
-                entry("agent", _or_empty(m["user_agent"])), entry("path", _or_empty(m["path"]))
-            ),
-        )
-        .when(source == "auth", F.array(entry("user", user)))
-        .otherwise(F.array(entry("port", _or_empty(m["dst_port"]))))
+    value = (
+        F.when(source == "nginx", _or_empty(m["user_agent"]))
+        .when(source == "auth", user)
+        .otherwise(_or_empty(m["dst_port"]))
     )
-    long = rows.select(
-        _floor(F.col("timestamp"), minutes).alias("window_start"),
-        "ip",
-        F.when(source == "nginx", _bytes(m["bytes"])).otherwise(F.lit(0.0)).alias("bytes"),
-        (F.col("event_type") == "login_fail").alias("failed"),
-        F.explode(entries).alias("e"),
+    return (
+        rows.select(
+            _floor(F.col("timestamp"), minutes).alias("window_start"),
+            "ip",
+            F.when(source == "nginx", "agent").when(source == "auth", "user").otherwise("port").alias("kind"),
+            value.alias("value"),
+            F.when(source == "nginx", _bytes(m["bytes"])).otherwise(F.lit(0.0)).alias("bytes"),
+            (F.col("event_type") == "login_fail").alias("failed"),
+        )
+        .groupBy("window_start", "ip", "kind", "value")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("bytes").alias("bytes"),
+            F.count_if("failed").alias("fails"),
+        )
     )
-    return long.groupBy(
-        "window_start", "ip", F.col("e.kind").alias("kind"), F.col("e.value").alias("value")
-    ).agg(
-        F.count("*").alias("n"),
-        F.sum("bytes").alias("bytes"),
-        F.count_if("failed").alias("fails"),
+
+
+def path_counts(logs: DataFrame, minutes: int) -> DataFrame:
+    """(window, address, path) with n, of web rows."""
+    web = _addressed(logs).where(F.col("source") == "nginx")
+    return (
+        with_metadata(web, ["path"])
+        .select(
+            _floor(F.col("timestamp"), minutes).alias("window_start"),
+            "ip",
+            _or_empty(F.col("_m.path")).alias("value"),
+        )
+        .groupBy("window_start", "ip", "value")
+        .agg(F.count("*").alias("n"))
     )
 
 
-def features_of_counts(counts: DataFrame, sizes: list[int]) -> DataFrame:
-    """Feature rows (without ip_entropy) of every window size from category counts."""
-    floors = {f"_s{s}": _floor(F.col("window_start"), s) for s in sizes}
+def _rolled_up(
+    counts: DataFrame, sizes: list[int], grain: int, keys: list[str], sums: list[str]
+) -> DataFrame:
+    """Counts at ``grain`` minutes summed up to every window size."""
+    if sizes == [grain]:
+        return counts.withColumn("window_size_min", F.lit(grain))
     wide = counts
-    for name, start in floors.items():
-        wide = wide.withColumn(name, start)
-    sized = wide.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(s).alias("size"), F.col(f"_s{s}").alias("start"))
-                    for s in sizes
-                ]
-            )
-        ).alias("_w"),
-        "ip",
-        "kind",
-        "value",
-        "n",
-        "bytes",
-        "fails",
-    ).select(
+    for s in sizes:
+        wide = wide.withColumn(f"_s{s}", _floor(F.col("window_start"), s))
+    starts = F.array(
+        *[F.struct(F.lit(s).alias("size"), F.col(f"_s{s}").alias("start")) for s in sizes]
+    )
+    sized = wide.select(F.explode(starts).alias("_w"), *keys, *sums).select(
         F.col("_w.size").alias("window_size_min"),
         F.col("_w.start").alias("window_start"),
-        "ip",
-        "kind",
-        "value",
-        "n",
-        "bytes",
-        "fails",
-        F.pmod(F.xxhash64("value"), F.lit(SALTS)).alias("salt"),
+        *keys,
+        *sums,
     )
-    # One shuffle on (key, kind, salt) serves the roll-up and the ranking after it.
-    part = [*_KEY, "kind", "salt"]
-    rolled = (
-        sized.repartition(*part)
-        .groupBy(*part, "value")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("bytes").alias("bytes"),
-            F.sum("fails").alias("fails"),
-        )
+    return sized.groupBy("window_size_min", "window_start", *keys).agg(
+        *[F.sum(c).alias(c) for c in sums]
     )
-    order = W.partitionBy(*part).orderBy(F.desc("n"), "value")
-    ranked = rolled.withColumn("_rn", F.row_number().over(order))
+
+
+def features_of_counts(counts: DataFrame, sizes: list[int], grain: int) -> DataFrame:
+    """The numeric features of every window size from category counts."""
+    rolled = _rolled_up(counts, sizes, grain, ["ip", "kind", "value"], ["n", "bytes", "fails"])
     n, kind = F.col("n"), F.col("kind")
 
     def total(name: str, value: Column) -> Column:
@@ -329,31 +319,20 @@ def features_of_counts(counts: DataFrame, sizes: list[int]) -> DataFrame:
     def entropy(name: str) -> Column:
         return _entropy(total(name, n), total(name, n * F.log2(n)), F.count_if(kind == name))
 
-    # At most TOP_ENDPOINTS candidates per salt reach the list of a key.
-    candidate = F.when(
-        (kind == "path") & (F.col("_rn") <= TOP_ENDPOINTS),
-        F.struct((-n).alias("less"), F.col("value").alias("path"), n.alias("n")),
-    )
-    best = F.slice(F.array_sort(F.collect_list(candidate)), 1, TOP_ENDPOINTS)
-    source = F.max(
-        F.when(kind == "port", 3).when(kind == "user", 2).otherwise(1)
-    )
-    per_key = ranked.groupBy(*_KEY).agg(
+    per_key = rolled.groupBy(*_KEY).agg(
         total("agent", n).alias("requests"),
         total("agent", F.col("bytes")).alias("bytes"),
         entropy("agent").alias("user_agent_entropy"),
         entropy("port").alias("port_entropy"),
         F.sum("fails").alias("login_fail_count"),
         F.count_if((kind == "user") & F.col("value").isNotNull()).alias("unique_users"),
-        F.map_from_entries(F.transform(best, lambda e: F.struct(e["path"], e["n"]))).alias(
-            "endpoint_frequency"
-        ),
-        F.element_at(F.array(*[F.lit(s) for s in SOURCE_PRIORITY]), source).alias("source"),
+        F.max(F.when(kind == "port", 3).when(kind == "user", 2).otherwise(1)).alias("_p"),
     )
     return per_key.withColumns(
         {
             "request_rate": F.col("requests") / F.col("window_size_min"),
             "bytes_per_request": F.col("bytes") / F.col("requests"),
+            "source": F.element_at(F.array(*[F.lit(s) for s in SOURCE_PRIORITY]), F.col("_p")),
         }
     )
 
@@ -362,12 +341,15 @@ def extract_features(logs: DataFrame, sizes: tuple[int, ...] = (5, 15)) -> DataF
     """Merged feature windows of all sources for every window size.
 
     The rows are counted once at the widest window that divides all sizes, and
-    each size is rolled up from those counts. The address entropy of a window
-    needs only time and address, so it comes from a second, two-column scan.
+    each size is rolled up from those counts. Paths are only needed for their
+    top list and are counted apart, so that the numbers never pass a sort. The
+    address entropy of a window comes from a scan of time and address only.
     """
     sizes = sorted(set(int(s) for s in sizes))
     grain = reduce(gcd, sizes)
-    features = features_of_counts(category_counts(logs, grain), sizes)
+    features = features_of_counts(category_counts(logs, grain), sizes, grain)
+    paths = _rolled_up(path_counts(logs, grain), sizes, grain, ["ip", "value"], ["n"])
+    top = top_counts(paths, _KEY, "value", "n", TOP_ENDPOINTS, "endpoint_frequency")
     web = logs.where(F.col("source") == "nginx")
     seen = (
         _addressed(web)
@@ -386,7 +368,7 @@ def extract_features(logs: DataFrame, sizes: tuple[int, ...] = (5, 15)) -> DataF
         ).withColumn("window_size_min", F.lit(s))
         for s in sizes
     ]
-    joined = features.join(
+    joined = features.join(top, _KEY, "left").join(
         reduce(DataFrame.unionByName, entropies), ["window_size_min", "window_start"], "left"
     )
     # Only addresses that sent web requests carry the window's entropy.
