@@ -337,19 +337,24 @@ def features_of_counts(counts: DataFrame, sizes: list[int], grain: int) -> DataF
     )
 
 
-def extract_features(logs: DataFrame, sizes: tuple[int, ...] = (5, 15)) -> DataFrame:
+def extract_features(
+    logs: DataFrame, sizes: tuple[int, ...] = (5, 15), endpoints: bool = True
+) -> DataFrame:
     """Merged feature windows of all sources for every window size.
 
     The rows are counted once at the widest window that divides all sizes, and
     each size is rolled up from those counts. Paths are only needed for their
     top list and are counted apart, so that the numbers never pass a sort. The
     address entropy of a window comes from a scan of time and address only.
+    ``endpoints=False`` leaves the path lists empty and saves their scan.
     """
     sizes = sorted(set(int(s) for s in sizes))
     grain = reduce(gcd, sizes)
     features = features_of_counts(category_counts(logs, grain), sizes, grain)
-    paths = _rolled_up(path_counts(logs, grain), sizes, grain, ["ip", "value"], ["n"])
-    top = top_counts(paths, _KEY, "value", "n", TOP_ENDPOINTS, "endpoint_frequency")
+    if endpoints:
+        paths = _rolled_up(path_counts(logs, grain), sizes, grain, ["ip", "value"], ["n"])
+        top = top_counts(paths, _KEY, "value", "n", TOP_ENDPOINTS, "endpoint_frequency")
+        features = features.join(top, _KEY, "left")
     web = logs.where(F.col("source") == "nginx")
     seen = (
         _addressed(web)
@@ -368,7 +373,7 @@ def extract_features(logs: DataFrame, sizes: tuple[int, ...] = (5, 15)) -> DataF
         ).withColumn("window_size_min", F.lit(s))
         for s in sizes
     ]
-    joined = features.join(top, _KEY, "left").join(
+    joined = features.join(
         reduce(DataFrame.unionByName, entropies), ["window_size_min", "window_start"], "left"
     )
     # Only addresses that sent web requests carry the window's entropy.

@@ -12,7 +12,7 @@ from ..session import cut_lineage
 
 def rank_addresses(logs: DataFrame, minutes: int, limit: int = 10) -> DataFrame:
     """Top addresses by risk, with failed logins relative to the maximum as the score."""
-    windows = with_src_count(extract_features(logs, (minutes,)))
+    windows = with_src_count(extract_features(logs, (minutes,), endpoints=False))
     scored = windows.select(
         "ip",
         F.col("login_fail_count").cast("double").alias("score"),

@@ -38,10 +38,14 @@ def run_inference(
     now: Column | None = None,
     score_max: float | None = None,
     min_risk: int | None = None,
+    endpoints: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored windows, alerts) of the last ``minutes`` before ``now`` (all rows if None)."""
+    """(scored windows, alerts) of the last ``minutes`` before ``now`` (all rows if None).
+
+    Neither models nor alerts use the path lists, so they are left out unless asked for.
+    """
     recent = logs if now is None else recent_logs(logs, minutes, now)
-    features = extract_features(recent, (minutes,))
+    features = extract_features(recent, (minutes,), endpoints)
     scored = score_windows(features, scaler, model, score_max)
     return scored, make_alerts(scored, min_risk=min_risk)
 
