@@ -4,12 +4,12 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import near_dedup, packing
+from . import decontaminate, line_dedup, near_dedup, packing, quality_rules
 
 # Code of this package travels with the tasks: executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_PARTS = (near_dedup, packing)
+_PARTS = (near_dedup, quality_rules, line_dedup, decontaminate, packing)
 
 
 def queries() -> dict:
