@@ -28,6 +28,7 @@ SHINGLE = 5
 SIMILARITY = 75  # in percent
 WIDTH = 48
 MISS = 1e-5  # chance at most that a link of exactly that similarity has too few agreements
+CELLS = 8  # numbers of 64 bits
 WORDS_KEPT = 300_000
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -109,23 +110,28 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, print, shingles) of (doc_id, text)."""
+    """(id, print, shingles, bits) of (doc_id, text); bits has the parity of the shingles in each of 512 cells."""
 
     def make() -> Callable:
         shingles = Shingles()
 
+        def parities(x: np.ndarray) -> np.ndarray:
+            odd = np.bincount((x >> np.uint64(55)).astype(np.int64), minlength=64 * CELLS) & 1
+            return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
         def work(rows: dict[str, list]) -> dict[str, list]:
             found = [shingles.of(t) for t in rows["text"]]
             return {
                 "id": rows["doc_id"],
                 "print": [xxhash.xxh3_128_digest(x.tobytes()) for x in found],
                 "shingles": [x.view(np.int64) for x in found],
+                "bits": [parities(x) for x in found],
             }
 
         return work
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
-    return map_rows(texts, make, "id bigint, print binary, shingles array<bigint>")
+    return map_rows(texts, make, "id bigint, print binary, shingles array<bigint>, bits array<bigint>")
 
 
 def _alike(pairs: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
@@ -221,7 +227,7 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDT
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = shingle_sets(join_small(texts, ids, "doc_id", "left_semi"))
     found = found.join(classes.select("id", "print"), ["id", "print"], "left_semi")
-    sets = staged(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = staged(found.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
     edges = staged(_linked(_alike(hub_pairs(postings), narrow, matches), sets, similarity), "links")
     groups = components(edges, "stars")
     # Candidates that are still apart: exact prefixes of their full sets.
@@ -229,8 +235,11 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDT
     mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
     open_ids = staged(placed.join(mixed, "key", "left_semi").select("id").distinct(), "open")
     rest = staged(_set_postings(sets.join(open_ids, "id", "left_semi"), groups, similarity), "prefixes")
-    sizes = F.expr(f"100 * least(l.n, r.n) >= {similarity} * greatest(l.n, r.n)")
-    late = _linked(cross_pairs(rest, sizes), sets, similarity)
+    # At least as many shingles are in one set only as the parities differ in cells.
+    rest = rest.join(sets.select("id", "bits"), "id")
+    apart = " + ".join(f"bit_count(l.bits[{i}] ^ r.bits[{i}])" for i in range(CELLS))
+    enough = F.expr(f"{100 + similarity} * (l.n + r.n - ({apart})) >= {2 * similarity} * (l.n + r.n)")
+    late = _linked(cross_pairs(rest, enough), sets, similarity)
     edges = edges.union(late)
     groups = staged(components(edges, "stars"), "groups")
     labels = with_component(classes.select("print", "id"), groups).select("print", F.col("component").alias("component_id"))
