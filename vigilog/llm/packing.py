@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Registry, documents, map_rows, text_bytes
+from .base import Registry, documents, map_rows, staged, text_bytes
 
 ops = Registry()
 
@@ -26,7 +26,7 @@ WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 BLOCK_TOKENS = 1 << 19
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 # The tokenizer's rule for the parts of a word, and letters on which lower case
 # and normal form work letter by letter.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -51,72 +51,54 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+class _Remembered(dict):
+    """Remembers what ``make`` gives for a key, up to a number of keys."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
+        return value
+
+
 class WordIds:
     """Token ids of texts, word by word: no token of this tokenizer spans a blank.
 
-    The ids of a word are packed as little-endian unsigned 32-bit numbers. Words are
-    remembered up to a fixed number and tokenized anew beyond it.
+    The ids of a word are packed as little-endian unsigned 32-bit numbers. Words and their
+    parts are remembered up to a fixed number and tokenized anew beyond it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.known_parts: dict[str, bytes] = {}
         self.letters = dict(enumerate(byte_letters()))
         self.plain = regex.compile(PLAIN)
         self.parts = regex.compile(PARTS)
+        self.of_part = _Remembered(self._part, CACHE_WORDS // 2)
+        self.of_word = _Remembered(self._word, CACHE_WORDS)
 
-    def _learn(self, words: list[tuple[bytes, str]], into: dict[bytes, bytes]) -> None:
-        """Tokenize words by their parts, as the tokenizer cuts them, and remember both."""
-        split = [self.parts.findall(u.lower()) for _, u in words]
-        parts = self.known_parts
-        extra: dict[str, bytes] = {}
-        for part in {p for own in split for p in own if p not in parts}:
-            letters = part.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
-            extra[part] = struct.pack(f"<{len(ids)}I", *ids)
-        for (word, _), own in zip(words, split):
-            into[word] = b"".join([extra[p] if p in extra else parts[p] for p in own])
-        for part, ids in extra.items():
-            if len(parts) >= CACHE_WORDS // 2:
-                break
-            parts[part] = ids
+    def _part(self, part: str) -> bytes:
+        letters = part.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(letters)])
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
-        split = [t.split() for t in texts]
-        lacking = list({w for words in split for w in words if w not in known})
-        extra: dict[bytes, bytes] = {}
-        plain = [(w, u) for w in lacking if (u := w.decode("utf-8", "replace")).isascii() or self.plain.fullmatch(u)]
-        self._learn([(w, u) for w, u in plain if "<|" not in u], extra)
-        others = [w for w in lacking if w not in extra]
-        for at in range(0, len(others), 2048):
-            part = others[at : at + 2048]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, e in zip(part, found):
-                extra[word] = np.asarray(e.ids, "<u4").tobytes()
-        room = CACHE_WORDS - len(known)
-        if len(extra) <= room:
-            known.update(extra)
-            get = known.__getitem__
-        else:
-            for word in lacking[:room]:
-                known[word] = extra[word]
-            get = _Both(known, extra).__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if "<|" in text or not self.plain.fullmatch(text):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.of_part.__getitem__, self.parts.findall(text.lower())))
 
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        get = self.of_word.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
-class _Both(dict):
-    """The remembered words, and those of this call where they lack."""
-
-    def __init__(self, known: dict, extra: dict) -> None:
-        super().__init__(extra)
-        self.known = known
 
-    def __missing__(self, word):
-        return self.known[word]
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pack_block(sizes: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -261,4 +243,4 @@ def with_steps(pieces: DataFrame, step_tokens: int = 1 << 20) -> DataFrame:
 
 @ops.add()
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return with_steps(pack(documents(spark, folder)))
+    return with_steps(staged(pack(documents(spark, folder)), "pieces"))
