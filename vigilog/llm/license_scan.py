@@ -162,13 +162,13 @@ def license_paragraphs(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     lines = lines.withColumn("grams", F.array_intersect(_all_grams(), terms)).withColumn("triples", F.array_distinct(_grams("words", 3)))
     found = scored(lines)
     found = found.where("none < 0.5")
-    overlap = F.lit(0.0)
+    shares = []
     for family, text in TEMPLATES:
         words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
         triples = sorted({" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))})
         share = F.size(F.array_intersect("triples", F.array(*[F.lit(t) for t in triples]))) / len(triples)
-        overlap = F.when((F.col("found") == family), F.greatest(overlap, share)).otherwise(overlap)
-    found = found.withColumn("overlap", overlap)
+        shares.append(F.when(F.col("found") == family, share).otherwise(0.0))
+    found = found.withColumn("overlap", F.greatest(*shares))
     sure = (F.col("chance") >= border) & (F.col("overlap") >= confirm)
     return found.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
