@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Registry, documents, map_rows, text_bytes
-from .line_dedup import _normaliser
+from .line_dedup import normaliser
 
 ops = Registry()
 
@@ -64,7 +64,7 @@ def search(pattern: list, text: list, most: int) -> tuple[int, int]:
 
 def _hits(docs: DataFrame, items: list[tuple[int, bytes]], budget: int, min_words: int) -> DataFrame:
     def make() -> Callable:
-        normal = _normaliser()
+        normal = normaliser(digits=False)
         known: dict[bytes, int] = {}
 
         def hashed(word: bytes) -> int:
