@@ -3,7 +3,7 @@
 A document's statistics are turned into a vector of log rates. For every group a minimum
 covariance determinant estimate is found by concentration steps: start from medians and
 quartiles, take the CORE share of rows nearest to the centre, estimate mean and covariance from
-them, and repeat until the rows stay the same. Documents far from their group's estimate, by
+them, and repeat until the centre stands still. Documents far from their group's estimate, by
 Mahalanobis distance, are rejected. DataFrame functions only.
 
 Vectors are whole numbers of 1/SCALE and distances are compared by bins, so sums are exact and
@@ -12,7 +12,9 @@ the estimates don't depend on the order of rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp, lgamma, log
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ ops = Registry()
 CORE = 0.75  # share of a group's rows that the estimate rests on
 FAR = 1e-6  # chance that a row of a normal group is rejected
 MIN_ROWS = 200  # groups with fewer rows are judged by their language, then by all rows
-STEPS = 30  # at most; the rows usually stay the same after 4 to 10
+STEPS = 30  # at most
+STILL = 0.01  # an estimate stands when its centre moves by less than this share of the least deviations
 SCALE = 256
 BINS = 128  # per unit of the distance's logarithm
 PRIOR_WORDS = 50.0  # rates of short documents are drawn down as by so many more words
@@ -203,7 +206,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     now = staged(_starts(rows), "mcd")
     for _ in range(STEPS):
         after = staged(_concentrated(rows, now, factor), "mcd")
-        same = F.expr("a.centre = b.centre AND a.inverse = b.inverse")
+        near = [F.abs(F.col("a.centre")[i] - F.col("b.centre")[i]) <= STILL * SPREAD[i] for i in range(SIZE)]
+        same = reduce(and_, near)
         moved = after.alias("a").join(now.alias("b"), "group").where(~same).limit(1).count()
         now = after
         if not moved:
