@@ -255,6 +255,11 @@ def triage_events(spark, folder):
     )
 
 
+@checks.add(f"WITH {EV} SELECT event_id, 'unknown status' AS reason FROM ev WHERE kind = 'purchase'")
+def rejected_triage(spark, folder):
+    return triage.refused_events(triage_events(spark, folder)).select("event_id", "reason")
+
+
 _TRIAGE = f"""{EV}, t0 AS (SELECT CAST(user_id AS VARCHAR) AS alert_id, event_id, timestamp, 'a' || CAST(k % 4 AS VARCHAR) AS actor,
   CASE kind WHEN 'click' THEN 'open' WHEN 'view' THEN 'acknowledged' WHEN 'error' THEN 'resolved' ELSE 'false_positive' END AS new_status,
   CASE WHEN k % 5 <> 0 THEN 'n' || CAST(k AS VARCHAR) END AS triage_note, CASE WHEN user_id % 3 = 0 THEN 'lead' END AS first FROM ev WHERE kind <> 'purchase'),

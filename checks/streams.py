@@ -89,18 +89,28 @@ def streamed_normalization(spark, folder):
 
 @checks.add(f"WITH {feat()} SELECT window_start, ip, login_fail_count AS fails FROM feat WHERE login_fail_count > 2")
 def inference_cycles(spark, folder):
-    """One pass of the cycle over all files, with failed logins above 2 as the anomaly."""
-    stream, _, _ = log_stream(spark, folder)
+    """A cycle for each of four files that share all windows, with failed logins above 2 as the anomaly.
+
+    The second cycle fails; its rows count in the third.
+    """
+    logs = event_logs(spark, folder).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    path = work_folder(spark, "stream")
+    logs.repartition(4, "log_id").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    runs = []
 
     def cycle(batch):
+        runs.append(len(runs))
+        if len(runs) == 2:
+            raise RuntimeError("a cycle that fails on purpose")
         rows = with_src_count(extract_features(batch, (MINUTES,)))
         score = F.col("login_fail_count").cast("double") - 2.0
         scored = classify_event(rows.withColumns({"anomaly_score": score, "is_anomaly": score > 0}))
         return make_alerts(risk_score(scored, 10.0))
 
-    out, place = work_folder(spark, "alerts"), work_folder(spark, "checkpoint")
-    jobs.run_cycles(stream, cycle, out, place).awaitTermination()
-    alerts = spark.read.parquet(out)
+    store, out, place = (work_folder(spark, name) for name in ("store", "alerts", "checkpoint"))
+    jobs.run_cycles(stream, cycle, MINUTES, store, out, place).awaitTermination()
+    alerts = jobs.current_alerts(spark, out)
     start = F.col("timestamp") - F.make_dt_interval(mins=F.lit(MINUTES))
     return naive(
         alerts.select(

@@ -198,7 +198,7 @@ def written_features(spark, folder):
 
 
 @checks.add(
-    """SELECT sha256(text) AS log_id, lang AS source, source AS ip, substr(text, 1, 5000) AS raw FROM documents WHERE source IS NOT NULL AND source <> ''"""
+    """SELECT sha256(text) AS log_id, lang AS source, source AS ip, text AS raw FROM documents WHERE source IS NOT NULL AND source <> ''"""
 )
 def prepared_load(spark, folder):
     d = spark.read.parquet(f"{folder}/documents.parquet")
@@ -261,7 +261,7 @@ def csv_sample(spark, folder):
 
 
 @checks.add(
-    """SELECT sha256(text) AS log_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS raw
+    """SELECT sha256(text) AS log_id, text AS raw
 FROM documents WHERE lang = 'en' ORDER BY n_chars, sha256(text) LIMIT 50"""
 )
 def sample_of_source(spark, folder):

@@ -10,15 +10,16 @@ import __spark_entry__ as entry
 from checks.compare import compare, duck
 from vigilog.plans.event_logs import event_logs
 from vigilog.plans.ingest import ingest_text, load_new
+from vigilog.sources.registry import normalize
 from vigilog.sources.tables import append_new, read_exported_logs
-from vigilog.streaming.jobs import run_cycles, stream_normalize
+from vigilog.streaming.jobs import current_alerts, run_cycles, stream_normalize
 
 GOOD = '1.1.1.{} - - [01/Jan/2026:00:00:12 +0000] "GET / HTTP/1.1" 200 1 "-" "x"\n'
 
 QUICK = [
     "dangerous_addresses", "feature_windows", "merged_windows", "normalize_nginx", "normalize_auth", "normalize_firewall", "masked_texts",
     "parsed_timestamps", "dead_letters", "new_documents", "spread_rows", "stratified_rows", "risk_scores", "window_alerts", "audit_trail",
-    "triaged_alerts", "analyst_table", "correlations", "areas_under_curve", "evaluation_table", "time_split", "streamed_windows",
+    "triaged_alerts", "rejected_triage", "inference_cycles", "prepared_load", "sample_of_source", "source_samples", "metadata_reader", "analyst_table", "correlations", "areas_under_curve", "evaluation_table", "time_split", "streamed_windows",
 ]
 NAMES = list(entry.queries()) if os.environ.get("ALL_CHECKS") else QUICK
 
@@ -84,18 +85,31 @@ def test_stream_picks_up_new_files_once(spark, tmp_path):
     assert spark.read.parquet(logs).count() == 3
 
 
-def test_failed_cycle_does_not_stop_the_loop(spark, small, tmp_path):
+def test_cycles_see_whole_windows_and_failed_batches_again(spark, tmp_path):
     source = str(tmp_path / "rows")
-    for _ in range(3):
-        spark.range(5).write.mode("append").parquet(source)
+    for _ in range(3):  # every file has a row in each of two windows
+        rows = spark.range(2).select(F.timestamp_seconds(F.col("id") * 600 + 5).alias("timestamp"), F.lit("a").alias("ip"))
+        rows.coalesce(1).write.mode("append").parquet(source)
     seen = []
 
     def cycle(batch):
         seen.append(batch.count())
-        if len(seen) == 1:
+        if len(seen) == 2:
             raise RuntimeError("broken cycle")
-        return batch
+        ends = (F.window("timestamp", "10 minutes")["end"]).alias("timestamp")
+        return batch.groupBy(ends, "ip").agg(F.count("*").alias("n"))
 
-    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 4).parquet(source)
-    run_cycles(stream, cycle, str(tmp_path / "alerts"), str(tmp_path / "place")).awaitTermination()
-    assert len(seen) == 3 and spark.read.parquet(str(tmp_path / "alerts")).count() < 15
+    stream = spark.readStream.schema("timestamp timestamp, ip string").option("maxFilesPerTrigger", 1).parquet(source)
+    store, alerts, place = (str(tmp_path / name) for name in ("store", "alerts", "place"))
+    run_cycles(stream, cycle, 10, store, alerts, place).awaitTermination()
+    assert seen == [2, 4, 6]
+    found = current_alerts(spark, alerts).orderBy("timestamp").collect()
+    assert [(x.timestamp.minute, x.n) for x in found] == [(10, 3), (20, 3)]
+
+
+def test_loading_twice_inserts_once(spark, tmp_path):
+    logs = normalize(spark.createDataFrame([(GOOD.format(i).strip(),) for i in range(4)], "value string"), "nginx")
+    logs = logs.where("error IS NULL")
+    path = str(tmp_path / "table")
+    assert load_new(logs.limit(2), path) == 2 and load_new(logs, path) == 2 and load_new(logs, path) == 0
+    assert spark.read.parquet(path).count() == 4

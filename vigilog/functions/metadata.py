@@ -15,9 +15,9 @@ def parse_metadata(value: Column) -> Column:
     Exported rows may hold a dict literal: bare None/True/False words are turned
     into JSON words; single quotes are accepted by the JSON reader itself.
     """
-    literal = F.regexp_replace(value, r"(?<=[:,\[{]\s{0,4})None(?=\s*[,}\]])", "null")
-    literal = F.regexp_replace(literal, r"(?<=[:,\[{]\s{0,4})True(?=\s*[,}\]])", "true")
-    literal = F.regexp_replace(literal, r"(?<=[:,\[{]\s{0,4})False(?=\s*[,}\]])", "false")
+    literal = value
+    for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        literal = F.regexp_replace(literal, rf"([:,\[{{]\s*){word}(?=\s*[,}}\]])", f"$1{json}")
     as_json = F.from_json(value, _STRING_MAP, {"allowSingleQuotes": "false"})
     as_literal = F.from_json(literal, _STRING_MAP)
     return F.coalesce(as_json, as_literal, F.create_map().cast(_STRING_MAP))

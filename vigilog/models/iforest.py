@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import exact_quantiles, hash_sample
+from ..operators.ranking import exact_quantiles
 from ..schema import MODEL_FEATURES
 from ..session import cut_lineage
 
@@ -93,26 +93,23 @@ def fit_iforest(
     contamination: float | None = None,
     seed: int = 42,
 ) -> IsolationForest:
-    """Fit on already scaled rows; ``contamination`` sets the decision offset."""
+    """Fit on already scaled rows; ``contamination`` sets the decision offset.
+
+    Every tree grows on ``rows_per_tree`` rows drawn by its own seeded hash, whatever the table's size.
+    """
     total = train.count()
     size = min(rows_per_tree, total)
     if size == 0:
         raise ValueError("cannot fit a forest on no rows")
-    per_pass = max(1, min(trees, total // size))
-    passes = -(-trees // per_pass)
     narrow = train.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
-    if passes == 1:
-        # One order of the table holds enough rows for all trees.
-        sample = hash_sample(narrow, trees * size, list(ids), seed, keep_rank=True)
-        sample = sample.withColumn("_pass", F.lit(0))
-    else:
-        # Small table: reuse it in several seeded orders (about trees * size rows in all).
-        copies = narrow.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-        sample = hash_sample(
-            copies, per_pass * size, list(ids), seed, keys=["_pass"], keep_rank=True
-        )
-    tree = (F.col("_pass") * per_pass + F.floor(F.col("_rank") / size)).cast("int")
-    dealt = sample.withColumn("tree", tree).where(F.col("tree") < trees)
+    # Each tree draws its own rows: those with the smallest hashes of (tree, row). Only rows that
+    # can be among them are sorted: at about 2 * size + 64 expected, fewer than size practically never pass.
+    share = min(1.0, (2 * size + 64) / total)
+    drawn = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *ids), F.lit(1 << 40))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn(t) <= int(share * (1 << 40)))
+    dealt = narrow.withColumn("tree", F.explode(mine))
+    order = Window.partitionBy("tree").orderBy(drawn(F.col("tree")), *ids)
+    dealt = dealt.withColumn("_rank", F.row_number().over(order) - 1).where(F.col("_rank") < size)
     limit = int(np.ceil(np.log2(max(size, 2))))
     names = list(columns)
 

@@ -18,17 +18,21 @@ def permutation_importance(
     columns: list[str],
     ids: list[str],
     label: str = "y",
-    rows: int = 5000,
+    rows: int | None = None,
     repeats: int = 5,
     seed: int = 42,
 ) -> DataFrame:
     """(feature, importance_mean, importance_std), most important first.
 
-    ``rows`` is the sample the measure is defined on. Each of the
-    features * repeats shuffles is one seeded order of the sample; all of them
-    and the unshuffled sample are scored in a single pass.
+    All rows are measured unless ``rows`` asks for a sample. Each of the
+    features * repeats shuffles is one seeded order of them; all of them
+    and the unshuffled rows are scored in a single pass.
     """
-    sample = hash_sample(df.select(*ids, *columns, label), rows, ids, seed, keep_rank=True)
+    narrow = df.select(*ids, *columns, label)
+    if rows is None:
+        sample = hash_rank(narrow, ids, seed).select(*narrow.columns, "_rank")
+    else:
+        sample = hash_sample(narrow, rows, ids, seed, keep_rank=True)
     sample = cut_lineage(sample.withColumnRenamed("_rank", "_place"))
     trials = F.array(
         *[

@@ -210,18 +210,19 @@ def scenario_coverage(logs: DataFrame, scenarios: DataFrame) -> DataFrame:
     )
 
 
-def sample_per_source(logs: DataFrame, cut: int = 100) -> DataFrame:
-    """The earliest line of each source for addresses seen in two or more sources."""
+def sample_per_source(logs: DataFrame, cut: int | None = None) -> DataFrame:
+    """The earliest line of each source for addresses seen in two or more sources; ``cut`` shortens it."""
     first = (
         logs.where(F.col("ip") != "")
         .groupBy("ip", "source")
         .agg(F.min_by("raw", F.struct("timestamp", "log_id")).alias("sample"))
     )
     many = first.groupBy("ip").agg(F.count("*").alias("_n")).where(F.col("_n") >= 2)
-    short = F.when(
-        F.length("sample") > cut, F.concat(F.substring("sample", 1, cut), F.lit("..."))
-    ).otherwise(F.col("sample"))
-    return first.join(many, "ip", "left_semi").withColumn("sample", short)
+    found = first.join(many, "ip", "left_semi")
+    if cut is None:
+        return found
+    short = F.concat(F.substring("sample", 1, cut), F.lit("..."))
+    return found.withColumn("sample", F.when(F.length("sample") > cut, short).otherwise(F.col("sample")))
 
 
 def ip_profile(df: DataFrame, ip: str) -> DataFrame:
@@ -249,8 +250,8 @@ def ip_profile_summary(df: DataFrame, ip: str) -> DataFrame:
 def five_numbers(
     df: DataFrame, columns: list[str] = NUMERIC_FEATURES, clip: dict[str, float] | None = None
 ) -> DataFrame:
-    """Minimum, quartiles and maximum per class and feature; some features clipped above."""
-    limits = {"bytes_per_request": 1e6} if clip is None else clip
+    """Minimum, quartiles and maximum per class and feature; ``clip`` names upper bounds of features."""
+    limits = clip or {}
     clipped = df.withColumns(
         {c: F.least(F.col(c), F.lit(limit)) for c, limit in limits.items() if c in columns}
     )

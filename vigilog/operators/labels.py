@@ -39,16 +39,13 @@ def stratified_sample(
 ) -> DataFrame:
     """``n`` divided by the number of classes rows of each class, exactly, by seeded hash.
 
-    Tables of at most ``n`` rows come back whole.
+    A class with fewer rows comes back whole.
     """
     rows = df.where(F.col(column).isin(*classes)) if classes else df
     parts = (
         F.lit(len(classes)) if classes else rows.agg(F.count_distinct(column)).scalar()
     )
-    total = rows.agg(F.count("*")).scalar()
-    per_class = F.when(total <= n, total).otherwise(
-        F.greatest(F.lit(1), F.floor(F.lit(n) / parts))
-    )
+    per_class = F.greatest(F.lit(1), F.floor(F.lit(n) / parts))
     return hash_sample(rows, per_class, list(ids), seed, keys=[column])
 
 

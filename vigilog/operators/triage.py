@@ -18,14 +18,24 @@ from ..schema import ALERT_STATUSES, ALERTS, AUDIT, conform
 NOTE_LIMIT = 1000
 
 
+def _refusal() -> Column:
+    """Why an event is not applied; NULL if it is."""
+    known = F.coalesce(F.col("status").isin(*ALERT_STATUSES), F.lit(False))
+    return F.when(~known, "unknown status").when(F.length("triage_note") > NOTE_LIMIT, "note too long")
+
+
 def clean_events(events: DataFrame) -> DataFrame:
-    """Events with an allowed status; notes trimmed, blank notes NULL, long notes refused."""
+    """Events that are applied: an allowed status and no overlong note; notes trimmed, blank ones NULL.
+
+    The others come out of ``refused_events``.
+    """
     note = F.trim("triage_note")
-    return (
-        events.where(F.col("status").isin(*ALERT_STATUSES))
-        .where(F.coalesce(F.length("triage_note"), F.lit(0)) <= NOTE_LIMIT)
-        .withColumn("triage_note", F.when(note != "", note))
-    )
+    return events.where(_refusal().isNull()).withColumn("triage_note", F.when(note != "", note))
+
+
+def refused_events(events: DataFrame) -> DataFrame:
+    """The events that are not applied, whole, with the reason."""
+    return events.withColumn("reason", _refusal()).where("reason IS NOT NULL")
 
 
 def _carried(df: DataFrame, value: Column, name: str, include_current: bool) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import DEFAULT_SALT
@@ -56,8 +56,8 @@ def ingest_flows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return job(read_flows(spark, path))
 
 
-def load_new(logs: DataFrame, table_path: str) -> None:
-    """Append the rows whose ids the table does not hold yet."""
+def load_new(logs: DataFrame, table_path: str) -> int:
+    """Append the rows whose ids the table does not hold yet; how many there were."""
     spark = logs.sparkSession
     try:
         existing = spark.read.parquet(table_path)
@@ -66,4 +66,6 @@ def load_new(logs: DataFrame, table_path: str) -> None:
             raise
         existing = None
     fresh = logs.dropDuplicates(["log_id"]) if existing is None else append_new(logs, existing)
-    write_logs(fresh, table_path, mode="append")
+    inserted = Observation()
+    write_logs(fresh.observe(inserted, F.count(F.lit(1)).alias("rows")), table_path, mode="append")
+    return inserted.get["rows"]

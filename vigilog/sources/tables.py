@@ -13,8 +13,6 @@ from ..functions.text import empty_to_null
 from ..operators.ranking import hash_rank, largest_per_group
 from ..schema import LOG_COLUMNS, LOGS, conform
 
-RAW_LIMIT = 5000
-
 
 def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
     """Unified rows as Parquet by source and day.
@@ -94,12 +92,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("endpoint_frequency", F.from_json("endpoint_frequency", "map<string,bigint>"))
 
 
-def prepare_load(df: DataFrame) -> DataFrame:
-    """Rows with an address, raw cut to its column size, metadata as JSON."""
+def prepare_load(df: DataFrame, raw_limit: int | None = None) -> DataFrame:
+    """Rows with an address and metadata as JSON; ``raw_limit`` cuts raw for a store with narrow columns."""
     kept = df.where(F.col("ip").isNotNull() & (F.col("ip") != ""))
     return kept.withColumns(
         {
-            "raw": F.substring("raw", 1, RAW_LIMIT),
+            "raw": F.col("raw") if raw_limit is None else F.substring("raw", 1, raw_limit),
             **{c: F.col(c).cast("string") for c in ("log_id", "source", "ip", "user", "event_type")},
         }
     ).select(*LOG_COLUMNS)
@@ -159,13 +157,14 @@ def write_sample(df: DataFrame, n: int, path: str, key: str | list[str]) -> None
     sample.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def sample_logs(df: DataFrame, n: int = 3, source: str | None = None) -> DataFrame:
-    """The earliest ``n`` rows with a shortened raw text."""
+def sample_logs(df: DataFrame, n: int = 3, source: str | None = None, width: int | None = None) -> DataFrame:
+    """The earliest ``n`` rows; ``width`` shortens their raw text for display."""
     rows = df.where(F.col("source") == source) if source else df
-    short = F.when(
-        F.length("raw") > 100, F.concat(F.substring("raw", 1, 100), F.lit("..."))
-    ).otherwise(F.col("raw"))
-    return rows.orderBy("timestamp", "log_id").limit(n).withColumn("raw", short)
+    first = rows.orderBy("timestamp", "log_id").limit(n)
+    if width is None:
+        return first
+    cut = F.concat(F.substring("raw", 1, width), F.lit("..."))
+    return first.withColumn("raw", F.when(F.length("raw") > width, cut).otherwise(F.col("raw")))
 
 
 def log_count(df: DataFrame, source: str | None = None) -> DataFrame:

@@ -157,22 +157,55 @@ def write_stream(
 def run_cycles(
     logs: DataFrame,
     cycle: Callable[[DataFrame], DataFrame],
+    minutes: int,
+    store: str,
     alerts_path: str,
     checkpoint: str,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Run ``cycle`` (rows to alerts) on each batch; a failed cycle is logged and the loop goes on.
+    """Keep each batch in ``store`` and run ``cycle`` (rows to alerts) on the windows it touches.
 
-    ``interval=None`` makes one pass over what is there. The rows of a batch
-    go through the batch jobs, so all features are exact.
+    A cycle reads whole windows from the store, so rows of a window may come in any number
+    of batches, in any order: each cycle's alerts replace those of earlier ones for its windows.
+    A batch counts as done when a cycle that read it has written its alerts. A failed cycle is
+    logged, and the next one takes its batches too. ``interval=None`` makes one pass over
+    what is there. Read the result with ``current_alerts``.
     """
+    start = F.window("timestamp", f"{minutes} minutes")["start"]
 
     def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
         try:
-            alerts = cycle(batch)
-            alerts.write.mode("overwrite").parquet(f"{alerts_path}/batch={number:010d}")
+            stored = spark.read.parquet(store).withColumn("_start", start)
+            done = _read_cycles(spark, alerts_path, "batches", "batch bigint")
+            fresh = stored.join(done, "batch", "left_anti")
+            batches = fresh.select(F.col("batch").cast("bigint").alias("batch")).distinct()
+            windows = fresh.select(F.col("_start").alias("window_start")).distinct()
+            # Written first: what is fresh is defined by the store, and the store goes on growing.
+            windows.write.mode("overwrite").parquet(f"{alerts_path}/windows/cycle={number}")
+            windows = spark.read.schema(windows.schema).parquet(f"{alerts_path}/windows/cycle={number}")
+            rows = stored.join(windows, F.col("_start") == F.col("window_start"), "left_semi").drop("_start", "batch")
+            alerts = cycle(rows).withColumn("_window", F.col("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))
+            alerts.write.mode("overwrite").parquet(f"{alerts_path}/alerts/cycle={number}")
+            batches.write.mode("overwrite").parquet(f"{alerts_path}/batches/cycle={number}")
         except Exception:
             log.exception("inference cycle %d failed", number)
 
     writer = logs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _start(writer, interval)
+
+
+def _read_cycles(spark: SparkSession, alerts_path: str, name: str, schema: str) -> DataFrame:
+    """One of the tables that cycles keep, empty before the first; ``cycle`` is a column."""
+    path = f"{alerts_path}/{name}"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/cycle=-1")
+    return spark.read.schema(f"{schema}, cycle bigint").parquet(path)
+
+
+def current_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
+    """The alerts of each window by the last finished cycle that read it."""
+    finished = _read_cycles(spark, alerts_path, "batches", "batch bigint").select("cycle").distinct()
+    windows = _read_cycles(spark, alerts_path, "windows", "window_start timestamp").join(finished, "cycle", "left_semi")
+    last = windows.groupBy(F.col("window_start").alias("_window")).agg(F.max("cycle").alias("cycle"))
+    return spark.read.parquet(f"{alerts_path}/alerts").join(last, ["_window", "cycle"], "left_semi").drop("_window", "cycle")
