@@ -12,7 +12,7 @@ from vigilog.sources.flows import nest_metadata, normalize_cicids, normalize_uns
 from vigilog.sources.raw import with_host
 from vigilog.session import work_folder
 from vigilog.sources.tables import write_labelled
-from vigilog.sources.registry import normalize, register_source, split_dead_letters, validate_logs
+from vigilog.sources.registry import SOURCES, normalize, split_dead_letters, validate_logs
 
 from .base import EV, LOGS, Checks, hashed, naive
 
@@ -375,10 +375,10 @@ def _parse_pipe(df):
 SELECT {_ID}, 'pipe' AS source, ip, {hashed("account")} AS "user", kind AS event_type, line AS raw FROM l"""
 )
 def registered_source(spark, folder):
-    register_source("pipe", _parse_pipe)
+    parsers = SOURCES | {"pipe": (_parse_pipe, "pipe")}
     e = read_events(spark, folder)
     line = F.concat_ws("|", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), "ip", "account", "kind")
-    return _fields(normalize(e.select(line.alias("value")), "pipe"))
+    return _fields(normalize(e.select(line.alias("value")), "pipe", parsers=parsers))
 
 
 @checks.add(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks.compare import compare, duck
 from vigilog.plans.event_logs import event_logs
+from vigilog.plans.inference import write_alerts
 from vigilog.plans.ingest import ingest_text, load_new
 from vigilog.sources.registry import normalize
 from vigilog.sources.tables import append_new, read_exported_logs
@@ -113,3 +114,10 @@ def test_loading_twice_inserts_once(spark, tmp_path):
     path = str(tmp_path / "table")
     assert load_new(logs.limit(2), path) == 2 and load_new(logs, path) == 2 and load_new(logs, path) == 0
     assert spark.read.parquet(path).count() == 4
+
+
+def test_alerts_are_stored_once(spark, tmp_path):
+    alerts = spark.range(5).select(F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.lit(5)).alias("timestamp"))
+    path = str(tmp_path / "alerts")
+    assert write_alerts(alerts.where("id < 2"), path) == 2 and write_alerts(alerts, path) == 3 and write_alerts(alerts, path) == 0
+    assert spark.read.parquet(path).count() == 5

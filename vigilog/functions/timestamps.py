@@ -50,8 +50,3 @@ def parse_ts(text: Column, reference_year: int | Column, likely: str = "iso") ->
         fits = F.regexp_like(text, F.lit(FORMS[form]))
         result = F.when(fits, _convert(form, text, year)).otherwise(result)
     return result
-
-
-def iso_utc(ts: Column) -> Column:
-    """Text form with seconds and a +00:00 offset (session time zone is UTC)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

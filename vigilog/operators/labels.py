@@ -49,11 +49,6 @@ def stratified_sample(
     return hash_sample(rows, per_class, list(ids), seed, keys=[column])
 
 
-def approximate_sample(df: DataFrame, column: str, fractions: dict, seed: int = 42) -> DataFrame:
-    """Per-class Bernoulli sample: one pass, sizes only on average."""
-    return df.sampleBy(column, fractions, seed)
-
-
 def flatten_ports(df: DataFrame) -> DataFrame:
     """Metadata reduced to the nested destination port at top level."""
     port = destination_port(F.col("metadata"))
@@ -70,7 +65,3 @@ def shuffle_rows(df: DataFrame, seed: int = 42, ids: tuple[str, ...] = ("log_id"
 def sample_rows(df: DataFrame, n: int, seed: int, ids: tuple[str, ...]) -> DataFrame:
     """``n`` rows by seeded hash."""
     return hash_sample(df, n, list(ids), seed)
-
-
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scoring import (
     ALERT_THRESHOLD,
     event_class,
-    norm_score,
     risk,
     severity_of_risk,
-    severity_weight,
-    source_weight,
 )
 from ..schema import ALERTS, conform
 
@@ -66,17 +63,6 @@ def risk_score(df: DataFrame, score_max: Column | float | None = None) -> DataFr
     )
 
 
-def score_parts(df: DataFrame, score_max: float = 1.0) -> DataFrame:
-    """The three parts of the score, for explanation."""
-    return df.withColumns(
-        {
-            "norm_score": norm_score(F.col("anomaly_score"), F.lit(score_max)),
-            "severity_weight": severity_weight(F.col("event_type")),
-            "source_weight": source_weight(F.col("source")),
-        }
-    )
-
-
 def should_alert(df: DataFrame, threshold: int = ALERT_THRESHOLD) -> DataFrame:
     return df.where(F.col("risk_score") >= threshold)
 

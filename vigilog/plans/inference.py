@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..models.artifacts import latest_model, latest_scaler
@@ -59,5 +60,15 @@ def run_latest(
     return run_inference(logs, scaler, model, minutes, now)
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
-    alerts.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+def write_alerts(alerts: DataFrame, path: str) -> int:
+    """Append the alerts whose ids the table does not hold yet; how many there were."""
+    fresh = alerts.dropDuplicates(["id"])
+    try:
+        fresh = fresh.join(alerts.sparkSession.read.parquet(path).select("id"), "id", "left_anti")
+    except AnalysisException as error:  # first write: the table is not there yet
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    inserted = Observation()
+    rows = fresh.select(*alerts.columns).observe(inserted, F.count(F.lit(1)).alias("rows"))
+    rows.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+    return inserted.get["rows"]

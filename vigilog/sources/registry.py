@@ -16,13 +16,13 @@ from ..functions.identity import (
     pseudonym,
 )
 from ..functions.text import empty_to_null, stage
-from ..schema import DEAD_LETTER, LOG_COLUMNS, LOG_SOURCES, LOGS, conform
+from ..schema import DEAD_LETTER, LOG_COLUMNS, LOG_SOURCES, conform
 from . import parsers
 
 Parser = Callable[..., DataFrame]
 
-# name -> (parser, value of the source column)
-_SOURCES: dict[str, tuple[Parser, str]] = {
+# name -> (parser, value of the source column). To plug in more, pass a larger table as ``parsers``.
+SOURCES: dict[str, tuple[Parser, str]] = {
     "nginx": (parsers.parse_nginx, "nginx"),
     "auth": (parsers.parse_auth, "auth"),
     "firewall": (parsers.parse_firewall, "firewall"),
@@ -36,20 +36,17 @@ _SOURCES: dict[str, tuple[Parser, str]] = {
 PARSE_FAILED = "Parse failed"
 
 
-def register_source(name: str, parser: Parser, label: str | None = None) -> None:
-    """Plug in a parser; ``label`` is what its rows carry in the source column."""
-    _SOURCES[name] = (parser, label or name)
-
-
-def source_names() -> list[str]:
-    return sorted(_SOURCES)
-
-
-def normalize(raw: DataFrame, source: str, salt: str = DEFAULT_SALT, **options) -> DataFrame:
+def normalize(
+    raw: DataFrame,
+    source: str,
+    salt: str = DEFAULT_SALT,
+    parsers: dict[str, tuple[Parser, str]] = SOURCES,
+    **options,
+) -> DataFrame:
     """Unified columns for every line, plus filename, line_num and error (NULL if it parsed)."""
-    if source not in _SOURCES:
-        raise ValueError(f"no parser registered for source {source!r}")
-    parser, label = _SOURCES[source]
+    if source not in parsers:
+        raise ValueError(f"no parser for source {source!r}")
+    parser, label = parsers[source]
     parsed = parser(raw, **options)
     parsed = stage(parsed.withColumnRenamed("timestamp", "_ts"), "timestamp", F.col("_ts"))
     have = set(raw.columns)
@@ -74,6 +71,7 @@ def normalize_mixed(
     raw: DataFrame,
     salt: str = DEFAULT_SALT,
     names: tuple[str, ...] | None = None,
+    parsers: dict[str, tuple[Parser, str]] = SOURCES,
     **options: dict,
 ) -> DataFrame:
     """Lines of many files: each goes to the parser its ``source`` column names.
@@ -83,8 +81,8 @@ def normalize_mixed(
     are those of sources not in ``names`` when that is given.
     """
     branches = [
-        normalize(raw.where(F.col("source") == name), name, salt, **options.get(name, {}))
-        for name in (names or tuple(_SOURCES))
+        normalize(raw.where(F.col("source") == name), name, salt, parsers, **options.get(name, {}))
+        for name in (names or tuple(parsers))
     ]
     return reduce(DataFrame.unionByName, branches)
 
@@ -116,7 +114,3 @@ def validate_logs(df: DataFrame) -> DataFrame:
         c: F.trim(c) for c in ("log_id", "source", "ip", "user", "event_type", "raw")
     }
     return df.withColumns(trimmed).withColumn("error", reason)
-
-
-def as_logs(df: DataFrame) -> DataFrame:
-    return conform(df, LOGS)
