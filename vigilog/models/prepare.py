@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import exact_quantiles, hash_rank
 from ..schema import MODEL_FEATURES
+from ..session import cut_lineage
 
 # Expected share of anomalies per window size in minutes.
 CONTAMINATION = {5: 0.073, 15: 0.026}
@@ -18,8 +19,10 @@ def temporal_split(
     """Add ``split``: 'train' for the earliest ``ratio`` of the windows, else 'test'.
 
     Windows are counted per start time; only the start time in which the border
-    falls needs an order among its own rows, and gets one by seeded hash.
+    falls needs an order among its own rows, and gets one by seeded hash. The rows are
+    written once: the border, its own rows and the result each read them.
     """
+    df = cut_lineage(df)
     counts = df.groupBy("window_start").agg(F.count("*").alias("_n"))
     # One row per start time: as many as there are windows in the covered period.
     placed = counts.select(

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 # Hex digits of the hash that name a bucket: 16**3 buckets.
 BUCKET_DIGITS = 3
 
@@ -115,9 +117,11 @@ def running_sums(
     """Add ``cum_<v>`` (running sum up to and with the row) and ``total_<v>`` per key group.
 
     ``order`` must be unique inside a group. Approximate quantiles only place
-    the bucket borders, so they steer the balance and never the result.
+    the bucket borders, so they steer the balance and never the result. The
+    rows are read for borders, sums and places, so they are written once first.
     """
     keys = list(keys or [])
+    df = cut_lineage(df)
     sign = -1 if descending else 1
     placed = df.withColumn("_o", F.col(order) * F.lit(sign))
     borders = F.percentile_approx(

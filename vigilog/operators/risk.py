@@ -12,6 +12,7 @@ from ..functions.scoring import (
     severity_of_risk,
 )
 from ..schema import ALERTS, conform
+from ..session import cut_lineage
 
 # What an alert tells about its window, in this order.
 EVIDENCE = [
@@ -51,9 +52,10 @@ def risk_score(df: DataFrame, score_max: Column | float | None = None) -> DataFr
     """Add ``risk_score`` from anomaly_score, event_type and source.
 
     Scores are relative to the batch's maximum unless ``score_max`` fixes one.
-    The maximum reads ``df`` once more: write costly scores to a table first.
+    For the maximum the scores are written once and read twice.
     """
     if score_max is None:
+        df = cut_lineage(df)
         reference = batch_max(df)
     else:
         reference = F.lit(score_max) if isinstance(score_max, (int, float)) else score_max
