@@ -202,12 +202,20 @@ def _agent_match(message: Column) -> Column:
     return result
 
 
-def parse_auth(df: DataFrame, ruleset: str = "auth", reference_year: int = DEFAULT_YEAR) -> DataFrame:
-    """Syslog authentication lines under the 'auth', 'secrepo_auth' or 'agent' rules."""
+def parse_auth(df: DataFrame, ruleset: str = "auth", reference_year: int | None = None) -> DataFrame:
+    """Syslog authentication lines under the 'auth', 'secrepo_auth' or 'agent' rules.
+
+    The lines have no year: without ``reference_year`` they have no time and do not parse.
+    """
     g, message = F.col("_g"), F.col("_message")
     pattern = SYSLOG_LINE_AGENT if ruleset == "agent" else SYSLOG_LINE
     df = stage(df, "_g", capture(F.col("value"), pattern, 5)).withColumns(
-        {"_message": group(g, 5), "timestamp": parse_ts(group(g, 1), reference_year, "syslog")}
+        {
+            "_message": group(g, 5),
+            "timestamp": F.lit(None).cast("timestamp")
+            if reference_year is None
+            else parse_ts(group(g, 1), reference_year, "syslog"),
+        }
     )
     if ruleset == "agent":
         df = stage(df, "_a", _agent_match(message)).withColumns(
@@ -232,7 +240,7 @@ def parse_auth(df: DataFrame, ruleset: str = "auth", reference_year: int = DEFAU
     return df.withColumn("metadata", metadata).drop("_g", "_message", "_a")
 
 
-def parse_secrepo_auth(df: DataFrame, reference_year: int = DEFAULT_YEAR) -> DataFrame:
+def parse_secrepo_auth(df: DataFrame, reference_year: int | None = None) -> DataFrame:
     return parse_auth(df, "secrepo_auth", reference_year)
 
 
