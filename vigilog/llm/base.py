@@ -25,10 +25,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(
+    rows: DataFrame,
+    keys: DataFrame,
+    on: str | list[str],
+    how: str = "inner",
+    array: str | None = None,
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Join wide rows with a staged table of short rows: sent to all executors up to ``limit``
-    rows, so that the wide rows stay where they are, and shuffled beyond."""
-    small = keys.count() <= limit
+    rows, so that the wide rows stay where they are, and shuffled beyond. The elements of
+    the column ``array`` count as rows."""
+    size = F.count(F.lit(1)) if array is None else F.sum(1 + F.greatest(F.size(F.col(array)), F.lit(0)).cast("bigint"))
+    small = (keys.agg(size).first()[0] or 0) <= limit
     return rows.join(F.broadcast(keys) if small else keys, on, how)
 
 

@@ -123,8 +123,8 @@ def license_paragraphs(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Negatives are taken by hash from all rows; those with a licence word are left out below.
     lot = texts.where("text <> ''").select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(NEGATIVES)
-    lot = lot.select(F.get(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20), F.lit(0)).alias("line")).where("line IS NOT NULL")
-    lot = staged(lot.select(F.slice(_words(F.col("line")), 1, 200).alias("words")), "negatives")
+    lot = lot.select(F.get(F.filter(F.split("text", "\n"), lambda x: F.length(x).between(20, 2000)), F.lit(0)).alias("line")).where("line IS NOT NULL")
+    lot = staged(lot.select(_words(F.col("line")).alias("words")), "negatives")
     total = F.greatest(F.lit(1), F.lit(lot.count()))
     common = lot.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     common = common.where(F.col("n") > COMMON * total).select("word")

@@ -185,7 +185,8 @@ def pack(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", te
 
     ``tier`` is the length of the piece's sequence. Null text is a document of the end id
     alone; a null id is carried; rows with one id are documents of their own; other columns
-    don't matter. An empty table gives no rows.
+    don't matter. An empty table gives no rows. Sequence ids name the task that packed, so write
+    the result before reading it more than once.
     """
     path = path or tokenizer_path()
 
