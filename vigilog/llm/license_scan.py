@@ -58,15 +58,21 @@ UNKNOWN = (
     "Modified version of the source code.",
 )
 NEGATIVES = 2_000  # paragraphs of the corpus at most that the classifier is fitted on
-COMMON = 0.02  # share of those from which a word is ordinary language
+COMMON = 0.002  # share of those from which a word is ordinary language
 CONFIRM = 0.6  # share of a template's word triples that a paragraph must have
 FIT = 80  # iterations at most
+SPOKEN = r"(?i)licen[cs]|copyright|rights\s+reserved|permission"  # such paragraphs are no negative examples
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _has_word(text: str, known: Column) -> Column:
+    """Whether a text may have one of the known words, which are ASCII: a cheap test before ``_words``."""
+    return F.arrays_overlap(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), known)
+
+
 def _grams(words: str, n: int) -> Column:
     at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
@@ -124,6 +130,7 @@ def license_paragraphs(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     # Negatives are taken by hash from all rows; those with a licence word are left out below.
     lot = texts.where("text <> ''").select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(NEGATIVES)
     lot = lot.select(F.get(F.filter(F.split("text", "\n"), lambda x: F.length(x).between(20, 2000)), F.lit(0)).alias("line")).where("line IS NOT NULL")
+    lot = lot.where(~F.col("line").rlike(SPOKEN))
     lot = staged(lot.select(_words(F.col("line")).alias("words")), "negatives")
     total = F.greatest(F.lit(1), F.lit(lot.count()))
     common = lot.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -157,11 +164,12 @@ def license_paragraphs(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
 
     held = scored(rows.where("held AND family = 'unknown'")).agg(F.expr("percentile(chance, 0.95)").alias("x")).first()[0]
     border = min(0.95, max(0.5, held or 0.5))
-    lines = texts.where(F.arrays_overlap(_words(F.col("text")), known)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    lines = lines.withColumn("words", _words(F.col("line"))).where(F.arrays_overlap("words", known)).drop("line")
+    lines = texts.where(_has_word("text", known)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    lines = lines.where(_has_word("line", known)).withColumn("words", _words(F.col("line"))).drop("line")
+    # Written here: what follows uses the words many times.
+    lines = staged(lines.where(F.arrays_overlap("words", known)), "paragraphs")
     lines = lines.withColumn("grams", F.array_intersect(_all_grams(), terms)).withColumn("triples", F.array_distinct(_grams("words", 3)))
-    found = scored(lines)
-    found = found.where("none < 0.5")
+    found = staged(scored(lines), "chances").where("none < 0.5")
     shares = []
     for family, text in TEMPLATES:
         words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
