@@ -57,3 +57,23 @@ def test_query_digests(spark, small):
         spans = [f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for k, a, b in _plain(texts[x.doc_id])]
         assert x.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert set(spans) <= set(x.spans.split(",")) and x.n_email == sum(s[:5] == "email" for s in spans)
+
+
+def test_addresses_written_out_are_found_without_digit_or_sign(make):
+    rows = [(i, f"please write to user{i}@example.com soon") for i in range(30)]
+    rows += [(100, "please write to jane [at] example [dot] com soon"), (101, "please write to joe (AT) example.org")]
+    got = {x.doc_id: x for x in personal_data(make(rows)).collect()}
+    for i, want in ((100, "jane [at] example [dot] com"), (101, "joe (AT) example.org")):
+        text = dict(rows)[i]
+        assert [(s.kind, text[s.start : s.end]) for s in got[i].found] == [(0, want)]
+
+
+def test_long_chains_of_patterns_are_followed_to_their_end(spark):
+    from vigilog.llm.personal_data import pattern_scores
+
+    rows = []
+    for k in range(7):  # pattern k is trusted once pattern k - 1 made its eight values known
+        rows += [(f"p{k}", f"known{i}", 3) for i in range(76)]
+        rows += [(f"p{k}", f"new{k + j}-{i}", -1) for j in range(1 if k == 0 else 0, 2) for i in range(8)]
+    said = spark.createDataFrame(rows, "pattern string, value string, kind int")
+    assert {x.pattern for x in pattern_scores(said).collect()} == {f"p{k}" for k in range(7)}

@@ -21,14 +21,13 @@ ops = Registry()
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 8  # known values at least that a pattern must have introduced
 TRUST = 0.9  # share of a pattern's values, and score of an instance, from which they count
-ROUNDS = 4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(rb"[0-9@]")
+_ANY = re.compile(rb"[0-9@]|[\[(]at[\])]", re.I)  # what every base form and every form of _LIKE needs
 _LIKE = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|@)[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[\[(](?:dot|\.)[\])])\x20?[A-Za-z0-9-]{1,64})+"
     r"|\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,}"
@@ -119,29 +118,32 @@ def mentions(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")), make, _ROW)
 
 
-def pattern_scores(said: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, score) of the patterns to trust, from mentions (pattern, value, kind)."""
+def pattern_scores(said: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+    """(pattern, kind, score) of the patterns to trust, from mentions (pattern, value, kind).
+
+    A value that became known keeps its kind, so known values and trusted patterns only grow, and
+    the rounds end when no value is new.
+    """
     edges = said.where("pattern <> ''").groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
     edges = staged(edges, "edges")
-    known = edges.where("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind"))
+    known = staged(edges.where("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")), "known")
     totals = staged(edges.groupBy("pattern").agg(F.count("*").alias("values")), "totals")
-    trusted = None
-    before = -1
-    for _ in range(rounds):
+    rounds = 0
+    while True:
         hits = edges.drop("kind").join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
         scores = hits.join(totals, "pattern").withColumn("score", F.col("hits") / F.col("values"))
         trusted = staged(scores.where((F.col("hits") >= support) & (F.col("score") >= trust)).select("pattern", "kind", "score"), "trusted")
-        now = trusted.count()
-        if now == before or not now:
-            break
-        before = now
         # An instance that trusted patterns introduce: chance that not all of them err.
         doubt = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))
         new = edges.where("kind < 0").drop("kind").join(trusted, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score"))
         new = new.where(F.col("score") >= trust).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-        seeds = edges.where("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind"))
-        known = seeds.unionByName(new.join(seeds, "value", "left_anti"))
-    return trusted
+        new = staged(new.join(known, "value", "left_anti"), "new")
+        if not new.count():
+            return trusted
+        known = known.unionByName(new)
+        rounds += 1
+        if rounds % 16 == 0:  # keeps the plan short
+            known = staged(known, "known")
 
 
 def _count(kind: int) -> Column:
