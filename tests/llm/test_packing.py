@@ -59,3 +59,17 @@ def test_pieces_round_trip(make, words):
             at += length
         assert at == parts[0][2] and len({x[2:] for x in parts}) == 1
     assert pack(make(rows).where("doc_id > 999")).collect() == []
+
+
+def test_steps_of_a_tier_differ_by_one_sequence_at_most(spark):
+    rows = [(t, (s % 5 << 36) + s, o) for t, n in ((2048, 1000), (256, 333)) for s in range(n) for o in (0, 100)]
+    pieces = spark.createDataFrame([(t, s + t * 10**6, o) for t, s, o in rows], "tier int, sequence_id bigint, offset int")
+    got = with_steps(pieces, 1 << 16).collect()
+    assert len(got) == len(rows)
+    for tier, n in ((2048, 1000), (256, 333)):
+        steps = defaultdict(set)
+        for x in got:
+            if x.tier == tier:
+                steps[x.step].add(x.sequence_id)
+        sizes = [len(v) for v in steps.values()]
+        assert len(sizes) == -(-n * tier // (1 << 16)) and sum(sizes) == n and max(sizes) - min(sizes) <= 1

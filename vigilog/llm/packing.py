@@ -15,7 +15,7 @@ from itertools import pairwise
 import numpy as np
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import Registry, documents, map_rows, staged, text_bytes
@@ -27,6 +27,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 BLOCK_TOKENS = 1 << 19
 CACHE_WORDS = 1_200_000
+BUCKETS = 4096  # in which the sequences of a tier are numbered
 # The tokenizer's rule for the parts of a word, and letters on which lower case
 # and normal form work letter by letter.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -228,17 +229,26 @@ def pack(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", te
 def with_steps(pieces: DataFrame, step_tokens: int = 1 << 20) -> DataFrame:
     """Adds ``step``: groups of sequences of one length that hold equally many tokens.
 
-    A step of tier t takes step_tokens / t sequences, dealt by a hash of the sequence id so
-    that steps mix sources; the number of steps of a tier follows its count.
+    A step of tier t takes step_tokens / t sequences; the number of steps of a tier follows its
+    count. The sequences of a tier are numbered through buckets by hash, each with its start
+    number, and dealt round robin: the steps of a tier differ by one sequence at most, and mix sources.
     """
-    counts = pieces.where("offset = 0").groupBy("tier").agg(F.count("*").alias("n"))
-    steps = F.greatest(F.ceil(F.col("n") * F.col("tier") / F.lit(step_tokens)), F.lit(1))
-    dealt = F.pmod(F.xxhash64("sequence_id"), F.col("steps"))
-    # One row per sequence length, at most twelve.
+    bucket = F.pmod(F.xxhash64("sequence_id"), F.lit(BUCKETS))
+    counts = pieces.where("offset = 0").groupBy("tier", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    tier = Window.partitionBy("tier")
+    before = F.sum("n").over(tier.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    steps = F.ceil(F.sum("n").over(tier) * F.col("tier") / F.lit(step_tokens))
+    starts = counts.select(
+        "tier", "bucket", F.coalesce(before, F.lit(0)).alias("start_number"), F.greatest(steps, F.lit(1)).alias("steps")
+    )
+    inside = F.dense_rank().over(Window.partitionBy("tier", "bucket").orderBy("sequence_id")) - 1
+    # A row per bucket and sequence length, at most twelve of these.
     return (
-        pieces.join(F.broadcast(counts.select("tier", steps.alias("steps"))), "tier")
-        .withColumn("step", dealt)
-        .drop("steps")
+        pieces.withColumn("bucket", bucket)
+        .withColumn("inside", inside)
+        .join(F.broadcast(starts), ["tier", "bucket"])
+        .withColumn("step", F.pmod(F.col("start_number") + F.col("inside"), F.col("steps")))
+        .select("tier", *[c for c in pieces.columns if c != "tier"], "step")
     )
 
 
