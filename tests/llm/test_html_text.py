@@ -35,3 +35,17 @@ def test_nulls_and_clashing_columns(spark):
     got = sorted((x.page_id or 0, x.url or "", x.text, x.n_chars) for x in main_texts(pages).collect())
     assert got == [(0, "u", "a", 1), (1, "", "", 0), (2, "u", "", 0), (2, "u", "", 0)]
     assert main_texts(pages.where("page_id > 9")).collect() == []
+
+
+def test_parts_beside_the_largest_container_stay():
+    some = "Some sentence of the article, with words; and marks, too. " * 3
+    long = "".join(f"<p>{k}. {some}</p>" for k in range(20))
+    plain = " ".join(f"{k}. {some}".strip() for k in range(20))
+    for frame in ("<div id=x>%s</div>", "<div><h1>T</h1>%s</div>", "<section>%s</section>"):
+        page = "<html><body><div class=nav><a>Home</a></div>" + frame + "<div class=footer>f</div></body></html>"
+        title = "T " if "<h1>" in frame else ""
+        got = main_text(page % f"<div class=lead><p>Lead. {some}</p></div><div class=part>{long}</div><div class=end><p>End. {some}</p></div>")
+        assert got == f"{title}Lead. {some}{plain} End. {some}".strip()
+        table = "".join(f"<tr><td>{k}. {some}</td></tr>" for k in range(20))
+        got = main_text(page % f"<p>Lead. {some}</p><table>{table}</table><p>End. {some}</p>")
+        assert got == f"{title}Lead. {some}{plain} End. {some}".strip()

@@ -3,7 +3,7 @@
 Every text node belongs to the path of tags from the root to it. Per path, text length and
 punctuation per node and their spread are taken; the fused values are smoothed along the
 page and those above a share of their standard deviation mark content. The smallest region
-that holds nearly all of the content is the article: all its text is returned but for parts whose
+that holds all of the content is the article: all its text is returned but for parts whose
 tag or class says that they are something else.
 """
 
@@ -50,7 +50,6 @@ CLOSES_P = frozenset(
 )
 SCOPE = frozenset("article aside section div main body html table td th ul ol dl form nav header footer blockquote".split())
 MARKS = re.compile(r"[.,;:!?…。，；：！？、]")
-SHARE = 0.85  # of the content's length, for the region that is the article
 SIGMAS = 0.5  # content is above so many standard deviations
 
 _TAG = re.compile(
@@ -201,7 +200,7 @@ def main_text(page: str) -> str:
     while region.tag not in ("article", "main"):
         inner = [c for c in region.children if isinstance(c, _Node)]
         best = max(inner, key=lambda c: c.weight, default=None)
-        if best is None or best.tag in INLINE or best.tag == "p" or best.weight < SHARE * total or not total:
+        if best is None or best.tag in INLINE or best.tag == "p" or best.weight < total or not total:
             break
         if region.heading and not best.heading and region.tag not in ("", "html"):
             break
