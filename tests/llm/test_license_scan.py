@@ -13,3 +13,12 @@ def test_templates_unknown_and_clean_paragraphs(make, words):
     assert 200 not in by or by[200].family == "unknown"
     assert not any(i in by for i in (*range(100, 180), 201, 202))
     assert license_paragraphs(make(rows).where("doc_id > 999")).collect() == []
+
+
+def test_a_template_that_heads_many_texts_keeps_its_words(make, words):
+    heads = [text for family, text in TEMPLATES if family in ("BSD", "Unlicense") and "Released" not in text]
+    rows = [(100 * k + i, head + ".\n" + words(100 * k + i, 40)) for k, head in enumerate(heads) for i in range(60)]
+    rows += [(900 + i, words(900 + i, 60)) for i in range(60)]
+    got = {x.doc_id: x for x in license_paragraphs(make(rows)).collect()}
+    assert {i: got[i].family for i in got} == {100 * k + i: f for k, f in enumerate(("BSD", "Unlicense")) for i in range(60)}
+    assert all(x.confirmed and x.paragraph == 0 for x in got.values())

@@ -58,7 +58,7 @@ UNKNOWN = (
     "Modified version of the source code.",
 )
 NEGATIVES = 2_000  # paragraphs of the corpus at most that the classifier is fitted on
-COMMON = 0.002  # share of those from which a word is ordinary language
+COMMON = 0.002  # share of all paragraphs from which a word is ordinary language
 CONFIRM = 0.6  # share of a template's word triples that a paragraph must have
 FIT = 80  # iterations at most
 SPOKEN = r"(?i)licen[cs]|copyright|rights\s+reserved|permission"  # such paragraphs are no negative examples
@@ -117,6 +117,71 @@ def examples(templates: DataFrame, others: DataFrame, negatives: DataFrame) -> D
     return rows.withColumn("held", F.pmod(F.xxhash64("words"), F.lit(5)) == 0)
 
 
+def _template_words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+def _template_triples(text: str) -> list[str]:
+    words = _template_words(text)
+    return sorted({" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))})
+
+
+def _literals(values) -> Column:
+    return F.array(*[F.lit(v) for v in sorted(values)])
+
+
+def _share(triples: str, text: str) -> Column:
+    """Share of a template's word triples among ``triples``."""
+    own = _template_triples(text)
+    return F.size(F.array_intersect(triples, _literals(own))) / len(own)
+
+
+def _word_counts(texts: DataFrame) -> dict[str, int]:
+    """Over all lines, in how many each word of the templates is; '' has the number of lines.
+
+    Lines that are mostly template, or hold most of one, are left out. Triples are only taken
+    where the words allow for either.
+    """
+    each = [set(_template_words(t)) for _, t in TEMPLATES]
+
+    def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+        # Behind a generator, so that later uses don't compute the columns again.
+        return df.select(F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    lines = fixed(lines, line=F.col("line"), own=F.array_distinct(F.split(F.lower("line"), "[^a-z0-9]+")))
+    hits = F.array_intersect("own", _literals(set().union(*each)))
+    lines = fixed(lines, line=F.col("line"), n=F.size("own"), hits=hits)
+    shares = [F.size(F.array_intersect("hits", _literals(w))) / len(w) for w in each]
+    many = (F.size("hits") >= 0.5 * F.col("n")) | (F.greatest(*shares) >= 0.4)
+    lines = fixed(lines, hits=F.col("hits"), words=F.when(many, _words(F.col("line"))))
+    lines = fixed(lines, hits=F.col("hits"), triples=F.when(F.col("words").isNotNull(), F.array_distinct(_grams("words", 3))))
+    every = {t for _, text in TEMPLATES for t in _template_triples(text)}
+    found = F.array_intersect("triples", _literals(every))
+    lines = fixed(lines, hits=F.col("hits"), n=F.size("triples"), found=found)
+    held = F.greatest(*[_share("found", text) for _, text in TEMPLATES])
+    # No triples were taken where there is nothing to leave out.
+    apart = F.col("found").isNotNull() & (F.size("found") > 0) & ((held >= CONFIRM) | (F.size("found") >= 0.5 * F.col("n")))
+    lines = lines.where(~apart)
+    counts = lines.select(F.explode(F.concat("hits", F.array(F.lit("")))).alias("word"))
+    return dict((r[0], r[1]) for r in counts.groupBy("word").agg(F.count("*")).collect())
+
+
+def _anchors(counts: dict[str, int], confirm: float) -> list[str]:
+    """Words that select paragraphs: those that are no ordinary language, and for each template its rarest
+    words until more than ``1 - confirm`` of its triples have one: a paragraph that can be confirmed has it too."""
+    total = max(1, counts.get("", 0))
+    found = {w for _, t in TEMPLATES for w in _template_words(t) if len(w) > 1 and counts.get(w, 0) <= COMMON * total}
+    for _, text in TEMPLATES:
+        triples = [set(t.split(" ")) for t in _template_triples(text)]
+        words = sorted({w for w in _template_words(text) if len(w) > 1}, key=lambda w: (counts.get(w, 0), w))
+        for word in words:
+            if sum(bool(t & found) for t in triples) > (1 - confirm) * len(triples):
+                break
+            found.add(word)
+    return sorted(found)
+
+
 def license_paragraphs(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     """A row per paragraph (line) that speaks of a licence: doc_id, paragraph (its number from 0), family,
     chance, overlap with the nearest template of the family, confirmed.
@@ -132,12 +197,8 @@ def license_paragraphs(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     lot = lot.select(F.get(F.filter(F.split("text", "\n"), lambda x: F.length(x).between(20, 2000)), F.lit(0)).alias("line")).where("line IS NOT NULL")
     lot = lot.where(~F.col("line").rlike(SPOKEN))
     lot = staged(lot.select(_words(F.col("line")).alias("words")), "negatives")
-    total = F.greatest(F.lit(1), F.lit(lot.count()))
-    common = lot.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    common = common.where(F.col("n") > COMMON * total).select("word")
-    marks = templates.select(F.explode("words").alias("word")).distinct().join(common, "word", "left_anti").where("length(word) > 1")
     # At most as many words as the templates have.
-    anchors = sorted(r[0] for r in marks.collect())
+    anchors = _anchors(_word_counts(texts), confirm)
     known = F.array(*[F.lit(w) for w in anchors])
     grams = templates.select(F.explode(_all_grams()).alias("gram")).distinct()
     vocabulary = sorted(r[0] for r in grams.where(F.arrays_overlap(F.split("gram", " "), known)).collect())
@@ -170,12 +231,7 @@ def license_paragraphs(docs: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     lines = staged(lines.where(F.arrays_overlap("words", known)), "paragraphs")
     lines = lines.withColumn("grams", F.array_intersect(_all_grams(), terms)).withColumn("triples", F.array_distinct(_grams("words", 3)))
     found = staged(scored(lines), "chances").where("none < 0.5")
-    shares = []
-    for family, text in TEMPLATES:
-        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-        triples = sorted({" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))})
-        share = F.size(F.array_intersect("triples", F.array(*[F.lit(t) for t in triples]))) / len(triples)
-        shares.append(F.when(F.col("found") == family, share).otherwise(0.0))
+    shares = [F.when(F.col("found") == family, _share("triples", text)).otherwise(0.0) for family, text in TEMPLATES]
     found = found.withColumn("overlap", F.greatest(*shares))
     sure = (F.col("chance") >= border) & (F.col("overlap") >= confirm)
     return found.select(
