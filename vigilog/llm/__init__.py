@@ -4,12 +4,40 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import decontaminate, html_text, license_scan, line_dedup, near_dedup, packing, personal_data, quality_classifier, quality_rules, token_counts
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    packing,
+    periodic_runs,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    token_alignment,
+    token_counts,
+)
 
 # Code of this package travels with the tasks: executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_PARTS = (near_dedup, quality_rules, license_scan, line_dedup, token_counts, decontaminate, quality_classifier, personal_data, html_text, packing)
+_PARTS = (
+    near_dedup,
+    quality_rules,
+    license_scan,
+    line_dedup,
+    token_counts,
+    decontaminate,
+    quality_classifier,
+    personal_data,
+    html_text,
+    packing,
+    exact_dedup,
+    token_alignment,
+    periodic_runs,
+)
 
 
 def queries() -> dict:
