@@ -8,9 +8,9 @@ from vigilog.operators.features import extract_features, with_src_count
 from vigilog.operators.risk import classify_event, make_alerts, risk_score
 from vigilog.plans.event_logs import event_logs
 from vigilog.session import work_folder
-from vigilog.streaming import jobs
+from vigilog.streaming import cycles, jobs
 
-from .base import DOUBLES, LOGS, MINUTES, Checks, feat, naive, rounded, stat
+from .base import FEATURE_COLUMNS, FEATURE_SQL, LOGS, MINUTES, Checks, feat, naive, rounded
 from .tables import _LINES, broken_lines
 
 checks = Checks()
@@ -45,16 +45,46 @@ def drained(spark, df, columns):
     return spark.read.parquet(out).select(*columns)
 
 
-_NOT_PORT = ["window_start", "window_end", "ip", "login_fail_count", "unique_users", "source"]
-_STREAM_DOUBLES = [c for c in DOUBLES if c != "ip_entropy"]
+def slices_in_time(spark, folder, parts: int = 4):
+    """Unified rows as files in time order, ``parts`` a trigger; then a marker and one row that comes too late.
+
+    The marker closes the last windows. The late row lies in the first window, long behind the watermark.
+    """
+    path = work_folder(spark, "slices")
+    logs = event_logs(spark, folder).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    low, high = logs.agg(F.min("timestamp"), F.max("timestamp")).first()
+    step = (high - low) / parts
+    for i in range(parts):
+        inside = F.col("timestamp") >= F.lit(low + i * step)
+        part = logs.where(inside & (F.col("timestamp") < F.lit(low + (i + 1) * step)) if i + 1 < parts else inside)
+        part.repartition(parts).write.mode("append").parquet(path)
+    for when, ip in (("2025-01-01 00:00:00", "marker"), (str(low), "late")):
+        row = logs.limit(1).withColumns({"timestamp": F.lit(when).cast("timestamp"), "ip": F.lit(ip), "source": F.lit("nginx")})
+        row.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", parts)
+    return stream.parquet(path)
+
+
+_TOP_SQL = f"""feat_paths AS (
+  SELECT s, ws, ip, path, count(*) AS n FROM sized WHERE source = 'nginx' GROUP BY s, ws, ip, path),
+top_paths AS (
+  SELECT s, ws, ip AS who, string_agg(path || '=' || n, ',' ORDER BY path) AS paths FROM (
+    SELECT *, row_number() OVER (PARTITION BY s, ws, ip ORDER BY n DESC, path) AS rn FROM feat_paths) WHERE rn <= 10
+  GROUP BY s, ws, ip)"""
 
 
-@checks.add(f"WITH {feat()} SELECT {', '.join(_NOT_PORT)}, {stat(_STREAM_DOUBLES)} FROM feat")
+@checks.add(
+    f"""WITH {feat()}, {_TOP_SQL} SELECT {FEATURE_SQL}, coalesce(paths, '') AS paths
+FROM feat LEFT JOIN top_paths ON s = window_size_min AND ws = window_start AND who = ip"""
+)
 def streamed_windows(spark, folder):
-    stream, tail, _ = log_stream(spark, folder)
-    rows = jobs.stream_features(stream.unionByName(tail), MINUTES, "40 days")
-    found = drained(spark, rows, [*_NOT_PORT, *_STREAM_DOUBLES]).where(F.col("ip") != "marker")
-    return rounded(naive(found))
+    """Every column of the feature rows, with a delay of an hour: one late row is dropped."""
+    path, place = work_folder(spark, "features"), work_folder(spark, "checkpoint")
+    jobs.stream_features(slices_in_time(spark, folder), (MINUTES,), path, place, "1 hour").awaitTermination()
+    found = spark.read.parquet(path).where(F.col("ip") != "marker")
+    entries = F.transform(F.array_sort(F.map_entries("endpoint_frequency")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    rows = found.select(*FEATURE_COLUMNS, F.array_join(entries, ",").alias("paths"))
+    return rounded(naive(rows))
 
 
 @checks.add(f"WITH {feat()} SELECT DISTINCT window_start, round(ip_entropy, 6) + 0.0 AS ip_entropy FROM feat WHERE request_rate > 0")
@@ -109,8 +139,8 @@ def inference_cycles(spark, folder):
         return make_alerts(risk_score(scored, 10.0))
 
     store, out, place = (work_folder(spark, name) for name in ("store", "alerts", "checkpoint"))
-    jobs.run_cycles(stream, cycle, MINUTES, store, out, place).awaitTermination()
-    alerts = jobs.current_alerts(spark, out)
+    cycles.run_cycles(stream, cycle, MINUTES, store, out, place).awaitTermination()
+    alerts = cycles.current_alerts(spark, out)
     start = F.col("timestamp") - F.make_dt_interval(mins=F.lit(MINUTES))
     return naive(
         alerts.select(

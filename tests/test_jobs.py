@@ -13,7 +13,8 @@ from vigilog.plans.inference import write_alerts
 from vigilog.plans.ingest import ingest_text, load_new
 from vigilog.sources.registry import normalize
 from vigilog.sources.tables import append_new, read_exported_logs
-from vigilog.streaming.jobs import current_alerts, run_cycles, stream_normalize
+from vigilog.streaming.cycles import bucket_minutes, current_alerts, cycle_status, run_cycles
+from vigilog.streaming.jobs import stream_normalize
 
 GOOD = '1.1.1.{} - - [01/Jan/2026:00:00:12 +0000] "GET / HTTP/1.1" 200 1 "-" "x"\n'
 
@@ -108,6 +109,51 @@ def test_cycles_see_whole_windows_and_failed_batches_again(spark, tmp_path):
     assert [(x.timestamp.minute, x.n) for x in found] == [(10, 3), (20, 3)]
 
 
+def test_a_cycle_reads_only_the_buckets_it_touches(spark, tmp_path):
+    """Files of one bucket each, then one that touches the first again: no other folder is read."""
+    source, step = str(tmp_path / "rows"), 60 * bucket_minutes(15)
+    for i, hours in enumerate([(0,), (1,), (2,), (0, 5)]):
+        rows = [(h * step + 60 * i, "a") for h in hours]
+        df = spark.createDataFrame(rows, "s bigint, ip string").select(F.timestamp_seconds("s").alias("timestamp"), "ip")
+        df.coalesce(1).write.mode("append").parquet(source)
+    read, counts = [], []
+
+    def cycle(batch):
+        read.append({f.split("bucket=")[1].split("/")[0] for f in batch.inputFiles() if "bucket=" in f})
+        counts.append(batch.count())
+        return batch.groupBy(F.window("timestamp", "15 minutes")["end"].alias("timestamp"), "ip").agg(F.count("*").alias("n"))
+
+    stream = spark.readStream.schema("timestamp timestamp, ip string").option("maxFilesPerTrigger", 1).parquet(source)
+    store, alerts, place = (str(tmp_path / name) for name in ("store", "alerts", "place"))
+    run_cycles(stream, cycle, 15, store, alerts, place).awaitTermination()
+    assert read == [{"0"}, {"1"}, {"2"}, {"0", "5"}] and counts == [1, 1, 1, 3]
+    assert sorted((x.timestamp.hour, x.n) for x in current_alerts(spark, alerts).collect()) == [(0, 2), (1, 1), (2, 1), (5, 1)]
+
+
+def test_the_last_failed_cycle_runs_at_the_next_start(spark, tmp_path):
+    source = str(tmp_path / "rows")
+    store, alerts, place = (str(tmp_path / name) for name in ("store", "alerts", "place"))
+    assert current_alerts(spark, alerts).count() == 0 and cycle_status(spark, alerts).count() == 0
+    assert not os.path.exists(alerts)
+    rows = spark.createDataFrame([(60, "a"), (None, "b")], "s bigint, ip string").select(F.timestamp_seconds("s").alias("timestamp"), "ip")
+    rows.coalesce(1).write.parquet(source)
+
+    def start(fails):
+        def cycle(batch):
+            if fails:
+                raise RuntimeError("broken cycle")
+            return batch.groupBy(F.window("timestamp", "10 minutes")["end"].alias("timestamp"), "ip").agg(F.count("*").alias("n"))
+
+        stream = spark.readStream.schema("timestamp timestamp, ip string").parquet(source)
+        run_cycles(stream, cycle, 10, store, alerts, place).awaitTermination()
+        return [(r.finished, r.error) for r in cycle_status(spark, alerts).collect()]
+
+    assert start(True) == [(False, "RuntimeError: broken cycle")]
+    assert current_alerts(spark, alerts).count() == 0
+    assert start(False) == [(True, None)]
+    assert [(r.ip, r.n) for r in current_alerts(spark, alerts).collect()] == [("a", 1)]
+
+
 def test_loading_twice_inserts_once(spark, tmp_path):
     logs = normalize(spark.createDataFrame([(GOOD.format(i).strip(),) for i in range(4)], "value string"), "nginx")
     logs = logs.where("error IS NULL")

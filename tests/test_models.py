@@ -9,7 +9,7 @@ from vigilog.models.iforest import fit_iforest, score_iforest
 from vigilog.models.importance import permutation_importance
 from vigilog.models.lof import fit_lof, score_lof, training_factors
 from vigilog.models.neighbors import build_index, nearest_points
-from vigilog.models.ocsvm import fit_ocsvm, score_ocsvm
+from vigilog.models.ocsvm import _fourier, fit_ocsvm, score_ocsvm
 from vigilog.models.prepare import fit_scaler, scale, temporal_split
 
 COLS = ["a", "b", "c"]
@@ -95,7 +95,8 @@ def test_forest_on_few_rows(spark, cloud):
 
 def test_support_vectors(spark, cloud, tmp_path):
     df = table(spark, cloud)
-    model = fit_ocsvm(df, COLS, nu=0.05, steps=15)
+    model = fit_ocsvm(df, COLS, nu=0.05)
+    assert model.gap <= 2e-3 and model.passes > 1
     rows = score_ocsvm(df, model).collect()
     assert abs(sum(r.is_anomaly for r in rows) / 600 - 0.05) < 0.01
     far = {r.id for r in sorted(rows, key=lambda r: -r.anomaly_score)[:30]}
@@ -104,6 +105,32 @@ def test_support_vectors(spark, cloud, tmp_path):
     assert score_ocsvm(df, latest_model(spark, str(tmp_path), 5, "ocsvm")).first().anomaly_score == rows[0].anomaly_score
 
 
+def test_support_vector_solver_meets_the_dual_optimum(spark, cloud):
+    """The dual over all rows, solved by moving weight between two rows at a time, has the same objective and weights."""
+    df, nu = table(spark, cloud), 0.1
+    model = fit_ocsvm(df, COLS, nu=nu, components=32, tolerance=1e-5)
+    phi = _fourier(cloud, model.directions, model.phases)
+    gram, most = phi @ phi.T, 1 / (nu * len(cloud))
+    alpha = np.full(len(cloud), 1 / len(cloud))
+    for _ in range(60_000):
+        slope = gram @ alpha
+        to = np.where(alpha < most - 1e-12, slope, np.inf).argmin()
+        away = np.where(alpha > 1e-12, slope, -np.inf).argmax()
+        if slope[away] - slope[to] < 1e-9:
+            break
+        bend = gram[to, to] + gram[away, away] - 2 * gram[to, away]
+        move = min(alpha[away], most - alpha[to], (slope[away] - slope[to]) / bend)
+        alpha[to] += move
+        alpha[away] -= move
+    w = alpha @ phi
+    assert model.weights @ model.weights == pytest.approx(w @ w, rel=1e-4)
+    assert np.linalg.norm(model.weights - w) <= 0.01 * np.linalg.norm(w)
+    with pytest.raises(RuntimeError):
+        fit_ocsvm(df, COLS, nu=nu, passes=1)
+    with pytest.raises(ValueError):
+        fit_ocsvm(df.limit(0), COLS, nu=nu)
+
+
 def test_scaler(spark, cloud, tmp_path):
     df = table(spark, cloud).withColumn("c", F.lit(4.0))
     params = fit_scaler(df, COLS)

@@ -59,6 +59,8 @@ def save_model(model, path: str, window: int, run_at: str) -> None:
             "phases": model.phases.tolist(),
             "weights": model.weights.tolist(),
             "rho": model.rho,
+            "gap": model.gap,
+            "passes": model.passes,
         }
     elif isinstance(model, LocalOutlierFactor):
         spark, name = model.density.sparkSession, "lof"
@@ -117,6 +119,8 @@ def latest_model(spark: SparkSession, path: str, window: int, model: str):
             np.array(p["phases"]),
             np.array(p["weights"]),
             p["rho"],
+            p.get("gap", float("nan")),
+            p.get("passes", 0),
         )
     if model == "lof":
         index = CellIndex(

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.metadata import with_metadata
 from ..schema import FEATURES, MODEL_FEATURES
+from ..session import stage
 
 # Which source names a merged window, lowest to highest.
 SOURCE_PRIORITY = ["nginx", "auth", "firewall"]
@@ -234,55 +235,56 @@ def merge_features(*dfs: DataFrame) -> DataFrame:
     return _feature_rows(merged)
 
 
-def category_counts(logs: DataFrame, minutes: int) -> DataFrame:
-    """(window, address, kind, value) with n, bytes and fails: all numbers of a feature row.
+def kind_rows(logs: DataFrame, paths: bool = True) -> DataFrame:
+    """(timestamp, ip, kind, value, bytes, failed): what each row counts under.
 
-    A web row counts under its user agent, an authentication row under its user,
-    a firewall row under its port. The result adds up: wider windows are sums of
-    narrower ones.
+    A web row counts under its user agent and under its path, an authentication row under its
+    user, a firewall row under its port. Bytes and failed logins lie on one of a row's kinds only.
     """
     rows = with_metadata(
         _addressed(logs).where(F.col("source").isin(*SOURCE_PRIORITY)),
-        ["user_agent", "bytes", "dst_port"],
+        ["user_agent", "bytes", "dst_port", *(["path"] if paths else [])],
     )
     source, m = F.col("source"), F.col("_m")
-    user = F.when(F.col("user") != "", F.col("user"))
-    value = (
-        F.when(source == "nginx", _or_empty(m["user_agent"]))
-        .when(source == "auth", user)
-        .otherwise(_or_empty(m["dst_port"]))
+
+    def entry(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    web = [entry("agent", _or_empty(m["user_agent"]))]
+    if paths:
+        web.append(entry("path", _or_empty(m["path"])))
+    kinds = (
+        F.when(source == "nginx", F.array(*web))
+        .when(source == "auth", F.array(entry("user", F.when(F.col("user") != "", F.col("user")))))
+        .otherwise(F.array(entry("port", _or_empty(m["dst_port"]))))
     )
-    return (
-        rows.select(
-            _floor(F.col("timestamp"), minutes).alias("window_start"),
-            "ip",
-            F.when(source == "nginx", "agent").when(source == "auth", "user").otherwise("port").alias("kind"),
-            value.alias("value"),
-            F.when(source == "nginx", _bytes(m["bytes"])).otherwise(F.lit(0.0)).alias("bytes"),
-            (F.col("event_type") == "login_fail").alias("failed"),
-        )
-        .groupBy("window_start", "ip", "kind", "value")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("bytes").alias("bytes"),
-            F.count_if("failed").alias("fails"),
-        )
+    sent = F.when(source == "nginx", _bytes(m["bytes"])).otherwise(F.lit(0.0))
+    failed = F.col("event_type") == "login_fail"
+    each = rows.select("timestamp", "ip", F.explode(kinds).alias("_k"), sent.alias("bytes"), failed.alias("failed"))
+    other = F.col("_k.kind") != "path"
+    return each.select(
+        "timestamp",
+        "ip",
+        F.col("_k.kind").alias("kind"),
+        F.col("_k.value").alias("value"),
+        F.when(other, F.col("bytes")).otherwise(F.lit(0.0)).alias("bytes"),
+        (F.col("failed") & other).alias("failed"),
     )
 
 
-def path_counts(logs: DataFrame, minutes: int) -> DataFrame:
-    """(window, address, path) with n, of web rows."""
-    web = _addressed(logs).where(F.col("source") == "nginx")
-    return (
-        with_metadata(web, ["path"])
-        .select(
-            _floor(F.col("timestamp"), minutes).alias("window_start"),
-            "ip",
-            _or_empty(F.col("_m.path")).alias("value"),
-        )
-        .groupBy("window_start", "ip", "value")
-        .agg(F.count("*").alias("n"))
-    )
+def counted() -> list[Column]:
+    """What is kept of the rows of one (window, address, kind, value)."""
+    return [F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if("failed").alias("fails")]
+
+
+def category_counts(logs: DataFrame, minutes: int, paths: bool = True) -> DataFrame:
+    """(window_start, ip, kind, value) with n, bytes and fails: all that a feature row is made of.
+
+    The counts add up: wider windows are sums of narrower ones.
+    """
+    start = _floor(F.col("timestamp"), minutes).alias("window_start")
+    rows = kind_rows(logs, paths).select(start, "ip", "kind", "value", "bytes", "failed")
+    return rows.groupBy("window_start", "ip", "kind", "value").agg(*counted())
 
 
 def _rolled_up(
@@ -308,9 +310,8 @@ def _rolled_up(
     )
 
 
-def features_of_counts(counts: DataFrame, sizes: list[int], grain: int) -> DataFrame:
-    """The numeric features of every window size from category counts."""
-    rolled = _rolled_up(counts, sizes, grain, ["ip", "kind", "value"], ["n", "bytes", "fails"])
+def _numbers(rolled: DataFrame) -> DataFrame:
+    """The numeric features of every (size, window, address) but the window's address entropy."""
     n, kind = F.col("n"), F.col("kind")
 
     def total(name: str, value: Column) -> Column:
@@ -319,7 +320,7 @@ def features_of_counts(counts: DataFrame, sizes: list[int], grain: int) -> DataF
     def entropy(name: str) -> Column:
         return _entropy(total(name, n), total(name, n * F.log2(n)), F.count_if(kind == name))
 
-    per_key = rolled.groupBy(*_KEY).agg(
+    per_key = rolled.where(kind != "path").groupBy(*_KEY).agg(
         total("agent", n).alias("requests"),
         total("agent", F.col("bytes")).alias("bytes"),
         entropy("agent").alias("user_agent_entropy"),
@@ -337,51 +338,39 @@ def features_of_counts(counts: DataFrame, sizes: list[int], grain: int) -> DataF
     )
 
 
+def features_of_counts(counts: DataFrame, sizes: list[int], grain: int, endpoints: bool = True) -> DataFrame:
+    """Complete feature rows of every window size from ``category_counts`` at ``grain`` minutes.
+
+    Read more than once: numbers, top paths and address entropy each take their kinds.
+    """
+    rolled = _rolled_up(counts, sizes, grain, ["ip", "kind", "value"], ["n", "bytes", "fails"])
+    features = _numbers(rolled)
+    kind = F.col("kind")
+    if endpoints:
+        top = top_counts(rolled.where(kind == "path"), _KEY, "value", "n", TOP_ENDPOINTS, "endpoint_frequency")
+        features = features.join(top, _KEY, "left")
+    requests = rolled.where(kind == "agent").groupBy(*_KEY).agg(F.sum("n").alias("n"))
+    entropies = entropy_of_counts(requests, ["window_size_min", "window_start"], "n", "window_entropy")
+    joined = features.join(entropies, ["window_size_min", "window_start"], "left")
+    # Only addresses that sent web requests carry the window's entropy.
+    return _feature_rows(
+        joined.withColumn("ip_entropy", F.when(F.col("requests") > 0, F.col("window_entropy")))
+    )
+
+
 def extract_features(
     logs: DataFrame, sizes: tuple[int, ...] = (5, 15), endpoints: bool = True
 ) -> DataFrame:
     """Merged feature windows of all sources for every window size.
 
-    The rows are counted once at the widest window that divides all sizes, and
-    each size is rolled up from those counts. Paths are only needed for their
-    top list and are counted apart, so that the numbers never pass a sort. The
-    address entropy of a window comes from a scan of time and address only.
-    ``endpoints=False`` leaves the path lists empty and saves their scan.
+    One pass over the rows counts all kinds at the widest window that divides all sizes. The counts
+    are kept in the shared folder, and each size is rolled up from them.
+    ``endpoints=False`` leaves the path lists empty and does not count paths.
     """
     sizes = sorted(set(int(s) for s in sizes))
     grain = reduce(gcd, sizes)
-    features = features_of_counts(category_counts(logs, grain), sizes, grain)
-    if endpoints:
-        paths = _rolled_up(path_counts(logs, grain), sizes, grain, ["ip", "value"], ["n"])
-        top = top_counts(paths, _KEY, "value", "n", TOP_ENDPOINTS, "endpoint_frequency")
-        features = features.join(top, _KEY, "left")
-    web = logs.where(F.col("source") == "nginx")
-    seen = (
-        _addressed(web)
-        .select(_floor(F.col("timestamp"), grain).alias("_g"), "ip")
-        .groupBy("_g", "ip")
-        .agg(F.count("*").alias("n"))
-    )
-    entropies = [
-        entropy_of_counts(
-            seen.select(_floor(F.col("_g"), s).alias("window_start"), "ip", "n")
-            .groupBy("window_start", "ip")
-            .agg(F.sum("n").alias("n")),
-            ["window_start"],
-            "n",
-            "window_entropy",
-        ).withColumn("window_size_min", F.lit(s))
-        for s in sizes
-    ]
-    joined = features.join(
-        reduce(DataFrame.unionByName, entropies), ["window_size_min", "window_start"], "left"
-    )
-    # Only addresses that sent web requests carry the window's entropy.
-    return _feature_rows(
-        joined.withColumn(
-            "ip_entropy", F.when(F.col("requests") > 0, F.col("window_entropy"))
-        )
-    )
+    counts = stage(category_counts(logs, grain, endpoints), "category-counts")
+    return features_of_counts(counts, sizes, grain, endpoints)
 
 
 def src_count() -> Column:

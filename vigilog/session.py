@@ -68,3 +68,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, for tables a job writes on the way."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table and read it back: several readers, one computation."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,22 +1,20 @@
-"""Continuous normalization, windowed features, inference cycles and retention."""
+"""Continuous normalization, windowed features and deduplication."""
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Callable
+from functools import reduce
+from math import gcd, lcm
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identity import DEFAULT_SALT
-from ..functions.metadata import with_metadata
-from ..operators.features import SOURCE_PRIORITY, _addressed, _entropy, _or_empty
+from ..operators.features import _addressed, _entropy, counted, features_of_counts, kind_rows
 from ..sources.raw import stream_raw_logs, with_host
 from ..sources.registry import normalize, split_dead_letters
 
-log = logging.getLogger(__name__)
-
 
 def _start(writer, interval: str | None) -> StreamingQuery:
     """One catch-up run over what is there, or a trigger each ``interval``."""
@@ -64,71 +62,42 @@ def stream_dedupe(logs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return logs.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["log_id"])
 
 
-def _stream_counts(logs: DataFrame, minutes: int, delay: str) -> DataFrame:
-    """Counts per (window, address, kind, value) on a stream."""
-    rows = with_metadata(
-        _addressed(logs).where(F.col("source").isin(*SOURCE_PRIORITY)),
-        ["user_agent", "bytes", "dst_port"],
-    ).withWatermark("timestamp", delay)
-    source, m = F.col("source"), F.col("_m")
-    kind = F.when(source == "nginx", "agent").when(source == "auth", "user").otherwise("port")
-    value = (
-        F.when(source == "nginx", _or_empty(m["user_agent"]))
-        .when(source == "auth", F.when(F.col("user") != "", F.col("user")))
-        .otherwise(_or_empty(m["dst_port"]))
-    )
-    size = F.when(source == "nginx", F.coalesce(m["bytes"].try_cast("double"), F.lit(0.0)))
-    return rows.groupBy(
-        F.window("timestamp", f"{minutes} minutes").alias("w"),
-        "ip",
-        kind.alias("kind"),
-        value.alias("value"),
-    ).agg(
-        F.count("*").alias("n"),
-        F.sum(F.coalesce(size, F.lit(0.0))).alias("bytes"),
-        F.count_if(F.col("event_type") == "login_fail").alias("fails"),
-    )
+def stream_counts(logs: DataFrame, sizes: tuple[int, ...], delay: str = "10 minutes") -> DataFrame:
+    """Category counts on a stream, each given out once when the span of all sizes around it is past the watermark."""
+    grain, span = reduce(gcd, sizes), lcm(*sizes)
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("timestamp") / (60 * grain)) * (60 * grain))
+    rows = kind_rows(logs.withWatermark("timestamp", delay))
+    keys = [F.window("timestamp", f"{span} minutes").alias("span"), start.alias("window_start"), "ip", "kind", "value"]
+    return rows.groupBy(*keys).agg(*counted()).drop("span")
 
 
-def stream_features(logs: DataFrame, minutes: int, delay: str = "10 minutes") -> DataFrame:
-    """Feature windows in append mode, each once its window is past the watermark.
+def stream_features(
+    logs: DataFrame,
+    sizes: tuple[int, ...],
+    path: str,
+    checkpoint: str,
+    delay: str = "10 minutes",
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Complete feature rows of closed windows to a table, the same as those of the batch job.
 
-    Two chained aggregations, as in the batch form: categories are counted
-    first, then summed up per address, so distinct users and entropies are exact.
+    The state holds counts per (window, address, kind, value). The watermark closes all counts of a
+    span in one micro-batch, so top paths and the window's address entropy are made of them as in
+    batch. Rows behind the watermark are dropped. All sizes come out when the span of their common multiple
+    closes. A micro-batch that is run again replaces its own folder.
     """
-    counts = _stream_counts(logs, minutes, delay)
-    n, kind = F.col("n"), F.col("kind")
-
-    def entropy(name: str):
-        mine = kind == name
-        return _entropy(
-            F.sum(F.when(mine, n)), F.sum(F.when(mine, n * F.log2(n))), F.count_if(mine)
-        )
-
-    requests = F.sum(F.when(kind == "agent", n).otherwise(0))
-    features = counts.groupBy(F.window("w", f"{minutes} minutes").alias("window"), "ip").agg(
-        (requests / minutes).alias("request_rate"),
-        F.sum("fails").alias("login_fail_count"),
-        F.count_if((kind == "user") & F.col("value").isNotNull()).alias("unique_users"),
-        entropy("agent").alias("user_agent_entropy"),
-        F.coalesce(F.try_divide(F.sum("bytes"), requests), F.lit(0.0)).alias("bytes_per_request"),
-        entropy("port").alias("port_entropy"),
-        F.max(F.when(kind == "port", 3).when(kind == "user", 2).otherwise(1)).alias("_p"),
-    )
-    names = F.array(*[F.lit(s) for s in SOURCE_PRIORITY])
-    return features.select(
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
-        F.lit(minutes).alias("window_size_min"),
-        "ip",
-        "request_rate",
-        "login_fail_count",
-        "unique_users",
-        "user_agent_entropy",
-        "bytes_per_request",
-        "port_entropy",
-        F.element_at(names, F.col("_p")).alias("source"),
-    )
+    sizes = tuple(sorted(set(int(s) for s in sizes)))
+
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            features = features_of_counts(counts, list(sizes), reduce(gcd, sizes))
+            features.write.mode("overwrite").parquet(f"{path}/batch={number:010d}")
+        finally:
+            counts.unpersist()
+
+    writer = stream_counts(logs, sizes, delay).writeStream.outputMode("append").foreachBatch(write)
+    return _start(writer.option("checkpointLocation", checkpoint), interval)
 
 
 def stream_ip_entropy(logs: DataFrame, minutes: int, delay: str = "10 minutes") -> DataFrame:
@@ -152,60 +121,3 @@ def write_stream(
     """Append a stream to a Parquet table (exactly once through the sink's log)."""
     writer = df.writeStream.format("parquet").outputMode("append").option("path", path)
     return _start(writer.option("checkpointLocation", checkpoint), interval)
-
-
-def run_cycles(
-    logs: DataFrame,
-    cycle: Callable[[DataFrame], DataFrame],
-    minutes: int,
-    store: str,
-    alerts_path: str,
-    checkpoint: str,
-    interval: str | None = None,
-) -> StreamingQuery:
-    """Keep each batch in ``store`` and run ``cycle`` (rows to alerts) on the windows it touches.
-
-    A cycle reads whole windows from the store, so rows of a window may come in any number
-    of batches, in any order: each cycle's alerts replace those of earlier ones for its windows.
-    A batch counts as done when a cycle that read it has written its alerts. A failed cycle is
-    logged, and the next one takes its batches too. ``interval=None`` makes one pass over
-    what is there. Read the result with ``current_alerts``.
-    """
-    start = F.window("timestamp", f"{minutes} minutes")["start"]
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        try:
-            stored = spark.read.parquet(store).withColumn("_start", start)
-            done = _read_cycles(spark, alerts_path, "batches", "batch bigint")
-            fresh = stored.join(done, "batch", "left_anti")
-            batches = fresh.select(F.col("batch").cast("bigint").alias("batch")).distinct()
-            windows = fresh.select(F.col("_start").alias("window_start")).distinct()
-            # Written first: what is fresh is defined by the store, and the store goes on growing.
-            windows.write.mode("overwrite").parquet(f"{alerts_path}/windows/cycle={number}")
-            windows = spark.read.schema(windows.schema).parquet(f"{alerts_path}/windows/cycle={number}")
-            rows = stored.join(windows, F.col("_start") == F.col("window_start"), "left_semi").drop("_start", "batch")
-            alerts = cycle(rows).withColumn("_window", F.col("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))
-            alerts.write.mode("overwrite").parquet(f"{alerts_path}/alerts/cycle={number}")
-            batches.write.mode("overwrite").parquet(f"{alerts_path}/batches/cycle={number}")
-        except Exception:
-            log.exception("inference cycle %d failed", number)
-
-    writer = logs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _start(writer, interval)
-
-
-def _read_cycles(spark: SparkSession, alerts_path: str, name: str, schema: str) -> DataFrame:
-    """One of the tables that cycles keep, empty before the first; ``cycle`` is a column."""
-    path = f"{alerts_path}/{name}"
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/cycle=-1")
-    return spark.read.schema(f"{schema}, cycle bigint").parquet(path)
-
-
-def current_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
-    """The alerts of each window by the last finished cycle that read it."""
-    finished = _read_cycles(spark, alerts_path, "batches", "batch bigint").select("cycle").distinct()
-    windows = _read_cycles(spark, alerts_path, "windows", "window_start timestamp").join(finished, "cycle", "left_semi")
-    last = windows.groupBy(F.col("window_start").alias("_window")).agg(F.max("cycle").alias("cycle"))
-    return spark.read.parquet(f"{alerts_path}/alerts").join(last, ["_window", "cycle"], "left_semi").drop("_window", "cycle")
