@@ -53,7 +53,7 @@ def brute(rows):
 TEXTS = [
     None, "", " ", "  ", "\n", "a", "a b", " lead", "trail ", "two  blanks", "line\nbreak\n\nmore \n x", "tab\tx", "naïve café", "日本語のテキスト、混ぜる",
     "😀 👍🏽 family 👨‍👩‍👧", "<|endoftext|> <s> </s> <unk> <0x41>", "a▁b", " x　y z\x1cq \x85w", "é ﬁ Ⅳ", "\x00 nul \r\n end",
-    "don't I'll we've 'tis 12345 3.14", "Don't\n'quoted' 's", "ÉÈ ÄÖÜ ß straße", "http://example.org/a_b?c=d&e=f", "=" * 400, "ab" * 900, "x" * 3000 + "é" * 50,
+    "don't I'll we've 'tis 12345 3.14", "Don't\n'quoted' 's", "ÉÈ ÄÖÜ ß straße", "http://example.org/a_b?c=d&e=f", "e.g. i.e.x (a)b!?c; d--e... f", "a\u0301b x\u0301. ²³, Ⅳ: ª!", "\n.\n, x\n\ty ..z", "=" * 400, "ab" * 900, "x" * 3000 + "é" * 50,
 ]
 
 
@@ -81,9 +81,9 @@ def test_very_long_texts_in_parts(make, words, monkeypatch):
 
 def test_spans_are_refined_by_bytes():
     # Three tokens inside one character of four bytes share its span.
-    assert token_ends([(0, 1), (1, 5), (1, 5), (1, 5), (5, 6)], [1, 2, 1, 1, 1]) == [1, 3, 4, 5, 6]
+    assert token_ends([(0, 1), (1, 5), (1, 5), (1, 5), (5, 6)], [b"a", b"bc", b"d", b"e", b"f"]) == [1, 3, 4, 5, 6]
     # Byte-fallback pieces: empty spans, the last one holds the character.
-    assert token_ends([(0, 0), (0, 0), (0, 3), (3, 4)], [1, 1, 1, 1]) == [1, 2, 3, 4]
+    assert token_ends([(0, 0), (0, 0), (0, 3), (3, 4)], [b"a", b"b", b"c", b"d"]) == [1, 2, 3, 4]
     assert common_groups([1, 3, 4], [2, 3, 4]) == [(0, 2, 0, 2), (2, 3, 2, 3)]
 
 

@@ -6,8 +6,8 @@ the coarse cuts. Where a span is not as long as what the token stands for (sever
 character, or a character of byte-fallback pieces), the token's decoded bytes give the cut. Cuts on
 which both sides end divide the tokens into groups.
 
-Neither vocabulary has tokens that reach from a letter over the blank behind it, so a text falls
-into units at such blanks. A task aligns each unit once and remembers it.
+Neither vocabulary has tokens that reach from a letter over the blank or mark behind it, so a text
+falls into units at such places. A task aligns each unit once and remembers it.
 
 How often a pair of ids is linked is a number of the whole table. Pairs that would make a large group in a
 join are few: at most ``HOT_PAIRS`` pairs have more than 1 / ``HOT_PAIRS`` of all entries. Only these are
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +33,18 @@ from .packing import byte_letters
 ops = Registry()
 
 HOT_PAIRS = 200_000
-UNITS_KEPT = 200_000
+UNITS_KEPT = 300_000
 UNIT_LETTERS = 48  # longer units are aligned anew each time
 UNITS_AT_ONCE = 8192  # of a text, so that very long texts stay in bounds
+BLOCK_UNITS = 256  # that go through the tokenizers as one text
 EXPANDED = 4096  # links of one group that are listed one by one; beyond, they are counted by id
 SPACE = "▁"
-# A blank or line break between two visible characters starts a unit.
-_BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# A blank or line break between two visible characters starts a unit, and so does a mark behind a letter where
+# no piece of B holds both; A's own pattern cuts at both places.
+_BLANK = r"(?<=\S)(?=[ \n]\S)"
+_MARK = r"(?<=[^\W\d_])(?=[^\w\s])"
+_LETTER_AND_MARK = re.compile(r"[^\W\d_][^\w\s]")
+_LEAD = " x"
 ALIGNED = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
     "pairs array<bigint>, times array<bigint>"
@@ -50,12 +57,12 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def token_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
+def token_ends(spans: list[tuple[int, int]], tokens: list[bytes]) -> list[int]:
     """The byte on which each token ends: its span's end where the span holds just the token's
     bytes, and otherwise as many bytes on as the token has."""
     at, ends = 0, []
-    for (begin, end), size in zip(spans, sizes):
-        at = end if begin == at and end - begin == size else at + size
+    for (begin, end), token in zip(spans, tokens):
+        at = end if begin == at and end - begin == len(token) else at + len(token)
         ends.append(at)
     return ends
 
@@ -75,35 +82,13 @@ def common_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int,
     return groups
 
 
-class Unit:
-    """What a unit adds to its text; ``pairs`` are packed 64-bit numbers, ``many`` counts those of huge groups."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "listed", "pairs", "many")
-
-    def __init__(self, a: list[int], b: list[int], groups: list[tuple[int, int, int, int]], width: int) -> None:
-        self.n_a, self.n_b, self.n_groups, self.n_links = len(a), len(b), len(groups), 0
-        pairs: list[int] = []
-        listed: list[str] = []
-        self.many: Counter | None = None
-        for a0, a1, b0, b1 in groups:
-            ids_a, ids_b = a[a0:a1], b[b0:b1]
-            listed.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
-            links = (a1 - a0) * (b1 - b0)
-            self.n_links += links
-            if links <= EXPANDED:
-                pairs += [x * width + y for x in ids_a for y in ids_b]
-            else:
-                self.many = self.many or Counter()
-                of_b = Counter(ids_b).items()
-                for x, n in Counter(ids_a).items():
-                    for y, m in of_b:
-                        self.many[x * width + y] += n * m
-        self.listed = ";".join(listed)
-        self.pairs = np.asarray(pairs, np.int64).tobytes()
+# What a unit adds to its text: numbers of tokens, groups and links, its groups as text, its links as packed
+# 64-bit pairs, and the counted pairs of huge groups.
+Unit = tuple[int, int, int, int, str, bytes, "Counter | None"]
 
 
 class Aligner:
-    """Aligned units of texts; the most frequent kinds are remembered up to a number."""
+    """Aligned units of texts, remembered up to a number."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import os
@@ -129,83 +114,133 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
             raise ValueError("a piece of this model reaches over a blank")
+        marks_apart = not any(_LETTER_AND_MARK.search(p) for p in pieces)
+        self.border = re.compile(f"{_BLANK}|{_MARK}" if marks_apart else _BLANK)
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.numbers = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.known: dict[str, Unit | None] = {}
 
     def _align(self, units: list[str]) -> list[Unit | None]:
-        found_a = self.a.encode_batch(units, add_special_tokens=False)
-        # B puts a blank before each text itself.
-        found_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], return_type="proto", num_threads=1)
-        return [self._unit(u, x, y.pieces) for u, x, y in zip(units, found_a, found_b)]
-
-    def _unit(self, unit: str, found_a, pieces) -> Unit | None:
-        data = unit.encode("utf-8", "replace")
-        a = found_a.ids
-        sizes_a = [len(self.bytes_a[i]) for i in a]
-        spans_a = found_a.offsets
-        if len(data) != len(unit):
-            byte_at = [0]
-            for letter in unit:
-                byte_at.append(byte_at[-1] + len(letter.encode("utf-8", "replace")))
-            spans_a = [(byte_at[x], byte_at[y]) for x, y in spans_a]
-        b = [p.id for p in pieces]
-        if unit[0] == " ":  # the blank is B's own: the first piece takes it
-            spans_b = [(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(pieces)]
-        else:  # a line break: B's own blank stands alone before it
-            if not b or self.bytes_b[b[0]] != b" ":
-                return None
-            b, spans_b = b[1:], [(p.begin, p.end) for p in pieces][1:]
-        sizes_b = [len(self.bytes_b[i]) for i in b]
-        if b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
+        """Units in blocks, each as one text; those that a neighbour could change, or that spoil a block, alone."""
+        found: dict[str, Unit | None] = {}
+        apart = [u for u in units if u[-1].isspace() or u[:2].isspace()]
+        found.update((u, (self._block([u]) or [None])[0]) for u in apart)
+        rest = [u for u in units if u not in found]
+        for low in range(0, len(rest), BLOCK_UNITS):
+            block = rest[low : low + BLOCK_UNITS]
+            done = self._block(block) or [(self._block([u]) or [None])[0] for u in block]
+            found.update(zip(block, done))
+        return [found[u] for u in units]
+
+    def _block(self, units: list[str]) -> list[Unit] | None:
+        """The units one behind the other as one text, cut by its spans; None if a tokenizer does not give it back.
+
+        A unit without a blank goes behind a letter of its own, which it can't join.
+        """
+        parts = [u if u[0] == " " else _LEAD + u for u in units]
+        text = "".join(parts)
+        data = text.encode()
+        found_a = self.a.encode(text, add_special_tokens=False)
+        pieces = self.b.encode(text[1:], return_type="proto").pieces  # B puts the first blank itself
+        a, b = found_a.ids, [p.id for p in pieces]
+        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
             return None
-        groups = common_groups(token_ends(spans_a, sizes_a), token_ends(spans_b, sizes_b))
-        return Unit(a, b, groups, len(self.bytes_b))
+        if len(data) == len(text):
+            # Every byte is a character: spans are exact.
+            ends_a, ends_b = [end for _, end in found_a.offsets], [p.end + 1 for p in pieces]
+        else:
+            byte_at = [0, *accumulate(len(letter.encode()) for letter in text)]
+            ends_a = token_ends([(byte_at[x], byte_at[y]) for x, y in found_a.offsets], bytes_a)
+            spans_b = [(p.begin + 1, p.end + 1) for p in pieces]
+            spans_b[0] = (0, spans_b[0][1])
+            ends_b = token_ends(spans_b, bytes_b)
+        groups = common_groups(ends_a, ends_b)
+        out, at, first = [], 0, 0
+        for unit, part in zip(units, parts):
+            if part is not unit:
+                if ends_a[groups[first][1] - 1] != at + len(_LEAD):
+                    return None
+                first += 1
+            at += len(part) if part.isascii() else len(part.encode())
+            last = first
+            while last < len(groups) and ends_a[groups[last][1] - 1] <= at:
+                last += 1
+            if last == first or ends_a[groups[last - 1][1] - 1] != at:
+                return None
+            out.append(self._unit(a, b, groups[first:last]))
+            first = last
+        return out
+
+    def _unit(self, a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> Unit:
+        links, pairs, listed, many = 0, [], [], None
+        numbers, width = self.numbers, len(self.bytes_b)
+        for a0, a1, b0, b1 in groups:
+            here = (a1 - a0) * (b1 - b0)
+            links += here
+            if here == 1:
+                x, y = a[a0], b[b0]
+                listed.append(f"{numbers[x]}|{numbers[y]}")
+                pairs.append(x * width + y)
+                continue
+            ids_a, ids_b = a[a0:a1], b[b0:b1]
+            listed.append(",".join([numbers[i] for i in ids_a]) + "|" + ",".join([numbers[i] for i in ids_b]))
+            if here <= EXPANDED:
+                pairs += [x * width + y for x in ids_a for y in ids_b]
+            else:
+                many = many or Counter()
+                of_b = Counter(ids_b).items()
+                for x, n in Counter(ids_a).items():
+                    for y, m in of_b:
+                        many[x * width + y] += n * m
+        (a0, _, b0, _), (_, a1, _, b1) = groups[0], groups[-1]
+        return a1 - a0, b1 - b0, len(groups), links, ";".join(listed), array("q", pairs).tobytes(), many
 
     def units(self, text: str) -> Iterator[list[Unit | None]]:
         """The aligned units of a space and ``text``, in order, a few thousand at a time."""
-        whole = " " + text
-        borders = [m.start() for m in _BORDER.finditer(whole)]
-        starts, known = [0, *borders], self.known
-        ends = [*borders, len(whole)]
-        for low in range(0, len(starts), UNITS_AT_ONCE):
-            part = [whole[s:e] for s, e in zip(starts[low : low + UNITS_AT_ONCE], ends[low : low + UNITS_AT_ONCE])]
-            fresh = [u for u in dict.fromkeys(part) if u not in known]
+        parts, known = self.border.split(" " + text), self.known
+        for low in range(0, len(parts), UNITS_AT_ONCE):
+            part = parts[low : low + UNITS_AT_ONCE]
+            fresh = list(set(part).difference(known))
             own = dict(zip(fresh, self._align(fresh))) if fresh else {}
-            for u in fresh:
-                if len(u) <= UNIT_LETTERS and len(known) < UNITS_KEPT:
-                    known[u] = own[u]
-            yield [own[u] if u in own else known[u] for u in part]
+            room = UNITS_KEPT - len(known)
+            kept = [u for u in fresh if len(u) <= UNIT_LETTERS][: max(0, room)]
+            known.update((u, own.pop(u)) for u in kept)
+            yield [own[u] if u in own else known[u] for u in part] if own else list(map(known.__getitem__, part))
 
     def of_text(self, text: bytes) -> dict:
         """The columns of one row but its id."""
         none = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pairs": [], "times": []}
-        if not text:
-            return none
-        total = dict(none)
-        digest, first = hashlib.sha256(), True
-        pairs, times = np.empty(0, np.int64), np.empty(0, np.int64)
         try:
             decoded = text.decode("utf-8")
         except UnicodeDecodeError:
             return none
+        if not decoded:
+            return none
+        totals, digest, first = [0, 0, 0, 0], hashlib.sha256(), True
+        pairs, times = np.empty(0, np.int64), np.empty(0, np.int64)
         for part in self.units(decoded):
             if None in part:
                 return none
-            for name in ("n_a", "n_b", "n_groups", "n_links"):
-                total[name] += sum([getattr(u, name) for u in part])
-            digest.update((("" if first else ";") + ";".join([u.listed for u in part])).encode())
+            *counts, listed, packed, many = zip(*part)
+            totals = [x + sum(y) for x, y in zip(totals, counts)]
+            digest.update((("" if first else ";") + ";".join(listed)).encode())
+            found = np.frombuffer(b"".join(packed), np.int64)
+            huge = [m for m in many if m]
+            if first and not huge:
+                pairs, times = np.unique(found, return_counts=True)
+            else:
+                values = [pairs, found, *[np.fromiter(m.keys(), np.int64, len(m)) for m in huge]]
+                weights = [times, np.ones(len(found), np.int64), *[np.fromiter(m.values(), np.int64, len(m)) for m in huge]]
+                pairs, place = np.unique(np.concatenate(values), return_inverse=True)
+                times = np.zeros(len(pairs), np.int64)
+                np.add.at(times, place, np.concatenate(weights))
             first = False
-            listed = np.frombuffer(b"".join([u.pairs for u in part]), np.int64)
-            many = [u.many for u in part if u.many]
-            values = [pairs, listed, *[np.fromiter(m.keys(), np.int64, len(m)) for m in many]]
-            counts = [times, np.ones(len(listed), np.int64), *[np.fromiter(m.values(), np.int64, len(m)) for m in many]]
-            pairs, place = np.unique(np.concatenate(values), return_inverse=True)
-            times = np.zeros(len(pairs), np.int64)
-            np.add.at(times, place, np.concatenate(counts))
-        return total | {"groups_sha256": digest.hexdigest(), "pairs": pairs, "times": times}
+        names = ("n_a", "n_b", "n_groups", "n_links")
+        return dict(zip(names, totals)) | {"groups_sha256": digest.hexdigest(), "pairs": pairs, "times": times}
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
