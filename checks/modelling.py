@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.models import prepare as p
 from vigilog.models.artifacts import latest_model, latest_scaler, save_model, save_scaler
 from vigilog.models.importance import permutation_importance
-from vigilog.models.iforest import fit_iforest, score_iforest
+from vigilog.models.iforest import NODE_SCHEMA, IsolationForest, fit_iforest, mean_path, score_iforest
 from vigilog.models.lof import fit_lof, score_lof, training_factors
-from vigilog.models.ocsvm import fit_ocsvm, score_ocsvm
+from vigilog.models.ocsvm import OneClassSvm, fit_ocsvm, score_ocsvm
 from vigilog.operators import metrics as m
 from vigilog.operators.features import model_inputs
 from vigilog.operators.labels import label_by_ip
 from vigilog.plans.event_logs import attackers, event_logs
-from vigilog.plans.inference import run_inference
+from vigilog.plans.inference import run_latest
 from vigilog.plans.training import evaluate_models, train
 from vigilog.schema import MODEL_FEATURES
 from vigilog.session import cut_lineage, work_folder
@@ -219,13 +220,30 @@ def support_vector_scores(spark, folder):
     return rounded(score_ocsvm(rows, model).select("feature_id", "anomaly_score", "is_anomaly"))
 
 
-@checks.add()
+_REPEATS = 3
+_TRIED = " + ".join(
+    f"{w} * CASE WHEN t // {_REPEATS} = {MODEL_FEATURES.index(c)} THEN b.{c} ELSE a.{c} END"
+    for c, w in (("request_rate", 1.0), ("login_fail_count", 2.0), ("port_entropy", 1.0))
+)
+
+
+@checks.add(
+    f"""WITH {feat()}, i AS (SELECT feature_id, CAST(is_attack AS INTEGER) AS y, {", ".join(f"{e} AS {c}" for c, e in _INPUT.items())} FROM feat),
+p AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || feature_id), feature_id) - 1 AS place, count(*) OVER () AS n FROM i),
+tr AS (SELECT t, 1 + (43 * 7919 + t * 104729) % ((SELECT count(*) FROM p) - 1) AS shift FROM range({len(MODEL_FEATURES) * _REPEATS}) r(t)),
+j AS (SELECT t, a.y, {_TRIED} AS score FROM p a, tr JOIN p b ON b.place = (a.place + shift) % b.n
+  UNION ALL SELECT -1, y, request_rate + 2.0 * login_fail_count + port_entropy FROM p),
+{_auc_sql('t')}
+SELECT ({list(MODEL_FEATURES)})[CAST(t // {_REPEATS} + 1 AS INTEGER)] AS feature, round(avg((SELECT auc FROM u WHERE t = -1) - auc), 6) + 0.0 AS importance_mean,
+  round(stddev_pop((SELECT auc FROM u WHERE t = -1) - auc), 6) + 0.0 AS importance_std FROM u WHERE t >= 0 GROUP BY 1"""
+)
 def feature_importance(spark, folder):
-    rows = scaled_inputs(spark, folder)
-    forest = fit_iforest(rows, trees=50, contamination=_SHARE, ids=("feature_id",))
-    return rounded(
-        permutation_importance(rows, lambda df: score_iforest(df, forest), MODEL_FEATURES, ["feature_id"])
+    """Importance for a score that is a formula, so that SQL can follow every trial."""
+    score = F.col("request_rate") + 2.0 * F.col("login_fail_count") + F.col("port_entropy")
+    found = permutation_importance(
+        inputs(spark, folder), lambda df: df.withColumn("anomaly_score", score), MODEL_FEATURES, ["feature_id"], repeats=_REPEATS
     )
+    return rounded(found)
 
 
 @checks.add()
@@ -236,16 +254,79 @@ def model_comparison(spark, folder):
     return rounded(evaluate_models(trained, rest, "events", f"{MINUTES}min"))
 
 
-@checks.add()
+# A model written by hand: (node, feature, threshold, left, right, path) of three trees over scaled features.
+_TREES = [
+    [(0, "login_fail_count", 0.1, 1, 2, 0.0), (1, None, 0.0, -1, -1, 13.0), (2, "bytes_per_request", 0.4, 3, 4, 0.0), (3, None, 0.0, -1, -1, 9.0), (4, None, 0.0, -1, -1, 7.5)],
+    [(0, "port_entropy", 0.05, 1, 2, 0.0), (1, None, 0.0, -1, -1, 12.0), (2, None, 0.0, -1, -1, 6.5)],
+    [(0, "unique_users", 0.2, 1, 2, 0.0), (1, "request_rate", 0.05, 3, 4, 0.0), (2, None, 0.0, -1, -1, 5.0), (3, None, 0.0, -1, -1, 12.5), (4, None, 0.0, -1, -1, 9.5)],
+]
+_CENTRES = {c: (0.05 * i, 1.0 + 0.25 * i) for i, c in enumerate(MODEL_FEATURES)}
+_GIVEN_SQL = f"""{feat()}, scaled AS (SELECT feat.*, {", ".join(f"({e} - {_CENTRES[c][0]}) / {_CENTRES[c][1]} AS z_{c}" for c, e in _INPUT.items())} FROM feat)"""
+
+
+def _path_sql(tree, node=0) -> str:
+    _, feature, threshold, left, right, path = tree[node]
+    if feature is None:
+        return str(path)
+    return f"CASE WHEN z_{feature} <= {threshold} THEN {_path_sql(tree, left)} ELSE {_path_sql(tree, right)} END"
+
+
+_FOREST_SQL = f"""{_GIVEN_SQL}, scored AS (SELECT *, pow(2, -(({") + (".join(_path_sql(t) for t in _TREES)})) / {len(_TREES)} / {float(mean_path(256))}) - 0.5 AS score,
+    CASE WHEN login_fail_count > 10 THEN 'bruteforce' WHEN port_entropy > 2 THEN 'recon' ELSE 'anomaly' END AS event_type FROM scaled)"""
+
+
+def given_forest(spark, offset: float = -0.5) -> IsolationForest:
+    rows = [
+        (t, node, -1 if feature is None else MODEL_FEATURES.index(feature), cut, left, right, path)
+        for t, tree in enumerate(_TREES)
+        for node, feature, cut, left, right, path in tree
+    ]
+    return IsolationForest(spark.createDataFrame(rows, NODE_SCHEMA), list(MODEL_FEATURES), 256, offset)
+
+
+def given_scaler(spark):
+    return spark.createDataFrame([(c, m, s) for c, (m, s) in _CENTRES.items()], "feature string, mean double, std double")
+
+
+@checks.add(f"WITH {_FOREST_SQL} SELECT feature_id, round(score, 6) + 0.0 AS anomaly_score, score > 0 AS is_anomaly FROM scored")
+def given_forest_scores(spark, folder):
+    """A forest written by hand, scored as a fitted one is."""
+    rows = p.scale(inputs(spark, folder), given_scaler(spark))
+    return rounded(score_iforest(rows, given_forest(spark)).select("feature_id", "anomaly_score", "is_anomaly"))
+
+
+_WAVES = [(0.5, -0.25), (1.0, 0.75), (-0.5, 1.5)]  # step of the direction over the features, and phase
+_SVM_WEIGHTS, _RHO = [0.4, 0.3, -0.2], 0.1
+_WAVE_SQL = " + ".join(
+    f"{w} * sqrt(2.0 / 3) * cos({' + '.join(f'{step} * {i + 1} * z_{c}' for i, c in enumerate(MODEL_FEATURES))} + {phase})"
+    for w, (step, phase) in zip(_SVM_WEIGHTS, _WAVES)
+)
+
+
+@checks.add(f"WITH {_GIVEN_SQL} SELECT feature_id, round({_RHO} - ({_WAVE_SQL}), 6) + 0.0 AS anomaly_score, {_RHO} - ({_WAVE_SQL}) > 0 AS is_anomaly FROM scaled")
+def given_support_vector_scores(spark, folder):
+    """A one-class SVM of three waves, stored and loaded again."""
+    steps = np.array([[step * (i + 1) for step, _ in _WAVES] for i in range(len(MODEL_FEATURES))])
+    given = OneClassSvm(list(MODEL_FEATURES), steps, np.array([phase for _, phase in _WAVES]), np.array(_SVM_WEIGHTS), _RHO)
+    path = work_folder(spark, "models")
+    save_model(given, path, MINUTES, "20240131_000000")
+    rows = p.scale(inputs(spark, folder), given_scaler(spark))
+    return rounded(score_ocsvm(rows, latest_model(spark, path, MINUTES, "ocsvm")).select("feature_id", "anomaly_score", "is_anomaly"))
+
+
+@checks.add(
+    f"""WITH {_FOREST_SQL}, top AS (SELECT CASE WHEN max(score) > 0 THEN max(score) ELSE 1 END AS m FROM scored),
+risky AS (SELECT *, greatest(0, least(100, CAST(round_even(greatest(0, least(score, m)) / m * 100 * 0.6 +
+    CASE event_type WHEN 'bruteforce' THEN 100 WHEN 'recon' THEN 75 ELSE 40 END * 0.3 +
+    CASE source WHEN 'firewall' THEN 100 WHEN 'auth' THEN 80 ELSE 60 END * 0.1, 0) AS INTEGER))) AS risk_score FROM scored, top)
+SELECT sha256(feature_id || '|IsolationForest') AS id, window_end AS timestamp, source, event_type,
+  CASE WHEN risk_score >= 90 THEN 'critical' WHEN risk_score >= 70 THEN 'high' ELSE 'medium' END AS severity, ip AS ip_address, risk_score FROM risky WHERE score > 0"""
+)
 def inference_alerts(spark, folder):
-    """Store models, load the newest, score all windows of the logs and raise alerts."""
-    rows = inputs(spark, folder)
-    params = p.fit_scaler(rows)
-    forest = fit_iforest(p.scale(rows, params), trees=100, contamination=_SHARE, ids=("feature_id",))
+    """Store an older and a newer model, load the newest, score all windows of the logs and raise alerts."""
     path = work_folder(spark, "models")
-    save_scaler(params, path, MINUTES, "20240131_000000")
-    save_model(forest, path, MINUTES, "20240131_000000")
-    scaler = latest_scaler(spark, path, MINUTES)
-    model = latest_model(spark, path, MINUTES, "isolation_forest")
-    _, alerts = run_inference(event_logs(spark, folder), scaler, model, MINUTES)
+    for run_at, offset in (("20240130_000000", -0.9), ("20240131_000000", -0.5)):
+        save_scaler(given_scaler(spark), path, MINUTES, run_at)
+        save_model(given_forest(spark, offset), path, MINUTES, run_at)
+    _, alerts = run_latest(spark, event_logs(spark, folder), path, MINUTES)
     return naive(alerts.select("id", "timestamp", "source", "event_type", "severity", "ip_address", "risk_score"))

@@ -43,11 +43,11 @@ _WEB_FIELDS = "'GET' AS m_method, path AS m_path, CAST(200 AS BIGINT) AS m_statu
 
 
 @checks.add(
-    f"""WITH {EV}, l AS (SELECT *, {_WEB_LINE} AS line FROM ev WHERE source = 'nginx')
+    f"""WITH {EV}, l AS (SELECT *, {_WEB_LINE} AS line FROM ev)
 SELECT {_ID}, 'nginx' AS source, ip, CAST(NULL AS VARCHAR) AS "user", 'request' AS event_type, line AS raw, {_WEB_FIELDS} FROM l"""
 )
 def normalize_nginx(spark, folder):
-    parsed = normalize(event_lines(spark, folder, "nginx"), "nginx")
+    parsed = normalize(event_lines(spark, folder, "nginx", False), "nginx")
     return _fields(parsed, "method", "path", "status", "bytes", "user_agent", text=("method", "path", "user_agent"))
 
 
@@ -88,16 +88,16 @@ _SYSLOG = (
 
 
 def _auth_sql(source: str, other: str, other_raw: str, other_user: str, other_event: str) -> str:
-    return f"""WITH {EV}, l AS (SELECT *,
-  {_SYSLOG} || CASE WHEN kind = 'error' THEN 'Failed password for invalid user ' || account || ' from ' || ip || ' port 22 ssh2'
-    WHEN kind = 'signup' THEN 'Accepted password for ' || account || ' from ' || ip || ' port 22 ssh2' ELSE {other} END AS line,
-  {_SYSLOG} || CASE WHEN kind = 'error' THEN 'Failed password for ' || {hashed("'invalid'")} || ' user ' || {hashed("account")} || ' from ' || ip || ' port 22 ssh2'
-    WHEN kind = 'signup' THEN 'Accepted password for ' || {hashed("account")} || ' from ' || ip || ' port 22 ssh2' ELSE {other_raw} END AS raw
-  FROM ev)
+    return f"""WITH {EV}, m AS (SELECT *,
+  CASE WHEN kind = 'error' THEN 'Failed password for invalid user ' || account || ' from ' || ip || ' port 22 ssh2'
+    WHEN kind = 'signup' THEN 'Accepted password for ' || account || ' from ' || ip || ' port 22 ssh2' ELSE {other} END AS message,
+  CASE WHEN kind = 'error' THEN 'Failed password for ' || {hashed("'invalid'")} || ' user ' || {hashed("account")} || ' from ' || ip || ' port 22 ssh2'
+    WHEN kind = 'signup' THEN 'Accepted password for ' || {hashed("account")} || ' from ' || ip || ' port 22 ssh2' ELSE {other_raw} END AS m_message
+  FROM ev), l AS (SELECT *, {_SYSLOG} || message AS line, {_SYSLOG} || m_message AS raw FROM m)
 SELECT {_ID}, '{source}' AS source, CASE WHEN kind IN ('error', 'signup') THEN ip END AS ip,
   CASE WHEN kind IN ('error', 'signup') THEN {hashed("account")} ELSE {other_user} END AS "user",
   CASE WHEN kind = 'error' THEN 'login_fail' WHEN kind = 'signup' THEN 'login_success' ELSE '{other_event}' END AS event_type,
-  raw, 'server-01' AS m_hostname, 'sshd' AS m_process, CAST(1000 + k AS BIGINT) AS m_pid FROM l"""
+  raw, 'server-01' AS m_hostname, 'sshd' AS m_process, CAST(1000 + k AS BIGINT) AS m_pid, m_message FROM l"""
 
 
 _CLOSED = "'session closed for user ' || account"
@@ -107,14 +107,14 @@ _CLOSED_RAW = f"'session closed for ' || {hashed(chr(39) + 'user' + chr(39))} ||
 @checks.add(_auth_sql("auth", _CLOSED, _CLOSED_RAW, hashed("'user'"), "session_close"))
 def normalize_auth(spark, folder):
     parsed = normalize(event_lines(spark, folder, "auth", False), "auth", reference_year=YEAR)
-    return _fields(parsed, "hostname", "process", "pid", text=("hostname", "process"))
+    return _fields(parsed, "hostname", "process", "pid", "message", text=("hostname", "process", "message"))
 
 
 @checks.add(_auth_sql("auth", _CLOSED, _CLOSED_RAW, hashed("account"), "session_close"))
 def normalize_auth_agent(spark, folder):
     lines = event_lines(spark, folder, "auth", False)
     parsed = normalize(lines, "auth", ruleset="agent", reference_year=YEAR)
-    return _fields(parsed, "hostname", "process", "pid", text=("hostname", "process"))
+    return _fields(parsed, "hostname", "process", "pid", "message", text=("hostname", "process", "message"))
 
 
 _GONE = "'Connection closed by ' || ip || ' port 22'"
@@ -124,7 +124,7 @@ _GONE = "'Connection closed by ' || ip || ' port 22'"
 def normalize_secrepo_auth(spark, folder):
     lines = event_lines(spark, folder, "secrepo_auth", False)
     parsed = normalize(lines, "secrepo_auth", reference_year=YEAR)
-    return _fields(parsed, "hostname", "process", "pid", text=("hostname", "process"))
+    return _fields(parsed, "hostname", "process", "pid", "message", text=("hostname", "process", "message"))
 
 
 _FIREWALL_LINE = (
@@ -148,16 +148,16 @@ def normalize_firewall(spark, folder):
 
 
 @checks.add(
-    f"""WITH {EV}, l AS (SELECT *, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' UTC [' || CAST(1000 + k AS VARCHAR) || '] ' || account || '@shop LOG: ' ||
-  CASE kind WHEN 'click' THEN 'statement: SELECT * FROM t' WHEN 'view' THEN 'statement: INSERT INTO t VALUES (1)'
-    WHEN 'signup' THEN 'connection received from ' || ip WHEN 'error' THEN 'FATAL: bad state' ELSE 'checkpoint complete' END AS line FROM ev)
+    f"""WITH {EV}, m AS (SELECT *, CASE kind WHEN 'click' THEN 'statement: SELECT * FROM t' WHEN 'view' THEN 'statement: INSERT INTO t VALUES (1)'
+    WHEN 'signup' THEN 'connection received from ' || ip WHEN 'error' THEN 'FATAL: bad state' ELSE 'checkpoint complete' END AS m_message FROM ev),
+l AS (SELECT *, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ' UTC [' || CAST(1000 + k AS VARCHAR) || '] ' || account || '@shop LOG: ' || m_message AS line FROM m)
 SELECT {_ID}, 'postgres' AS source, CASE WHEN kind = 'signup' THEN ip END AS ip, {hashed("account")} AS "user",
   CASE kind WHEN 'click' THEN 'select' WHEN 'view' THEN 'insert' WHEN 'signup' THEN 'connection' WHEN 'error' THEN 'error' ELSE 'db_event' END AS event_type,
-  line AS raw, CAST(1000 + k AS BIGINT) AS m_pid, 'shop' AS m_database, 'LOG' AS m_level FROM l"""
+  line AS raw, CAST(1000 + k AS BIGINT) AS m_pid, 'shop' AS m_database, 'LOG' AS m_level, m_message FROM l"""
 )
 def normalize_postgres(spark, folder):
     parsed = normalize(event_lines(spark, folder, "postgres", False), "postgres")
-    return _fields(parsed, "pid", "database", "level", text=("database", "level"))
+    return _fields(parsed, "pid", "database", "level", "message", text=("database", "level", "message"))
 
 
 def _api_line(message: str) -> str:
@@ -173,11 +173,12 @@ def _api_line(message: str) -> str:
     f"""WITH {EV}, l AS (SELECT *, {_api_line("'Login request'")} AS line, {_api_line("'Login ' || " + hashed("'request'"))} AS raw FROM ev)
 SELECT {_ID}, 'api' AS source, ip, {hashed("account")} AS "user",
   CASE WHEN kind IN ('error', 'purchase') THEN 'error' WHEN kind = 'signup' THEN 'login_request' ELSE 'request' END AS event_type,
-  raw, 'GET' AS m_method, path AS m_path, CAST(CASE WHEN kind = 'purchase' THEN 503 ELSE 200 END AS BIGINT) AS m_status FROM l"""
+  raw, 'GET' AS m_method, path AS m_path, CAST(CASE WHEN kind = 'purchase' THEN 503 ELSE 200 END AS BIGINT) AS m_status,
+  CASE kind WHEN 'signup' THEN 'Login ' || {hashed("'request'")} WHEN 'error' THEN 'Internal error' ELSE 'Page shown' END AS m_message FROM l"""
 )
 def normalize_api(spark, folder):
     parsed = normalize(event_lines(spark, folder, "api", False), "api")
-    return _fields(parsed, "method", "path", "status", text=("method", "path"))
+    return _fields(parsed, "method", "path", "status", "message", text=("method", "path", "message"))
 
 
 @checks.add(

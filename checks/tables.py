@@ -50,7 +50,7 @@ def broken_lines(spark, folder):
         .otherwise(line_of("firewall"))
     )
     return e.select(
-        value.alias("value"), F.concat("source", F.lit(".log")).alias("filename"), "source"
+        value.alias("value"), F.concat("source", F.lit(".log")).alias("filename"), "source", F.col("event_id").alias("line_num")
     )
 
 
@@ -131,22 +131,21 @@ def written_logs(spark, folder):
 
 
 @checks.add(
-    f"""WITH {_LINES} SELECT source, source || '.log' AS filename, 'Parse failed' AS error,
+    f"""WITH {_LINES} SELECT source, source || '.log' AS filename, event_id AS line_num, 'Parse failed' AS error,
   'garbage for ' || substr(sha256('bob' || 'default_normalization_salt_2026'), 1, 16) || ' ' || CAST(event_id AS VARCHAR) AS raw_line
 FROM lines WHERE k % 9 = 0"""
 )
 def dead_letters(spark, folder):
     parsed = normalize_mixed(broken_lines(spark, folder), **_AUTH)
     _, dead = split_dead_letters(parsed)
-    return dead.select("source", "filename", "error", "raw_line")
+    return dead.select("source", "filename", "line_num", "error", "raw_line")
 
 
 @checks.add(
     f"WITH {_LINES} SELECT source, count(*) FILTER (WHERE k % 9 <> 0) AS processed, count(*) FILTER (WHERE k % 9 = 0) AS dead_letters FROM lines GROUP BY source"
 )
 def ingest_counts(spark, folder):
-    parsed = normalize_mixed(broken_lines(spark, folder), **_AUTH)
-    return t.ingest_summary(*split_dead_letters(parsed))
+    return t.parsed_counts(normalize_mixed(broken_lines(spark, folder), **_AUTH))
 
 
 @checks.add(

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from vigilog.operators import features as f
 from vigilog.operators import labels as lab
-from vigilog.operators.ranking import hash_rank
 from vigilog.plans.danger import rank_addresses
 from vigilog.plans.event_logs import attackers, event_flows, event_logs, mixed_lines
 from vigilog.sources.flows import nest_metadata
+from vigilog.session import stage
 from vigilog.sources.registry import normalize_mixed, split_dead_letters
 
 from .base import FEATURE_COLUMNS, FEATURE_SQL, LOGS, MINUTES, Checks, features, feat, naive, rounded
@@ -179,8 +179,16 @@ def flattened_ports(spark, folder):
     f"WITH {LOGS} SELECT event_id, row_number() OVER (ORDER BY md5('7|' || log_id), log_id) - 1 AS place FROM logs"
 )
 def shuffled_rows(spark, folder):
-    ranked = hash_rank(event_logs(spark, folder), ["log_id"], 7)
-    return ranked.select("event_id", F.col("_rank").alias("place"))
+    """The rows numbered as they come: by partition, then inside it."""
+    rows = lab.shuffle_rows(event_logs(spark, folder), 7).select("event_id")
+    rows = stage(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "shuffled")
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy("part").collect()
+    starts, total = [], 0
+    for part in parts:
+        starts.append((part["part"], part["first"], total))
+        total += part["n"]
+    table = spark.createDataFrame(starts, "part int, first bigint, start bigint")
+    return rows.join(F.broadcast(table), "part").select("event_id", (F.col("start") + F.col("at") - F.col("first")).alias("place"))
 
 
 @checks.add(f"WITH {LOGS} SELECT event_id FROM logs WHERE event_type IN ('login_fail', 'allow')")

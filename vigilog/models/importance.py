@@ -12,6 +12,11 @@ from ..operators.ranking import hash_rank, hash_sample
 from ..session import cut_lineage
 
 
+def trial_shifts(trials: int, total: int, seed: int) -> list[int]:
+    """How far on each trial's donors are, at least one step and less than the whole circle."""
+    return [1 + ((seed + 1) * 7919 + t * 104729) % (total - 1) if total > 1 else 0 for t in range(trials)]
+
+
 def permutation_importance(
     df: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -24,48 +29,41 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance_mean, importance_std), most important first.
 
-    All rows are measured unless ``rows`` asks for a sample. Each of the
-    features * repeats shuffles is one seeded order of them; all of them
+    All rows are measured unless ``rows`` asks for a sample. They get one seeded random order, and
+    in each of the features * repeats trials the row at a place takes the value of the row some
+    steps on, in a circle: its donor is random, never itself, and no two rows share one. All trials
     and the unshuffled rows are scored in a single pass.
     """
-    narrow = df.select(*ids, *columns, label)
+    narrow = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns], label)
     if rows is None:
-        sample = hash_rank(narrow, ids, seed).select(*narrow.columns, "_rank")
+        ranked = hash_rank(narrow, ids, seed)
     else:
-        sample = hash_sample(narrow, rows, ids, seed, keep_rank=True)
-    sample = cut_lineage(sample.withColumnRenamed("_rank", "_place"))
-    trials = F.array(
+        ranked = hash_sample(narrow, rows, ids, seed, keep_rank=True)
+    ranked = cut_lineage(ranked.withColumnRenamed("_rank", "_place"))
+    total = ranked.count()
+    trials = [(c, r) for c in columns for r in range(repeats)]
+    shifts = trial_shifts(len(trials), total, seed)
+    # Each row sends its values to the places that take them: narrow rows, one per place and trial.
+    sent = F.array(
         *[
-            F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"))
-            for c in columns
-            for r in range(repeats)
+            F.struct(F.lit(t).alias("trial"), F.pmod(F.col("_place") - F.lit(shift), F.lit(max(total, 1))).alias("to"), F.col(c).alias("value"))
+            for t, ((c, _), shift) in enumerate(zip(trials, shifts))
         ]
     )
-    tried = sample.withColumn("_t", F.explode(trials)).select(
-        *sample.columns, F.col("_t.feature").alias("feature"), F.col("_t.repeat").alias("repeat")
-    )
-    shuffled = hash_rank(tried, ids, seed + 1, keys=["feature", "repeat"])
-    # The row at place i takes the value of the row at shuffled place i.
-    value = F.coalesce(*[F.when(F.col("feature") == c, F.col(c).cast("double")) for c in columns])
-    donors = shuffled.select(
-        F.col("_rank").alias("_place"), "feature", "repeat", value.alias("_new")
-    )
-    changed = tried.join(donors, ["_place", "feature", "repeat"]).withColumns(
-        {
-            c: F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c).cast("double"))
-            for c in columns
-        }
-    )
-    base = sample.withColumns(
-        {
-            **{c: F.col(c).cast("double") for c in columns},
-            "feature": F.lit(""),
-            "repeat": F.lit(0),
-        }
+    given = ranked.select(F.explode(sent).alias("_s")).groupBy(F.col("_s.to").alias("_place"))
+    given = given.agg(F.collect_list(F.struct("_s.trial", "_s.value")).alias("_given"))
+    names = F.array(*[F.lit(c) for c, _ in trials])
+    changed = ranked.join(given, "_place").withColumn("_g", F.explode("_given"))
+    changed = changed.withColumns(
+        {"trial": F.col("_g.trial"), "feature": F.get(names, F.col("_g.trial"))}
+    ).withColumns(
+        {c: F.when(F.col("feature") == c, F.col("_g.value")).otherwise(F.col(c)) for c in columns}
     )
-    both = changed.drop("_new").unionByName(base)
+    base = ranked.withColumns({"trial": F.lit(-1), "feature": F.lit("")})
+    kept = [*ids, *columns, label, "trial", "feature"]
+    both = changed.select(*kept).unionByName(base.select(*kept))
     scored = cut_lineage(
-        score(both).select("feature", "repeat", F.col("anomaly_score").alias("score"), F.col(label).alias("y"))
+        score(both).select("feature", F.col("trial").alias("repeat"), F.col("anomaly_score").alias("score"), F.col(label).alias("y"))
     )
     areas = roc_auc(scored, "score", "y", ["feature", "repeat"])
     # One row per trial: features * repeats + 1 of them.

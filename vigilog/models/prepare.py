@@ -18,37 +18,37 @@ def temporal_split(
 ) -> DataFrame:
     """Add ``split``: 'train' for the earliest ``ratio`` of the windows, else 'test'.
 
-    Windows are counted per start time; only the start time in which the border
-    falls needs an order among its own rows, and gets one by seeded hash. The rows are
-    written once: the border, its own rows and the result each read them.
+    Windows are counted per start time and summed up per day; only the start time in which the
+    border falls needs an order among its own rows, and gets one by seeded hash. The rows are
+    written once: counts, its own rows and the result each read them.
     """
     df = cut_lineage(df)
-    counts = df.groupBy("window_start").agg(F.count("*").alias("_n"))
-    # One row per start time: as many as there are windows in the covered period.
-    placed = counts.select(
-        "window_start",
-        F.expr(
-            "sum(_n) over (order by window_start rows between unbounded preceding and current row)"
-        ).alias("_cum"),
-        "_n",
-        F.expr("sum(_n) over ()").alias("_total"),
+    starts = df.groupBy("window_start").agg(F.count("*").alias("n"))
+    starts = cut_lineage(starts.withColumn("day", F.to_date("window_start")))
+    # One row per day of the covered time, then one per start time of the day that the border falls in.
+    days = starts.groupBy("day").agg(F.sum("n").alias("n")).orderBy("day").collect()
+    target = int(sum(r["n"] for r in days) * ratio + 1e-9)
+    day, left = _border([(r["day"], r["n"]) for r in days], target)
+    if day is None:
+        return df.withColumn("split", F.lit("train"))
+    own = starts.where(F.col("day") == F.lit(day)).orderBy("window_start").collect()
+    start, take = _border([(r["window_start"], r["n"]) for r in own], left)
+    at = F.lit(start).cast(df.schema["window_start"].dataType)
+    clear = df.where(F.col("window_start") != at).withColumn(
+        "split", F.when(F.col("window_start") < at, "train").otherwise("test")
     )
-    target = F.floor(F.col("_total") * F.lit(ratio) + F.lit(1e-9))
-    border = placed.where((F.col("_cum") > target) & (F.col("_cum") - F.col("_n") <= target)).agg(
-        F.struct(
-            F.min("window_start").alias("start"),
-            F.min(target - (F.col("_cum") - F.col("_n"))).alias("take"),
-        )
-    )
-    marked = df.withColumn("_border", border.scalar())
-    start, take = F.col("_border.start"), F.col("_border.take")
-    clear = marked.where((F.col("window_start") != start) | start.isNull()).withColumn(
-        "split",
-        F.when(start.isNull() | (F.col("window_start") < start), "train").otherwise("test"),
-    )
-    ranked = hash_rank(marked.where(F.col("window_start") == start), list(ids), seed)
+    ranked = hash_rank(df.where(F.col("window_start") == at), list(ids), seed)
     near = ranked.withColumn("split", F.when(F.col("_rank") < take, "train").otherwise("test"))
-    return clear.unionByName(near.drop("_rank")).drop("_border")
+    return clear.unionByName(near.drop("_rank"))
+
+
+def _border(counts: list[tuple], target: int) -> tuple:
+    """The first entry whose running count passes ``target``, and how many of its own rows come before that."""
+    for value, n in counts:
+        if n > target:
+            return value, target
+        target -= n
+    return None, target
 
 
 def fit_scaler(train: DataFrame, columns: list[str] = MODEL_FEATURES) -> DataFrame:

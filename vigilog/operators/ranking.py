@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ..session import cut_lineage
 
-# Hex digits of the hash that name a bucket: 16**3 buckets.
+# Hex digits of the hash that name a bucket, and a part of it: 16**3 buckets of 16**3 parts.
 BUCKET_DIGITS = 3
 
 
@@ -25,22 +25,33 @@ def seeded_hash(ids: list[str], seed: int | str, *extra: Column) -> Column:
 
 def _with_hash(df: DataFrame, ids: list[str], seed, keys: list[str], digits: int) -> DataFrame:
     extra = [F.col(k).cast("string") for k in keys]
-    return df.withColumn("_hash", seeded_hash(ids, seed, *extra)).withColumn(
-        "_bucket", F.substring("_hash", 1, digits)
+    return df.withColumn("_hash", seeded_hash(ids, seed, *extra)).withColumns(
+        {"_bucket": F.substring("_hash", 1, digits), "_part": F.substring("_hash", digits + 1, digits)}
     )
 
 
-def _bucket_offsets(hashed: DataFrame, keys: list[str]) -> DataFrame:
-    counts = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    return counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-
+def _offsets(hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """Start place of every part in use, and the group's number of rows.
 
-def _attach(df: DataFrame, offsets: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    # Without group keys the offsets are at most 16**digits rows; with keys AQE decides.
-    return df.join(offsets if keys else F.broadcast(offsets), on)
+    A prefix sum on two levels: over the parts of each bucket, and over the buckets of a group. There are as
+    many parts as rows at most, and no task sums more than the buckets of a group or the parts of a bucket.
+    """
+    counts = hashed.groupBy(*keys, "_bucket", "_part").agg(F.count("*").alias("_n"))
+    earlier_parts = W.partitionBy(*keys, "_bucket").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    inside = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(earlier_parts), F.lit(0)))
+    packed = inside.groupBy(*keys, "_bucket").agg(
+        F.sum("_n").alias("_n"), F.collect_list(F.struct("_part", "_inside")).alias("_parts")
+    )
+    earlier_buckets = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = packed.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_n").over(earlier_buckets), F.lit(0)),
+            "_total": F.sum("_n").over(W.partitionBy(*keys)),
+        }
+    )
+    return placed.withColumn("_p", F.explode("_parts")).select(
+        *keys, "_bucket", F.col("_p._part").alias("_part"), (F.col("_before") + F.col("_p._inside")).alias("_offset"), "_total"
+    )
 
 
 def hash_rank(
@@ -49,19 +60,21 @@ def hash_rank(
     seed: int | str,
     keys: list[str] | None = None,
     digits: int = BUCKET_DIGITS,
+    keep_total: bool = False,
 ) -> DataFrame:
     """Add ``_rank``: 0-based place of each row in seeded-hash order, per key group.
 
-    ``ids`` must tell rows apart. A group is ranked in 16**digits tasks.
+    ``ids`` must tell rows apart. A group is ranked in up to 16**(2 * digits) parts.
+    ``keep_total`` also adds ``_total``, the number of rows of the group.
     """
     keys = list(keys or [])
     hashed = _with_hash(df, ids, seed, keys, digits)
-    offsets = _bucket_offsets(hashed, keys)
-    inside = W.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
-    ranked = _attach(hashed, offsets, keys, [*keys, "_bucket"])
+    on = [*keys, "_bucket", "_part"]
+    inside = W.partitionBy(*on).orderBy("_hash", *ids)
+    ranked = hashed.join(_offsets(hashed, keys), on)
     return ranked.withColumn(
         "_rank", F.col("_offset") + F.row_number().over(inside) - 1
-    ).select(*df.columns, "_rank")
+    ).select(*df.columns, "_rank", *(["_total"] if keep_total else []))
 
 
 def hash_sample(
@@ -75,13 +88,13 @@ def hash_sample(
 ) -> DataFrame:
     """Exactly ``n`` rows (all, if fewer) per key group, the smallest by seeded hash.
 
-    Buckets that start at or after place ``n`` are dropped before any row is sorted.
+    Parts that start at or after place ``n`` are dropped before any row is sorted.
     """
     keys = list(keys or [])
     hashed = _with_hash(df, ids, seed, keys, digits)
-    offsets = _bucket_offsets(hashed, keys).where(F.col("_offset") < n)
-    inside = W.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
-    near = _attach(hashed, offsets, keys, [*keys, "_bucket"])
+    on = [*keys, "_bucket", "_part"]
+    near = hashed.join(_offsets(hashed, keys).where(F.col("_offset") < n), on)
+    inside = W.partitionBy(*on).orderBy("_hash", *ids)
     ranked = near.withColumn("_rank", F.col("_offset") + F.row_number().over(inside) - 1)
     chosen = ranked.where(F.col("_rank") < n)
     return chosen.select(*df.columns, *(["_rank"] if keep_rank else []))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import with_metadata
 from ..functions.scoring import norm_score
+from ..session import cut_lineage
 from .features import with_window
 
 
@@ -83,6 +84,7 @@ def ensemble(
     if mode != "weighted":
         raise ValueError("mode must be 'majority' or 'weighted'")
     weights = weights or [1.0] * len(models)
+    df = cut_lineage(df)  # read for the maxima and for the result
     top = df.agg(F.struct(*[F.max(f"{m}_score").alias(m) for m in models])).scalar()
     rows = df.withColumn("_top", top)
     parts = [

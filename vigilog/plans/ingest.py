@@ -11,17 +11,34 @@ from ..functions.identity import DEFAULT_SALT
 from ..session import utc
 from ..sources.flows import normalize_cicids, normalize_unsw
 from ..sources.raw import detect_source, number_dead_letters, read_flows, read_raw_logs
-from ..sources.registry import normalize_mixed, split_dead_letters
-from ..sources.tables import append_new, ingest_summary, write_logs
+from ..sources.registry import SOURCES, normalize_mixed, split_dead_letters
+from ..sources.tables import append_new, write_logs
 
 
 @dataclass
 class Ingested:
     logs: DataFrame
     dead: DataFrame
+    counts: dict[str, int]
 
     def summary(self) -> DataFrame:
-        return ingest_summary(self.logs, self.dead)
+        """Processed and dead-letter counts per source, as the one pass that wrote them saw them."""
+        kinds = ("processed", "dead_letters")
+        sources = sorted({name.split("|")[1] for name, n in self.counts.items() if n})
+        rows = [(s, *(self.counts[f"{kind}|{s}"] for kind in kinds)) for s in sources]
+        return self.logs.sparkSession.createDataFrame(rows, "source string, processed bigint, dead_letters bigint")
+
+
+def _watched(parsed: DataFrame, labels: list[str]) -> tuple[DataFrame, Observation]:
+    """Counts of both outputs per source, taken while the rows pass by."""
+    seen = Observation()
+    failed = F.col("error").isNotNull()
+    counts = [
+        F.count_if((F.col("source") == label) & (failed if kind == "dead_letters" else ~failed)).alias(f"{kind}|{label}")
+        for kind in ("processed", "dead_letters")
+        for label in labels
+    ]
+    return parsed.observe(seen, *counts), seen
 
 
 def ingest_text(
@@ -40,13 +57,15 @@ def ingest_text(
     """
     utc(spark)
     raw = detect_source(read_raw_logs(spark, source_path))
-    normalize_mixed(raw, salt, **options).write.mode("overwrite").parquet(staging_path)
+    labels = sorted({label for _, label in SOURCES.values()})
+    watched, seen = _watched(normalize_mixed(raw, salt, **options), labels)
+    watched.write.mode("overwrite").parquet(staging_path)
     parsed = spark.read.parquet(staging_path)
     logs, dead = split_dead_letters(parsed)
     if numbered:
         failed = parsed.where(F.col("error").isNotNull())
         _, dead = split_dead_letters(number_dead_letters(spark, source_path, failed))
-    return Ingested(logs, dead)
+    return Ingested(logs, dead, seen.get)
 
 
 def ingest_flows(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import DEFAULT_SALT, mask_pii
 from ..functions.text import (
     FLAGS,
     capture,
@@ -202,10 +203,13 @@ def _agent_match(message: Column) -> Column:
     return result
 
 
-def parse_auth(df: DataFrame, ruleset: str = "auth", reference_year: int | None = None) -> DataFrame:
+def parse_auth(
+    df: DataFrame, ruleset: str = "auth", reference_year: int | None = None, salt: str = DEFAULT_SALT
+) -> DataFrame:
     """Syslog authentication lines under the 'auth', 'secrepo_auth' or 'agent' rules.
 
     The lines have no year: without ``reference_year`` they have no time and do not parse.
+    Names in the kept message are masked.
     """
     g, message = F.col("_g"), F.col("_message")
     pattern = SYSLOG_LINE_AGENT if ruleset == "agent" else SYSLOG_LINE
@@ -234,14 +238,14 @@ def parse_auth(df: DataFrame, ruleset: str = "auth", reference_year: int | None
             group(g, 2).alias("hostname"),
             group(g, 3).alias("process"),
             group(g, 4).try_cast("bigint").alias("pid"),
-            message.alias("message"),
+            mask_pii(message, salt).alias("message"),
         )
     )
     return df.withColumn("metadata", metadata).drop("_g", "_message", "_a")
 
 
-def parse_secrepo_auth(df: DataFrame, reference_year: int | None = None) -> DataFrame:
-    return parse_auth(df, "secrepo_auth", reference_year)
+def parse_secrepo_auth(df: DataFrame, reference_year: int | None = None, salt: str = DEFAULT_SALT) -> DataFrame:
+    return parse_auth(df, "secrepo_auth", reference_year, salt)
 
 
 def parse_firewall(df: DataFrame) -> DataFrame:
@@ -337,7 +341,7 @@ def parse_pfsense(df: DataFrame, event_time: Column | None = None) -> DataFrame:
     )
 
 
-def parse_postgres(df: DataFrame) -> DataFrame:
+def parse_postgres(df: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     """Database text lines; the message's first known word decides the event."""
     g, message = F.col("_g"), F.col("_message")
     account = group(g, 3)
@@ -348,7 +352,7 @@ def parse_postgres(df: DataFrame) -> DataFrame:
             group(g, 2).try_cast("bigint").alias("pid"),
             database.alias("database"),
             group(g, 4).alias("level"),
-            message.alias("message"),
+            mask_pii(message, salt).alias("message"),
         )
     )
     return (
@@ -374,7 +378,7 @@ _API_SCHEMA = (
 )
 
 
-def parse_api(df: DataFrame) -> DataFrame:
+def parse_api(df: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     """JSON lines; the key ``message`` must be there, even if it is null."""
     j, line = F.col("_j"), F.col("value")
     extra = j["extra"]
@@ -389,7 +393,7 @@ def parse_api(df: DataFrame) -> DataFrame:
             extra["path"].alias("path"),
             status.alias("status"),
             extra["duration_ms"].try_cast("double").alias("duration_ms"),
-            j["message"].alias("message"),
+            mask_pii(j["message"], salt).alias("message"),
         )
     )
     parsed = F.when(

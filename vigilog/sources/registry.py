@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ def normalize(
     if source not in parsers:
         raise ValueError(f"no parser for source {source!r}")
     parser, label = parsers[source]
+    if "salt" in signature(parser).parameters:  # a parser that masks text it keeps
+        options = {"salt": salt, **options}
     parsed = parser(raw, **options)
     parsed = stage(parsed.withColumnRenamed("timestamp", "_ts"), "timestamp", F.col("_ts"))
     have = set(raw.columns)

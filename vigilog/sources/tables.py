@@ -79,6 +79,13 @@ def ingest_summary(logs: DataFrame, dead: DataFrame) -> DataFrame:
     )
 
 
+def parsed_counts(parsed: DataFrame) -> DataFrame:
+    """Processed and dead-letter counts per source of normalized lines, in one pass over them."""
+    return parsed.groupBy("source").agg(
+        F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("dead_letters")
+    )
+
+
 def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Feature windows as Parquet per window size, the endpoint map as JSON text."""
     flat = df.withColumn("endpoint_frequency", F.to_json("endpoint_frequency"))
@@ -120,11 +127,10 @@ def spread_timestamps(
     df: DataFrame, end: Column, minutes: int = 14, seed: int = 42, ids: tuple[str, ...] = ("log_id",)
 ) -> DataFrame:
     """Even spacing over the last minutes: rank by seeded hash, whole-second steps of at least one."""
-    total = df.agg(F.count("*")).scalar()
-    step = F.greatest(F.lit(1), F.floor(F.lit(minutes * 60) / total)).cast("long")
-    ranked = hash_rank(df, list(ids), seed)
+    ranked = hash_rank(df, list(ids), seed, keep_total=True)
+    step = F.greatest(F.lit(1), F.floor(F.lit(minutes * 60) / F.col("_total"))).cast("long")
     moved = end - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_rank") * step)
-    return ranked.withColumn("timestamp", moved).drop("_rank")
+    return ranked.withColumn("timestamp", moved).drop("_rank", "_total")
 
 
 def recent_logs(df: DataFrame, minutes: int, now: Column, ordered: bool = False) -> DataFrame:
