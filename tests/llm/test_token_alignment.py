@@ -1,11 +1,12 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import sentencepiece
 from tokenizers import Tokenizer
 
 from vigilog.llm.packing import byte_letters
-from vigilog.llm.token_alignment import Aligner, align_tokens, common_groups, token_ends, tokenizer_paths
+from vigilog.llm.token_alignment import Aligner, align_tokens, token_ends, tokenizer_paths
 
 
 def brute(rows):
@@ -80,21 +81,23 @@ def test_very_long_texts_in_parts(make, words, monkeypatch):
 
 
 def test_spans_are_refined_by_bytes():
+    def ends(spans, sizes):
+        return token_ends(np.array(spans), np.array(sizes)).tolist()
+
     # Three tokens inside one character of four bytes share its span.
-    assert token_ends([(0, 1), (1, 5), (1, 5), (1, 5), (5, 6)], [b"a", b"bc", b"d", b"e", b"f"]) == [1, 3, 4, 5, 6]
+    assert ends([1, 5, 5, 5, 6], [1, 2, 1, 1, 1]) == [1, 3, 4, 5, 6]
     # Byte-fallback pieces: empty spans, the last one holds the character.
-    assert token_ends([(0, 0), (0, 0), (0, 3), (3, 4)], [b"a", b"b", b"c", b"d"]) == [1, 2, 3, 4]
-    assert common_groups([1, 3, 4], [2, 3, 4]) == [(0, 2, 0, 2), (2, 3, 2, 3)]
+    assert ends([0, 0, 3, 4], [1, 1, 1, 1]) == [1, 2, 3, 4]
 
 
 def test_units_are_remembered(words):
     aligner = Aligner(*tokenizer_paths())
     text = words(5, 400, 50)
-    first = aligner.of_text(text.encode())
+    first = aligner.of_texts([text.encode()])[0]
     assert 0 < len(aligner.known) <= 51
-    again = aligner.of_text(text.encode())
+    again = aligner.of_texts([text.encode()])[0]
     assert {k: str(v) for k, v in first.items()} == {k: str(v) for k, v in again.items()}
-    assert aligner.of_text(b"broken \xff text")["n_a"] == 0
+    assert aligner.of_texts([b"broken \xff text", b""])[0]["n_a"] == 0
 
 
 def test_empty_table_and_clashing_columns(make):

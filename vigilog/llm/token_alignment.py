@@ -18,10 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +33,9 @@ ops = Registry()
 HOT_PAIRS = 200_000
 UNITS_KEPT = 300_000
 UNIT_LETTERS = 48  # longer units are aligned anew each time
+TEXT_BYTES = 1 << 20
 UNITS_AT_ONCE = 8192  # of a text, so that very long texts stay in bounds
-BLOCK_UNITS = 256  # that go through the tokenizers as one text
+BLOCK_UNITS = 1024  # that go through the tokenizers as one text
 EXPANDED = 4096  # links of one group that are listed one by one; beyond, they are counted by id
 SPACE = "▁"
 # A blank or line break between two visible characters starts a unit, and so does a mark behind a letter where
@@ -57,29 +56,11 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def token_ends(spans: list[tuple[int, int]], tokens: list[bytes]) -> list[int]:
-    """The byte on which each token ends: its span's end where the span holds just the token's
-    bytes, and otherwise as many bytes on as the token has."""
-    at, ends = 0, []
-    for (begin, end), token in zip(spans, tokens):
-        at = end if begin == at and end - begin == len(token) else at + len(token)
-        ends.append(at)
-    return ends
-
-
-def common_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first, end) of the A tokens and of the B tokens of each group; both sides end on the same byte."""
-    groups, i, j, first_a, first_b = [], 0, 0, 0, 0
-    while i < len(ends_a):
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        elif ends_a[i] > ends_b[j]:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
-            groups.append((first_a, i, first_b, j))
-            first_a, first_b = i, j
-    return groups
+def token_ends(span_ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The byte on which each token ends: its span's end where the spans move on by just the token's
+    bytes, and otherwise as many bytes on as the tokens have."""
+    refined = np.cumsum(sizes)
+    return np.where((np.diff(span_ends, prepend=0) == sizes) & (span_ends == refined), span_ends, refined)
 
 
 # What a unit adds to its text: numbers of tokens, groups and links, its groups as text, its links as packed
@@ -120,7 +101,10 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
             for i, p in enumerate(pieces)
         ]
-        self.numbers = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.sizes_a = np.array(list(map(len, self.bytes_a)), np.int64)
+        self.sizes_b = np.array(list(map(len, self.bytes_b)), np.int64)
+        marks = ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;"))
+        self.marked = np.array([f"{i}{mark}" for size, pair in marks for i in range(size) for mark in pair], object)
         self.known: dict[str, Unit | None] = {}
 
     def _align(self, units: list[str]) -> list[Unit | None]:
@@ -128,11 +112,13 @@ class Aligner:
         found: dict[str, Unit | None] = {}
         apart = [u for u in units if u[-1].isspace() or u[:2].isspace()]
         found.update((u, (self._block([u]) or [None])[0]) for u in apart)
-        rest = [u for u in units if u not in found]
-        for low in range(0, len(rest), BLOCK_UNITS):
-            block = rest[low : low + BLOCK_UNITS]
-            done = self._block(block) or [(self._block([u]) or [None])[0] for u in block]
-            found.update(zip(block, done))
+        plain = [u for u in units if u.isascii() and u not in found]
+        other = [u for u in units if not u.isascii() and u not in found]
+        for rest in (plain, other):
+            for low in range(0, len(rest), BLOCK_UNITS):
+                block = rest[low : low + BLOCK_UNITS]
+                done = self._block(block) or [(self._block([u]) or [None])[0] for u in block]
+                found.update(zip(block, done))
         return [found[u] for u in units]
 
     def _block(self, units: list[str]) -> list[Unit] | None:
@@ -145,92 +131,120 @@ class Aligner:
         data = text.encode()
         found_a = self.a.encode(text, add_special_tokens=False)
         pieces = self.b.encode(text[1:], return_type="proto").pieces  # B puts the first blank itself
-        a, b = found_a.ids, [p.id for p in pieces]
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
+        ids_a, ids_b = found_a.ids, [p.id for p in pieces]
+        if b"".join([self.bytes_a[i] for i in ids_a]) != data or b"".join([self.bytes_b[i] for i in ids_b]) != data:
             return None
-        if len(data) == len(text):
-            # Every byte is a character: spans are exact.
-            ends_a, ends_b = [end for _, end in found_a.offsets], [p.end + 1 for p in pieces]
-        else:
-            byte_at = [0, *accumulate(len(letter.encode()) for letter in text)]
-            ends_a = token_ends([(byte_at[x], byte_at[y]) for x, y in found_a.offsets], bytes_a)
-            spans_b = [(p.begin + 1, p.end + 1) for p in pieces]
-            spans_b[0] = (0, spans_b[0][1])
-            ends_b = token_ends(spans_b, bytes_b)
-        groups = common_groups(ends_a, ends_b)
-        out, at, first = [], 0, 0
-        for unit, part in zip(units, parts):
-            if part is not unit:
-                if ends_a[groups[first][1] - 1] != at + len(_LEAD):
-                    return None
-                first += 1
-            at += len(part) if part.isascii() else len(part.encode())
-            last = first
-            while last < len(groups) and ends_a[groups[last][1] - 1] <= at:
-                last += 1
-            if last == first or ends_a[groups[last - 1][1] - 1] != at:
-                return None
-            out.append(self._unit(a, b, groups[first:last]))
-            first = last
-        return out
-
-    def _unit(self, a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> Unit:
-        links, pairs, listed, many = 0, [], [], None
-        numbers, width = self.numbers, len(self.bytes_b)
-        for a0, a1, b0, b1 in groups:
-            here = (a1 - a0) * (b1 - b0)
-            links += here
-            if here == 1:
-                x, y = a[a0], b[b0]
-                listed.append(f"{numbers[x]}|{numbers[y]}")
-                pairs.append(x * width + y)
-                continue
-            ids_a, ids_b = a[a0:a1], b[b0:b1]
-            listed.append(",".join([numbers[i] for i in ids_a]) + "|" + ",".join([numbers[i] for i in ids_b]))
-            if here <= EXPANDED:
-                pairs += [x * width + y for x in ids_a for y in ids_b]
-            else:
-                many = many or Counter()
-                of_b = Counter(ids_b).items()
-                for x, n in Counter(ids_a).items():
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a = np.array([end for _, end in found_a.offsets], np.int64)
+        ends_b = np.array([p.end for p in pieces], np.int64) + 1
+        sizes = list(map(len, parts))
+        if len(data) != len(text):
+            letters = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            byte_at = np.append(0, np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF)))
+            ends_a = token_ends(byte_at[ends_a], self.sizes_a[a])
+            ends_b = token_ends(ends_b, self.sizes_b[b])
+            sizes = [len(part.encode()) for part in parts]
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        first_a, first_b = np.append(0, last_a[:-1]), np.append(0, last_b[:-1])
+        # The groups of each unit, without the one of its leading letter.
+        borders = np.cumsum(sizes)
+        stop = np.searchsorted(cuts, borders)
+        if (stop >= len(cuts)).any() or (cuts[stop] != borders).any():
+            return None
+        stop = stop + 1
+        led = np.array([part is not unit for unit, part in zip(units, parts)])
+        start = np.append(0, stop[:-1])
+        if (cuts[start[led]] != (borders - sizes)[led] + len(_LEAD)).any():
+            return None
+        start = start + led
+        return self._units(a, b, first_a, last_a, first_b, last_b, start.tolist(), stop.tolist())
+
+    def _units(self, a, b, first_a, last_a, first_b, last_b, start: list[int], stop: list[int]) -> list[Unit]:
+        """Columns of the units whose groups are ``start`` to ``stop``."""
+        many_a, many_b = last_a - first_a, last_b - first_b
+        links = many_a * many_b
+        huge = links > EXPANDED
+        # Ids as text, each with the mark behind it: A and B tokens of a group, then the next group.
+        group_a, group_b = np.repeat(np.arange(len(links)), many_a), np.repeat(np.arange(len(links)), many_b)
+        shown = np.concatenate([2 * a, 2 * (len(self.bytes_a) + b)])
+        shown[last_a - 1] += 1
+        shown[len(a) + last_b - 1] += 1
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        listed = self.marked[shown[order]].tolist()
+        # All pairs of the groups but the huge ones.
+        each = np.where(huge, 0, links)
+        at_a = np.where(huge[group_a], 0, many_b[group_a])
+        left = np.repeat(a, at_a)
+        place = np.arange(len(left)) - np.repeat(np.cumsum(at_a) - at_a, at_a)
+        right = b[np.repeat(first_b[group_a], at_a) + place]
+        packed = (left * len(self.bytes_b) + right).tobytes()
+        pairs_at = np.append(0, np.cumsum(each)).tolist()
+        tokens_at = np.append(0, np.cumsum(many_a + many_b)).tolist()
+        links_at = np.append(0, np.cumsum(links)).tolist()
+        ends_a, ends_b = np.append(0, last_a).tolist(), np.append(0, last_b).tolist()
+        out, any_huge = [], bool(huge.any())
+        for low, high in zip(start, stop):
+            counted = None
+            for g in np.flatnonzero(huge[low:high]) + low if any_huge else ():
+                counted = counted or Counter()
+                of_b = Counter(b[first_b[g] : last_b[g]].tolist()).items()
+                for x, n in Counter(a[first_a[g] : last_a[g]].tolist()).items():
                     for y, m in of_b:
-                        many[x * width + y] += n * m
-        (a0, _, b0, _), (_, a1, _, b1) = groups[0], groups[-1]
-        return a1 - a0, b1 - b0, len(groups), links, ";".join(listed), array("q", pairs).tobytes(), many
+                        counted[x * len(self.bytes_b) + y] += n * m
+            out.append(
+                (
+                    ends_a[high] - ends_a[low],
+                    ends_b[high] - ends_b[low],
+                    high - low,
+                    links_at[high] - links_at[low],
+                    "".join(listed[tokens_at[low] : tokens_at[high]]),
+                    packed[8 * pairs_at[low] : 8 * pairs_at[high]],
+                    counted,
+                )
+            )
+        return out
 
-    def units(self, text: str) -> Iterator[list[Unit | None]]:
-        """The aligned units of a space and ``text``, in order, a few thousand at a time."""
-        parts, known = self.border.split(" " + text), self.known
+    def parts(self, text: bytes) -> list[str]:
+        """The units of a space and ``text``; none for texts that are empty or no UTF-8."""
+        try:
+            decoded = text.decode("utf-8")
+        except UnicodeDecodeError:
+            return []
+        return self.border.split(" " + decoded) if decoded else []
+
+    def learn(self, parts: Iterable[list[str]]) -> None:
+        """Align and remember the new units of several texts, up to the number that is kept."""
+        fresh = [u for u in set().union(*parts).difference(self.known) if len(u) <= UNIT_LETTERS]
+        fresh = fresh[: max(0, UNITS_KEPT - len(self.known))]
+        self.known.update(zip(fresh, self._align(fresh)))
+
+    def units(self, parts: list[str]) -> Iterator[list[Unit | None]]:
+        """The aligned units in order, a few thousand at a time."""
+        known = self.known
         for low in range(0, len(parts), UNITS_AT_ONCE):
             part = parts[low : low + UNITS_AT_ONCE]
             fresh = list(set(part).difference(known))
             own = dict(zip(fresh, self._align(fresh))) if fresh else {}
-            room = UNITS_KEPT - len(known)
-            kept = [u for u in fresh if len(u) <= UNIT_LETTERS][: max(0, room)]
-            known.update((u, own.pop(u)) for u in kept)
             yield [own[u] if u in own else known[u] for u in part] if own else list(map(known.__getitem__, part))
 
-    def of_text(self, text: bytes) -> dict:
+    def of_parts(self, parts: list[str]) -> dict:
         """The columns of one row but its id."""
         none = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pairs": [], "times": []}
-        try:
-            decoded = text.decode("utf-8")
-        except UnicodeDecodeError:
-            return none
-        if not decoded:
+        if not parts:
             return none
-        totals, digest, first = [0, 0, 0, 0], hashlib.sha256(), True
+        totals, digest, held = [0, 0, 0, 0], hashlib.sha256(), ""
         pairs, times = np.empty(0, np.int64), np.empty(0, np.int64)
-        for part in self.units(decoded):
+        for part in self.units(parts):
             if None in part:
                 return none
             *counts, listed, packed, many = zip(*part)
             totals = [x + sum(y) for x, y in zip(totals, counts)]
-            digest.update((("" if first else ";") + ";".join(listed)).encode())
+            digest.update((held + "".join(listed))[:-1].encode())
+            held = ";"  # the mark behind the last group is left to the next part
             found = np.frombuffer(b"".join(packed), np.int64)
             huge = [m for m in many if m]
-            if first and not huge:
+            if not len(pairs) and not huge:
                 pairs, times = np.unique(found, return_counts=True)
             else:
                 values = [pairs, found, *[np.fromiter(m.keys(), np.int64, len(m)) for m in huge]]
@@ -238,10 +252,25 @@ class Aligner:
                 pairs, place = np.unique(np.concatenate(values), return_inverse=True)
                 times = np.zeros(len(pairs), np.int64)
                 np.add.at(times, place, np.concatenate(weights))
-            first = False
         names = ("n_a", "n_b", "n_groups", "n_links")
         return dict(zip(names, totals)) | {"groups_sha256": digest.hexdigest(), "pairs": pairs, "times": times}
 
+    def of_texts(self, texts: list[bytes]) -> list[dict]:
+        """``of_parts`` of every text; the new units of about a megabyte of texts are aligned together."""
+        out: list[dict] = []
+        low = 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size + len(texts[high]) <= TEXT_BYTES):
+                size += len(texts[high])
+                high += 1
+            parts = [self.parts(t) for t in texts[low:high]]
+            if size <= TEXT_BYTES:
+                self.learn(parts)
+            out += map(self.of_parts, parts)
+            low = high
+        return out
+
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per row of (doc_id, text): token, group and link counts, and the linked id pairs with their
@@ -251,7 +280,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         aligner = Aligner(path_a, path_b)
 
         def work(rows: dict[str, list]) -> dict[str, list]:
-            found = [aligner.of_text(t) for t in rows["text"]]
+            found = aligner.of_texts(rows["text"])
             return {"doc_id": rows["doc_id"]} | {n: [f[n] for f in found] for n in found[0]}
 
         return work
