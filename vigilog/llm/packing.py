@@ -8,7 +8,9 @@ is bounded and every block is packed alike whatever the table's size.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable
 from itertools import pairwise
 
@@ -32,6 +34,8 @@ BUCKETS = 4096  # in which the sequences of a tier are numbered
 # and normal form work letter by letter.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 PLAIN = r"[\x21-\x7e\u00a1-\u012f\u0131-\u017f]*"
+MARKS = b"!#$%&()*,-./:;?"
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, tier int"
@@ -84,10 +88,15 @@ class WordIds:
         self.of_word = _Remembered(self._word, CACHE_WORDS)
 
     def _part(self, part: str) -> bytes:
-        letters = part.encode().decode("latin-1").translate(self.letters)
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         return _packed([t.id for t in self.tokenizer.model.tokenize(letters)])
 
     def _word(self, word: bytes) -> bytes:
+        # Most words are ASCII letters, perhaps with marks behind them: one part, or two.
+        core = word.rstrip(MARKS)
+        if core.isalpha():
+            part = self.of_part[core.lower().decode()]
+            return part if len(core) == len(word) else part + self.of_part[word[len(core) :].decode()]
         text = word.decode("utf-8", "replace")
         if "<|" in text or not self.plain.fullmatch(text):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -99,7 +108,7 @@ class WordIds:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pack_block(sizes: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
