@@ -8,7 +8,7 @@ from vigilog.models.artifacts import latest_model, latest_scaler, save_model, sa
 from vigilog.models.iforest import fit_iforest, score_iforest
 from vigilog.models.importance import permutation_importance
 from vigilog.models.lof import fit_lof, score_lof, training_factors
-from vigilog.models.neighbors import build_index, nearest_points
+from vigilog.models.neighbors import _nearest_rows, _squares, build_index, nearest_points
 from vigilog.models.ocsvm import _fourier, fit_ocsvm, score_ocsvm
 from vigilog.models.prepare import fit_scaler, scale, temporal_split
 
@@ -68,6 +68,18 @@ def test_lof_equals_brute_force(spark, cloud, tmp_path):
     assert [r.is_anomaly for r in rows] == [v + model.offset > 0 for v in new]
 
 
+def test_nearest_rows_equal_a_full_sort():
+    """Wide, near equal, equal and far away rows: the product only chooses what is measured again."""
+    rng = np.random.default_rng(3)
+    for width, shift, copies in ((64, 0.0, 1), (64, 1e6, 1), (7, 0.0, 30), (3, 1e8, 30)):
+        b = np.repeat(rng.normal(size=(300 // copies, width)), copies, axis=0) + shift
+        a = np.concatenate([b[:20], rng.normal(size=(40, width)) + shift])
+        square = _squares(a, b)
+        expected = np.argsort(square, axis=1, kind="stable")[:, :20]
+        best, found = _nearest_rows(a, b, 20)
+        assert (best == expected).all() and (found == np.take_along_axis(square, expected, axis=1)).all()
+
+
 def test_forest(spark, cloud, tmp_path):
     df = table(spark, cloud)
     forest = fit_iforest(df, COLS, ids=("id",), trees=60, contamination=0.05)

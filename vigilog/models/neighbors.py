@@ -25,8 +25,9 @@ from ..session import cut_lineage
 
 CHUNK = 2048
 CELL_ROWS = 2048
-# The tree never has more cells, so tree and boxes stay a few megabytes.
-MAX_CELLS = 8192
+# What the driver may hold of the sample that the tree grows on; tree and boxes are smaller. Cells of
+# larger tables hold more rows instead, in more chunks: this steers the cost and never the result.
+SAMPLE_BYTES = 64 << 20
 SAMPLE_PER_CELL = 32
 _CANDIDATES = "qid string, pid string, dist double, mult long"
 
@@ -105,7 +106,7 @@ def _with_cell(df: DataFrame, dims, cuts, children) -> DataFrame:
 def _with_chunks(df: DataFrame, row: str, name: str) -> DataFrame:
     """Number the chunks of each cell so that a chunk holds about ``CHUNK`` rows."""
     counts = df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias(f"{name}s"))
-    # One row per cell, at most MAX_CELLS of them.
+    # One row per cell: a part of the sample that the driver held.
     return df.join(F.broadcast(counts), "cell").withColumn(
         name, F.pmod(F.xxhash64(row), F.col(f"{name}s")).cast("int")
     )
@@ -113,18 +114,18 @@ def _with_chunks(df: DataFrame, row: str, name: str) -> DataFrame:
 
 def build_index(points: DataFrame, seed: int = 42, cell_rows: int = CELL_ROWS) -> CellIndex:
     """Index of points (pid string, vec array<double>, mult long)."""
-    total = points.count()
-    wanted = int(min(MAX_CELLS, max(1, -(-total // cell_rows))))
+    total, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    most = max(1, SAMPLE_BYTES // (8 * max(width, 1) * SAMPLE_PER_CELL))
+    wanted = int(min(most, max(1, -(-total // cell_rows))))
     sample = hash_sample(points.select("pid", "vec"), wanted * SAMPLE_PER_CELL, ["pid"], seed)
     rows = sample.orderBy("pid").select("vec").toPandas()
-    width = len(rows["vec"].iloc[0]) if len(rows) else 1
     x = _matrix(rows["vec"]) if len(rows) else np.zeros((0, width))
     dims, cuts, children = _grow_tree(x, wanted)
     celled = _with_chunks(_with_cell(points, dims, cuts, children), "pid", "chunk")
     celled = cut_lineage(celled)
     values = celled.select("cell", F.posexplode("vec").alias("dim", "v"))
     bounds = values.groupBy("cell", "dim").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    # One row per cell and dimension, at most MAX_CELLS * width of them.
+    # One row per cell and dimension.
     boxes = bounds.orderBy("cell", "dim").toPandas()
     return CellIndex(
         celled,
@@ -137,6 +138,45 @@ def build_index(points: DataFrame, seed: int = 42, cell_rows: int = CELL_ROWS) -
     )
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of every row of ``a`` to every row of ``b``, summed up in the order of the dimensions."""
+    square = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        square += (a[:, j, None] - b[None, :, j]) ** 2
+    return square
+
+
+def _nearest_rows(a: np.ndarray, b: np.ndarray, k: int, spare: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``b`` and squared distances of the ``k`` nearest rows, ties by place.
+
+    One matrix product gives all distances but for rounding; only the few rows that can be among the nearest for all
+    its error are measured again, dimension by dimension. Where ties reach further, a row is measured against all.
+    """
+    k = min(k, len(b))
+    if len(b) <= k + spare:
+        square = _squares(a, b)
+        best = np.argsort(square, axis=1, kind="stable")[:, :k]
+        return best, np.take_along_axis(square, best, axis=1)
+    size_a, size_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = size_a[:, None] + size_b[None, :] - 2.0 * (a @ b.T)
+    error = 8.0 * (a.shape[1] + 4) * np.finfo(float).eps * (size_a + size_b.max())
+    near = np.argpartition(rough, k + spare - 1, axis=1)[:, : k + spare]
+    near.sort(axis=1)
+    square = np.zeros(near.shape)
+    for j in range(a.shape[1]):
+        square += (a[:, j, None] - b[near, j]) ** 2
+    order = np.argsort(square, axis=1, kind="stable")[:, :k]
+    best, found = np.take_along_axis(near, order, axis=1), np.take_along_axis(square, order, axis=1)
+    # Safe where the farthest row that was measured again lies beyond the k-th nearest by more than the error.
+    reach = np.take_along_axis(rough, near, axis=1).max(axis=1)
+    unsafe = np.flatnonzero(~(reach - error > found[:, -1] + error))
+    if len(unsafe):
+        whole = _squares(a[unsafe], b)
+        best[unsafe] = np.argsort(whole, axis=1, kind="stable")[:, :k]
+        found[unsafe] = np.take_along_axis(whole, best[unsafe], axis=1)
+    return best, found
+
+
 def _search(visits: DataFrame, index: CellIndex, k: int) -> DataFrame:
     """The ``k`` nearest points of each visited cell chunk, per query."""
     queries = _with_chunks(visits.select("qid", "vec", "cell"), "qid", "part")
@@ -155,15 +195,12 @@ def _search(visits: DataFrame, index: CellIndex, k: int) -> DataFrame:
             return pd.DataFrame({"qid": [], "pid": [], "dist": [], "mult": []})
         p = p.sort_values("pid")
         a, b = _matrix(q["vec"]), _matrix(p["vec"])
-        square = np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):
-            square += (a[:, j, None] - b[None, :, j]) ** 2
-        best = np.argsort(square, axis=1, kind="stable")[:, :k]
+        best, square = _nearest_rows(a, b, k)
         return pd.DataFrame(
             {
                 "qid": np.repeat(q["qid"].to_numpy(), best.shape[1]),
                 "pid": p["pid"].to_numpy()[best.ravel()],
-                "dist": np.sqrt(np.take_along_axis(square, best, axis=1).ravel()),
+                "dist": np.sqrt(square.ravel()),
                 "mult": p["mult"].to_numpy()[best.ravel()],
             }
         )
