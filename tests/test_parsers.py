@@ -22,6 +22,12 @@ def h(text):
     return hashlib.sha256((text + DEFAULT_SALT).encode()).hexdigest()[:16]
 
 
+def masked(text):
+    text = re.sub(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", lambda m: h(m.group()), text)
+    rule = r"(?i)\b(user|for|login)[\s=:]+([^\s,;\[\]\"'\(\)]+)"
+    return re.sub(rule, lambda m: f"{m.group(1)} {h(m.group(2))}", text)
+
+
 def lines(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "value string")
 
@@ -61,7 +67,7 @@ def test_auth_line(spark, message, event, ip, user):
     row, m = one(spark, "auth", f"Aug  9 18:05:31 gate-7 sshd[880]: {message}", reference_year=2025)
     assert (row.event_type, row.ip, row.user) == (event, ip, user and h(user))
     assert row.timestamp == datetime(2025, 8, 9, 18, 5, 31)
-    assert m == {"hostname": "gate-7", "process": "sshd", "pid": 880, "message": message}
+    assert m == {"hostname": "gate-7", "process": "sshd", "pid": 880, "message": masked(message)}
 
 
 def test_auth_line_without_pid(spark):
@@ -163,13 +169,8 @@ TEXTS = [
 
 
 def test_masking_equals_plain_substitution(spark):
-    def expected(text):
-        text = re.sub(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", lambda m: h(m.group()), text)
-        rule = r"(?i)\b(user|for|login)[\s=:]+([^\s,;\[\]\"'\(\)]+)"
-        return re.sub(rule, lambda m: f"{m.group(1)} {h(m.group(2))}", text)
-
     got = lines(spark, *TEXTS).select("value", mask_pii(F.col("value")).alias("m")).collect()
-    assert {r.value: r.m for r in got} == {t: expected(t) for t in TEXTS}
+    assert {r.value: r.m for r in got} == {t: masked(t) for t in TEXTS}
 
 
 @pytest.mark.parametrize(
