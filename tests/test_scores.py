@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigilog.functions.scoring import risk
 from vigilog.operators import alerts as a
 from vigilog.operators import risk as r
+from vigilog.operators.eda import correlation_pairs
 from vigilog.operators.metrics import binary_metrics, roc_auc
 from vigilog.operators.ranking import exact_quantiles, hash_rank, hash_sample, largest_per_group, running_sums
 from vigilog.operators.triage import apply_triage, triage_history
@@ -137,3 +138,12 @@ def test_metrics_edges(spark):
     assert roc_auc(df).first().roc_auc is None
     tied = spark.createDataFrame([(1.0, 0), (1.0, 1)], "score double, y int")
     assert roc_auc(tied).first().roc_auc == 0.5
+
+
+def test_correlations_of_a_constant_feature(spark):
+    rows = spark.createDataFrame([(0.1, 1.0, 2.0), (0.1, 2.0, 4.0), (0.1, 4.0, 7.0), (0.1, None, 9.0)], "a double, b double, c double")
+    found = correlation_pairs(rows, ["a", "b", "c"]).collect()
+    assert [(r.feature_a, r.feature_b) for r in found] == [("c", "b"), ("b", "a"), ("c", "a")]
+    assert found[0].pearson_r == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 7])[0, 1])
+    assert all(np.isnan(r.pearson_r) for r in found[1:])
+    assert [r.pearson_r for r in correlation_pairs(rows.where("b > 9"), ["a", "b"]).collect()] == [None]

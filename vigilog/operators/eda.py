@@ -90,11 +90,21 @@ def top_k(df: DataFrame, column: str, k: int, ties: list[str]) -> DataFrame:
     return df.orderBy(F.desc(column), *ties).limit(k)
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """Pearson r over the rows that have both values; NaN where one of them does not vary.
+
+    ``corr`` itself fails with a division by zero there under ANSI rules.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(a, b) / spread)
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> DataFrame:
-    """Pearson r of every pair, strongest first; one pass for all pairs."""
+    """Pearson r of every pair, strongest first and undefined ones last; one pass for all pairs."""
     pairs = list(combinations(columns, 2))
     row = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]
+        *[_pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]
     )
     entries = F.array(
         *[
@@ -103,7 +113,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> D
         ]
     )
     long = row.select(F.explode(entries).alias("e")).select("e.*")
-    return long.orderBy(F.desc(F.abs("pearson_r")), "feature_a", "feature_b")
+    strength = F.when(~F.isnan("pearson_r"), F.abs("pearson_r"))
+    return long.orderBy(F.desc_nulls_last(strength), "feature_a", "feature_b")
 
 
 def discriminative_ratio(df: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> DataFrame:
