@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilog.models.artifacts import latest_model, latest_scaler, save_model, save_scaler
-from vigilog.models.iforest import fit_iforest, score_iforest
+from vigilog.models.iforest import _grow, fit_iforest, score_iforest
 from vigilog.models.importance import permutation_importance
 from vigilog.models.lof import fit_lof, score_lof, training_factors
 from vigilog.models.neighbors import _nearest_rows, _squares, build_index, nearest_points
@@ -105,6 +105,18 @@ def test_forest_on_few_rows(spark, cloud):
     assert forest.rows_per_tree == 6 and forest.nodes.select("tree").distinct().count() == 20
 
 
+def test_a_tree_parts_neighbouring_numbers():
+    high = np.nextafter(1.0, 2.0)
+    for seed in range(20):
+        nodes = _grow(np.array([[1.0], [high]]), np.random.default_rng(seed), 8)
+        assert sorted((n[1], n[2]) for n in nodes) == [(-1, 0.0), (-1, 0.0), (0, 1.0)]
+
+
+def test_support_vectors_with_empty_partitions(spark, cloud):
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([tuple(map(float, r)) for r in cloud[140:180]], 64), "a double, b double, c double")
+    assert fit_ocsvm(rows, COLS, nu=0.2).gap <= 2e-3
+
+
 def test_support_vectors(spark, cloud, tmp_path):
     df = table(spark, cloud)
     model = fit_ocsvm(df, COLS, nu=0.05)

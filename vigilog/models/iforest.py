@@ -47,6 +47,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
             continue
         feature = int(rng.choice(usable))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # rounded up, as between neighbouring numbers: both sides must get rows
+            threshold = float(low[feature])
         goes_left = part[:, feature] <= threshold
         left, right = used, used + 1
         used += 2

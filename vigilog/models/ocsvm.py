@@ -77,7 +77,8 @@ def _histogram(
             for i in np.unique(at):
                 sums[i] += phi[at == i].sum(axis=0)
         used = np.flatnonzero(count)
-        yield pd.DataFrame({"bin": used, "n": count[used], "m": margins[used], "g": list(sums[used])})
+        vectors = pd.Series(list(sums[used]), dtype=object)  # of a partition without rows too
+        yield pd.DataFrame({"bin": used, "n": count[used], "m": margins[used], "g": vectors})
 
     parts = data.mapInPandas(partial, "bin int, n long, m double, g array<double>")
     flat = parts.select("bin", "n", "m", F.posexplode("g").alias("i", "v"))
