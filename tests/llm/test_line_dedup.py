@@ -1,7 +1,8 @@
 import random
+from collections import Counter
 from itertools import combinations
 
-from vigilog.llm.line_dedup import normaliser, dedup_lines, line_table, word_distance
+from vigilog.llm.line_dedup import Lines, _word_counts, normaliser, dedup_lines, line_table, word_distance
 
 
 def _distance(a, b):
@@ -109,3 +110,13 @@ def test_lines_that_differ_in_numbers_stay(make):
     got = {x.doc_id: x for x in dedup_lines(make(rows)).collect()}
     assert {i for i, x in got.items() if x.n_removed or not x.kept} == {20}
     assert [got[i].text for i, _ in rows[:6]] == [t for _, t in rows[:6]]
+
+
+def test_word_counts_are_those_of_all_documents(make, words):
+    texts = [words(i, 30, 60) + "\n" + words(100 + i, 20, 60) for i in range(50)]
+    hashes, counts = _word_counts(make(list(enumerate(texts))).unionByName(make([(None, texts[0])])), 32)
+    expected = Counter(w for t in texts for line in t.split("\n") for w in line.split())
+    assert sorted(counts) == sorted(n for n in expected.values() if n > 1)
+    line = Lines([texts[0].encode()], 32)
+    found = dict(zip(hashes.tolist(), counts.tolist()))
+    assert [found.get(h, 1) for h in line.hashes.tolist()] == [expected[w] for w in texts[0].split()]

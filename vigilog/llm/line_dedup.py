@@ -15,7 +15,7 @@ kept, all others are taken out of their documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +33,7 @@ POWER = 3  # of the random weights; see above
 LIGHT = 64.0
 SLICE_BYTES = 1 << 20  # of texts that are sketched at once, or one longer line
 MARKS = 2_000_000  # rows and line numbers that are sent to the texts instead of shuffling those
-COUNTED = 16  # one document of so many is counted for the order of words
-RANKED = 50_000  # words with counts at most; all others come first
+RANKED = 50_000  # words that keep their counts, the most common ones; all others weigh as if they came once
 
 _FROM_E0 = re.compile(rb"[\xe0-\xf4]")  # first bytes of characters from U+0800 on
 _INSIDE = re.compile(rb"(?<=[0-9])[!-/:-@\[-`{-~]+(?=[0-9])")
@@ -182,20 +181,36 @@ def _cut(text: bytes, most: int) -> list[tuple[int, bytes]]:
     return [*out, (lines, text[low:])]
 
 
+def _slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts, long ones in parts, in lists of about ``most`` bytes."""
+    waiting, size = [], 0
+    for text in texts:
+        for _, part in _cut(text, most):
+            waiting.append(part)
+            size += len(part)
+            if size >= most:
+                yield waiting
+                waiting, size = [], 0
+    if waiting:
+        yield waiting
+
+
 def _word_counts(docs: DataFrame, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common words in order, and their counts in a part of the documents: they only weigh word pairs."""
+    """Hashes of the ``RANKED`` most common words in order, and how often the lines of all documents have them.
+
+    They only weigh word pairs; the driver and each task hold no more than this table.
+    """
 
     def make() -> Callable:
         def work(rows: dict[str, list]) -> dict[str, list]:
-            parts = [part for text in rows["text"] for _, part in _cut(text, SLICE_BYTES)]
-            found = [Lines([p], min_bytes).hashes for p in parts]
+            found = [Lines(texts, min_bytes).hashes for texts in _slices(rows["text"])]
             words, n = np.unique(np.concatenate(found), return_counts=True)
             return {"word": words.view(np.int64), "n": n}
 
         return work
 
-    some = docs.select(text_bytes().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
-    counts = map_rows(some, make, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    texts = docs.where("doc_id IS NOT NULL").select(text_bytes().alias("text"))
+    counts = map_rows(texts, make, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     rows = counts.orderBy(F.desc("n"), "word").limit(RANKED).collect()
     words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(words)
