@@ -8,7 +8,8 @@ from vigilog.models.artifacts import latest_model, latest_scaler, save_model, sa
 from vigilog.models.iforest import _grow, fit_iforest, score_iforest
 from vigilog.models.importance import permutation_importance
 from vigilog.models.lof import fit_lof, score_lof, training_factors
-from vigilog.models.neighbors import _nearest_rows, _squares, build_index, nearest_points
+from vigilog.models import neighbors
+from vigilog.models.neighbors import _cell_rows, _nearest_rows, _squares, build_index, nearest_points
 from vigilog.models.ocsvm import _fourier, fit_ocsvm, score_ocsvm
 from vigilog.models.prepare import fit_scaler, scale, temporal_split
 
@@ -68,6 +69,21 @@ def test_lof_equals_brute_force(spark, cloud, tmp_path):
     assert [r.is_anomaly for r in rows] == [v + model.offset > 0 for v in new]
 
 
+def test_wide_tables_have_few_cells_and_exact_neighbours(spark, monkeypatch):
+    assert _cell_rows(600_000, 7) == 2048  # narrow tables keep small cells
+    assert -(-600_000 // _cell_rows(600_000, 64)) == neighbors.WIDE_CELLS
+    assert 8 * 1024 * _cell_rows(10**9, 1024) <= neighbors.TILE_BYTES
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    monkeypatch.setattr(neighbors, "CHUNK", 20)
+    x = np.random.default_rng(4).normal(size=(500, 20))
+    points = spark.createDataFrame([(f"{i:04d}", row.tolist(), 1) for i, row in enumerate(x)], "pid string, vec array<double>, mult long")
+    index = build_index(points)
+    assert 8 <= len(index.cells) <= neighbors.WIDE_CELLS
+    found = nearest_points(points.select(F.col("pid").alias("qid"), "vec"), index, 6).collect()
+    order = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1, kind="stable")[:, :6]
+    assert {(int(r.qid), r.place, int(r.pid)) for r in found} == {(i, j + 1, int(p)) for i, row in enumerate(order) for j, p in enumerate(row)}
+
+
 def test_nearest_rows_equal_a_full_sort():
     """Wide, near equal, equal and far away rows: the product only chooses what is measured again."""
     rng = np.random.default_rng(3)

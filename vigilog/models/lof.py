@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from ..operators.ranking import exact_quantiles
 from ..schema import MODEL_FEATURES
 from ..session import cut_lineage
-from .neighbors import CELL_ROWS, CellIndex, build_index, nearest_points
+from .neighbors import CellIndex, build_index, nearest_points
 
 _TINY = 1e-10
 
@@ -29,6 +29,7 @@ class LocalOutlierFactor:
     columns: list[str]
     array: bool = False
     offset: float = -1.5
+    neighbours: DataFrame | None = None  # of the training rows; not stored with the model
 
 
 def _vector(columns: list[str], array: bool) -> Column:
@@ -56,6 +57,12 @@ def _weighted(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("w", F.least("mult", F.lit(k) - used)).where(F.col("w") > 0)
 
 
+def _others(found: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` neighbours of training points: of a point itself only the other copies count."""
+    others = F.col("mult") - (F.col("qid") == F.col("pid")).cast("long")
+    return _weighted(found.withColumn("mult", others).where(F.col("mult") > 0), k)
+
+
 def _factor(neighbours: DataFrame, density: DataFrame) -> DataFrame:
     """(qid, lrd, lof) of weighted neighbours under the training densities."""
     joined = neighbours.join(density, "pid")
@@ -76,7 +83,7 @@ def fit_lof(
     contamination: float | None = None,
     array: bool = False,
     seed: int = 42,
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int | None = None,
 ) -> LocalOutlierFactor:
     """Fit on scaled columns, or on one array column with ``array=True``."""
     columns = list(columns)
@@ -88,10 +95,7 @@ def fit_lof(
     index = build_index(points, seed, cell_rows)
     # k others plus the point itself; of itself only the other copies count.
     found = nearest_points(points.select(F.col("pid").alias("qid"), "vec"), index, k + 1)
-    without_self = found.withColumn(
-        "mult", F.col("mult") - (F.col("qid") == F.col("pid")).cast("long")
-    ).where(F.col("mult") > 0)
-    neighbours = cut_lineage(_weighted(without_self, k))
+    neighbours = cut_lineage(_others(found, k))
     k_distance = neighbours.groupBy(F.col("qid").alias("pid")).agg(
         F.max("dist").alias("k_distance")
     )
@@ -103,7 +107,7 @@ def fit_lof(
         ).alias("lrd")
     )
     density = cut_lineage(k_distance.join(lrd, "pid"))
-    model = LocalOutlierFactor(index, density, k, columns, array)
+    model = LocalOutlierFactor(index, density, k, columns, array, neighbours=neighbours)
     if contamination is not None:
         own = _factor(neighbours, density).join(
             points.select(F.col("pid").alias("qid"), "mult"), "qid"
@@ -116,13 +120,11 @@ def fit_lof(
 
 def training_factors(train: DataFrame, model: LocalOutlierFactor) -> DataFrame:
     """Training rows with ``lof``, each row without itself among its neighbours."""
-    k = model.neighbors
-    points = model.index.points.select(F.col("pid").alias("qid"), "vec")
-    found = nearest_points(points, model.index, k + 1)
-    without_self = found.withColumn(
-        "mult", F.col("mult") - (F.col("qid") == F.col("pid")).cast("long")
-    ).where(F.col("mult") > 0)
-    factors = _factor(_weighted(without_self, k), model.density)
+    neighbours = model.neighbours
+    if neighbours is None:
+        points = model.index.points.select(F.col("pid").alias("qid"), "vec")
+        neighbours = _others(nearest_points(points, model.index, model.neighbors + 1), model.neighbors)
+    factors = _factor(neighbours, model.density)
     return _join_back(train, factors, model)
 
 

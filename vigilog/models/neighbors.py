@@ -7,6 +7,10 @@ No neighbour outside those cells can be nearer, so the answer is exact.
 
 Cells and the queries of a cell are both cut into chunks of about ``CHUNK``
 rows, so a dense cell or one that many queries visit becomes many small tasks.
+
+In many dimensions hardly a cell can be left out, and each query visits nearly all
+of them. Cells and chunks of wide tables grow with the table up to ``TILE_BYTES``, so
+that the rows that are sent around grow as the table does; distances stay all pairs'.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from ..session import cut_lineage
 
 CHUNK = 2048
 CELL_ROWS = 2048
+WIDE = 16  # dimensions; beyond, boxes leave out little
+WIDE_CELLS = 16  # of a wide table, as far as their rows fit
+TILE_BYTES = 32 << 20  # of the vectors of a cell of a wide table
+TILE_CELLS = 1 << 22  # distances that a task holds at once
 # What the driver may hold of the sample that the tree grows on; tree and boxes are smaller. Cells of
 # larger tables hold more rows instead, in more chunks: this steers the cost and never the result.
 SAMPLE_BYTES = 64 << 20
@@ -43,6 +51,7 @@ class CellIndex:
     low: np.ndarray
     high: np.ndarray
     cells: np.ndarray
+    chunk: int = CHUNK  # rows
 
 
 def _grow_tree(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,25 +112,34 @@ def _with_cell(df: DataFrame, dims, cuts, children) -> DataFrame:
     return df.withColumn("cell", cell("vec"))
 
 
-def _with_chunks(df: DataFrame, row: str, name: str) -> DataFrame:
-    """Number the chunks of each cell so that a chunk holds about ``CHUNK`` rows."""
-    counts = df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias(f"{name}s"))
+def _with_chunks(df: DataFrame, row: str, name: str, rows: int) -> DataFrame:
+    """Number the chunks of each cell so that a chunk holds about ``rows`` rows."""
+    counts = df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows)).alias(f"{name}s"))
     # One row per cell: a part of the sample that the driver held.
     return df.join(F.broadcast(counts), "cell").withColumn(
         name, F.pmod(F.xxhash64(row), F.col(f"{name}s")).cast("int")
     )
 
 
-def build_index(points: DataFrame, seed: int = 42, cell_rows: int = CELL_ROWS) -> CellIndex:
+def _cell_rows(total: int, width: int) -> int:
+    if width <= WIDE:
+        return CELL_ROWS
+    return max(CELL_ROWS, min(-(-total // WIDE_CELLS), TILE_BYTES // (8 * width)))
+
+
+def build_index(points: DataFrame, seed: int = 42, cell_rows: int | None = None) -> CellIndex:
     """Index of points (pid string, vec array<double>, mult long)."""
     total, width = points.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    cell_rows = cell_rows or _cell_rows(total, width)
+    # Cells differ in size: most have one chunk.
+    chunk = max(CHUNK, 2 * cell_rows) if width > WIDE else CHUNK
     most = max(1, SAMPLE_BYTES // (8 * max(width, 1) * SAMPLE_PER_CELL))
     wanted = int(min(most, max(1, -(-total // cell_rows))))
     sample = hash_sample(points.select("pid", "vec"), wanted * SAMPLE_PER_CELL, ["pid"], seed)
     rows = sample.orderBy("pid").select("vec").toPandas()
     x = _matrix(rows["vec"]) if len(rows) else np.zeros((0, width))
     dims, cuts, children = _grow_tree(x, wanted)
-    celled = _with_chunks(_with_cell(points, dims, cuts, children), "pid", "chunk")
+    celled = _with_chunks(_with_cell(points, dims, cuts, children), "pid", "chunk", chunk)
     celled = cut_lineage(celled)
     values = celled.select("cell", F.posexplode("vec").alias("dim", "v"))
     bounds = values.groupBy("cell", "dim").agg(F.min("v").alias("low"), F.max("v").alias("high"))
@@ -135,6 +153,7 @@ def build_index(points: DataFrame, seed: int = 42, cell_rows: int = CELL_ROWS) -
         boxes["low"].to_numpy(dtype=float).reshape(-1, width),
         boxes["high"].to_numpy(dtype=float).reshape(-1, width),
         boxes["cell"].to_numpy(dtype=int)[::width],
+        chunk,
     )
 
 
@@ -178,12 +197,12 @@ def _nearest_rows(a: np.ndarray, b: np.ndarray, k: int, spare: int = 16) -> tupl
 
 
 def _search(visits: DataFrame, index: CellIndex, k: int) -> DataFrame:
-    """The ``k`` nearest points of each visited cell chunk, per query."""
-    queries = _with_chunks(visits.select("qid", "vec", "cell"), "qid", "part")
+    """The ``k`` nearest points of each visited cell chunk, per query, less those farther than its ``reach``."""
+    queries = _with_chunks(visits.select("qid", "vec", "reach", "cell"), "qid", "part", index.chunk)
     parts = queries.groupBy("cell").agg(F.max("parts").alias("parts"))
     chunks = index.points.groupBy("cell").agg(F.max("chunks").alias("chunks"))
     left = queries.join(F.broadcast(chunks), "cell").select(
-        "qid", "vec", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk")
+        "qid", "vec", "reach", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk")
     )
     right = index.points.join(F.broadcast(parts), "cell").select(
         "pid", "vec", "mult", "cell", "chunk",
@@ -195,14 +214,14 @@ def _search(visits: DataFrame, index: CellIndex, k: int) -> DataFrame:
             return pd.DataFrame({"qid": [], "pid": [], "dist": [], "mult": []})
         p = p.sort_values("pid")
         a, b = _matrix(q["vec"]), _matrix(p["vec"])
-        best, square = _nearest_rows(a, b, k)
+        step = max(1, TILE_CELLS // len(b))
+        found = [_nearest_rows(a[i : i + step], b, k) for i in range(0, len(a), step)]
+        best, square = (np.concatenate(x) for x in zip(*found))
+        dist = np.sqrt(square)
+        near = dist <= q["reach"].fillna(np.inf).to_numpy(dtype=float)[:, None]
+        row, best = np.nonzero(near)[0], best[near]
         return pd.DataFrame(
-            {
-                "qid": np.repeat(q["qid"].to_numpy(), best.shape[1]),
-                "pid": p["pid"].to_numpy()[best.ravel()],
-                "dist": np.sqrt(square.ravel()),
-                "mult": p["mult"].to_numpy()[best.ravel()],
-            }
+            {"qid": q["qid"].to_numpy()[row], "pid": p["pid"].to_numpy()[best], "dist": dist[near], "mult": p["mult"].to_numpy()[best]}
         )
 
     keys = ["cell", "part", "chunk"]
@@ -225,9 +244,10 @@ def _nearest(candidates: DataFrame, k: int) -> DataFrame:
 def nearest_points(queries: DataFrame, index: CellIndex, k: int) -> DataFrame:
     """(qid, pid, dist, mult, place): the ``k`` nearest points, ties by pid."""
     homed = _with_cell(queries.select("qid", "vec"), index.dims, index.cuts, index.children)
+    anywhere = homed.withColumn("reach", F.lit(None).cast("double"))
     low, high, cells = index.low, index.high, index.cells
     # Cells without points exist in the tree only; their queries just have no bound yet.
-    near = cut_lineage(_nearest(_search(homed, index, k), k))
+    near = cut_lineage(_nearest(_search(anywhere, index, k), k))
     bound = near.groupBy("qid").agg(
         F.when(F.count("*") >= k, F.max("dist")).alias("reach")
     )
@@ -252,11 +272,11 @@ def nearest_points(queries: DataFrame, index: CellIndex, k: int) -> DataFrame:
             out += [cells[row].astype("int32") for row in hit]
         return pd.Series(out)
 
-    # Read for the counts and for the search: find the cells to visit once.
+    # Read for the counts and for the search: find the cells to visit once, and write a row per query.
     visits = cut_lineage(
         homed.join(bound, "qid", "left")
         .withColumn("cells", others("vec", "reach", "cell"))
-        .select("qid", "vec", F.explode("cells").alias("cell"))
+        .select("qid", "vec", "reach", "cells")
     )
-    far = _search(visits, index, k)
+    far = _search(visits.select("qid", "vec", "reach", F.explode("cells").alias("cell")), index, k)
     return _nearest(near.drop("place").unionByName(far), k)
