@@ -395,7 +395,7 @@ def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int
     placed_keys = staged(join_small(many.select("key", "id"), groups, "id", "left").select("key", "id", component), "line-open")
     mixed = placed_keys.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
     rest = staged(placed_keys.join(mixed, "key", "left_semi").select("key", "id", "component"), "line-rest")
-    late = staged(cross_pairs(join_small(sketches, rest, "id"), _may_match("l", "r", similarity)), "late")
+    late = staged(cross_pairs(rest, _may_match("l", "r", similarity), sketches), "late")
     edges = edges.union(verified(late))
     groups = staged(components(edges, "line-stars"), "line-groups")
     # Most classes are one line and linked with nothing: only the others have lines to take out.

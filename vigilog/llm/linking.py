@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import staged
+from .base import join_small, staged
 
 
 def hub_pairs(postings: DataFrame) -> DataFrame:
@@ -29,25 +29,31 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
     )
 
 
-def cross_pairs(postings: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Distinct (a, b) of postings (key, id, component, ...) under one key in different components.
+def cross_pairs(postings: DataFrame, condition: Column | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """Distinct (a, b) of postings (key, id, component) under one key in different components.
 
-    ``condition`` may compare the other columns of the sides ``l`` and ``r``.
+    A pair with many common keys is listed under the least of them alone: each posting brings the lesser keys of its
+    id, and a pair that has one of those in common is left to that. ``condition`` may compare the columns of
+    ``sketches`` (id, ...) of the sides ``l`` and ``r``; ids without a sketch are left out.
     """
-    sizes = postings.groupBy("key", "component").agg(F.count("*").alias("n"))
+    lists = postings.groupBy("id").agg(F.first("component").alias("component"), F.sort_array(F.collect_set("key")).alias("keys"))
+    lists = staged(lists, "key-lists")
+    each = lists if sketches is None else staged(join_small(sketches, lists, "id", array="keys"), "key-lists")
+    sizes = lists.select("component", F.explode("keys").alias("key")).groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = (
         sizes.groupBy("key")
         .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components"))
         .where("components > 1")
         .drop("components")
     )
-    left = postings.join(mixed, "key").where("component <> main").drop("main").alias("l")
-    right = postings.join(mixed, "key").alias("r")
+    each = each.select("*", F.posexplode("keys").alias("place", "key"))
+    each = each.withColumn("lesser", F.slice("keys", F.lit(1), F.col("place"))).drop("keys", "place")
+    left = each.join(mixed, "key").where("component <> main").drop("main").alias("l")
+    right = each.join(mixed, "key").alias("r")
     apart = F.expr("l.component <> r.component AND (r.component = r.main OR l.id < r.id)")
     apart = apart if condition is None else apart & condition
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart)
-    a, b = F.least("l.id", "r.id"), F.greatest("l.id", "r.id")
-    return pairs.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared")).drop("shared")
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & ~F.arrays_overlap("l.lesser", "r.lesser"))
+    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:

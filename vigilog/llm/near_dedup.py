@@ -28,7 +28,7 @@ SHINGLE = 5
 SIMILARITY = 75  # in percent
 WIDTH = 48
 MISS = 1e-5  # chance at most that a link of exactly that similarity has too few agreements
-CELLS = 8  # numbers of 64 bits
+CELLS = 16  # numbers of 64 bits
 WORDS_KEPT = 300_000
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -110,13 +110,13 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, print, shingles, bits) of (doc_id, text); bits has the parity of the shingles in each of 512 cells."""
+    """(id, print, shingles, bits) of (doc_id, text); bits has the parity of the shingles in each of 64 * ``CELLS`` cells."""
 
     def make() -> Callable:
         shingles = Shingles()
 
         def parities(x: np.ndarray) -> np.ndarray:
-            odd = np.bincount((x >> np.uint64(55)).astype(np.int64), minlength=64 * CELLS) & 1
+            odd = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * CELLS), minlength=64 * CELLS) & 1
             return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
         def work(rows: dict[str, list]) -> dict[str, list]:
@@ -151,43 +151,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * common >= similarity * union).select("a", "b")
 
 
-def _bands(n, step: float = 1.05):
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(step))).cast("int")
-
-
-def _set_postings(sets: DataFrame, groups: DataFrame, similarity: int, step: float = 1.05) -> DataFrame:
-    """Postings of exact prefixes: under each rare shingle, own and partner's size band.
-
-    Two sets of a and b shingles need s / (1 + s) * (a + b) in common, so each must have one of
-    them among its rarest a - s / (1 + s) * (a + b) + 1; partners' sizes are taken by band.
-    """
-    s = similarity / 100
-    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
-    counts = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (
-        each.join(counts, "x")
-        .groupBy("id", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("rare"))
-    )
-    n = F.col("n")
-    bands = F.sequence(_bands(F.ceil(n * s), step), _bands(F.floor(n / s), step))
-    smallest = F.greatest(F.pow(F.lit(step), F.col("band")), n * s)
-    need = F.ceil(s / (1 + s) * (n + smallest) - 1e-6)
-    alone = n - F.size("rare")  # shingles of no other set come first
-    prefix = F.greatest(F.lit(0), n - need + 1 - alone).cast("int")
-    own = _bands(n, step)
-    key = F.xxhash64("x", F.least("own", "band"), F.greatest("own", "band"))
-    return (
-        ranked.withColumn("band", F.explode(bands))
-        .withColumn("own", own)
-        .withColumn("x", F.explode(F.slice("rare", F.lit(1), prefix)))
-        .withColumn("x", F.col("x.x"))
-        .select(key.alias("key"), "id", "n")
-        .distinct()
-        .transform(lambda d: with_component(d, groups))
-    )
-
-
 def near_groups(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
 
@@ -230,16 +193,15 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDT
     sets = staged(found.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
     edges = staged(_linked(_alike(hub_pairs(postings), narrow, matches), sets, similarity), "links")
     groups = components(edges, "stars")
-    # Candidates that are still apart: exact prefixes of their full sets.
-    placed = with_component(postings.select("key", "id"), groups)
+    # Candidates that are still apart.
+    placed = staged(with_component(postings.select("key", "id"), groups), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-    open_ids = staged(placed.join(mixed, "key", "left_semi").select("id").distinct(), "open")
-    rest = staged(_set_postings(sets.join(open_ids, "id", "left_semi"), groups, similarity), "prefixes")
+    rest = staged(placed.join(mixed, "key", "left_semi"), "open")
     # At least as many shingles are in one set only as the parities differ in cells.
-    rest = rest.join(sets.select("id", "bits"), "id")
+    sketches = sets.select("id", F.size("shingles").alias("n"), "bits")
     apart = " + ".join(f"bit_count(l.bits[{i}] ^ r.bits[{i}])" for i in range(CELLS))
     enough = F.expr(f"{100 + similarity} * (l.n + r.n - ({apart})) >= {2 * similarity} * (l.n + r.n)")
-    late = _linked(cross_pairs(rest, enough), sets, similarity)
+    late = _linked(_alike(staged(cross_pairs(rest, enough, sketches), "late"), narrow, matches), sets, similarity)
     edges = edges.union(late)
     groups = staged(components(edges, "stars"), "groups")
     labels = with_component(classes.select("print", "id"), groups).select("print", F.col("component").alias("component_id"))
