@@ -106,3 +106,25 @@ def test_empty_table_and_clashing_columns(make):
     assert sorted(map(tuple, align_tokens(make(rows, "row, pair, times, n, best, n_a")).collect()), key=str) == brute(rows)
 
 
+
+
+def test_words_and_marks_are_put_together_of_what_is_known():
+    """A word with marks behind it is aligned of both, with the columns that it has as one text."""
+    aligner = Aligner(*tokenizer_paths())
+    for text in ("deliver", "deliver.", "delivér!?", "deliver',", "(deliver).", "no42.", "x_.", "ǆ.", "."):
+        assert aligner._new([" " + text])[" " + text] == aligner._align([" " + text])[0]
+    assert aligner._word_and_marks(" deliver.") == (" deliver", ".")
+
+
+def test_units_beyond_the_kept_number_are_aligned_once_for_several_texts(words, monkeypatch):
+    import vigilog.llm.token_alignment as module
+
+    monkeypatch.setattr(module, "UNITS_KEPT", 5)
+    aligner = Aligner(*tokenizer_paths())
+    sent: list[str] = []
+    align = aligner._align
+    aligner._align = lambda units: sent.extend(units) or align(units)
+    text = words(5, 400, 50).encode()
+    first, second = aligner.of_texts([text, text])
+    assert len(aligner.known) <= 5 and len(sent) == len(set(sent))
+    assert {k: str(v) for k, v in first.items()} == {k: str(v) for k, v in second.items()}

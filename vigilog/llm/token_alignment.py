@@ -6,8 +6,9 @@ the coarse cuts. Where a span is not as long as what the token stands for (sever
 character, or a character of byte-fallback pieces), the token's decoded bytes give the cut. Cuts on
 which both sides end divide the tokens into groups.
 
-Neither vocabulary has tokens that reach from a letter over the blank or mark behind it, so a text
-falls into units at such places. A task aligns each unit once and remembers it.
+Neither vocabulary has tokens that reach from a letter over the blank behind it, so a text falls into
+units at such places. A task aligns each unit once and remembers it. A word with marks behind it is put
+together of both where no token has such a letter and mark side by side.
 
 How often a pair of ids is linked is a number of the whole table. Pairs that would make a large group in a
 join are few: at most ``HOT_PAIRS`` pairs have more than 1 / ``HOT_PAIRS`` of all entries. Only these are
@@ -17,7 +18,9 @@ sent to all tasks; the others are joined by key.
 from __future__ import annotations
 
 import hashlib
+import operator
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,14 +38,13 @@ UNITS_KEPT = 300_000
 UNIT_LETTERS = 48  # longer units are aligned anew each time
 TEXT_BYTES = 1 << 20
 UNITS_AT_ONCE = 8192  # of a text, so that very long texts stay in bounds
-BLOCK_UNITS = 1024  # that go through the tokenizers as one text
+BLOCK_UNITS = 4096  # that go through the tokenizers as one text
 EXPANDED = 4096  # links of one group that are listed one by one; beyond, they are counted by id
 SPACE = "▁"
-# A blank or line break between two visible characters starts a unit, and so does a mark behind a letter where
-# no piece of B holds both; A's own pattern cuts at both places.
-_BLANK = r"(?<=\S)(?=[ \n]\S)"
-_MARK = r"(?<=[^\W\d_])(?=[^\w\s])"
-_LETTER_AND_MARK = re.compile(r"[^\W\d_][^\w\s]")
+# A blank or line break between two visible characters starts a unit.
+_UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
+_MARKS = string.punctuation
+_LATIN = "\u0250"  # letters before this one are letters to every pattern
 _LEAD = " x"
 ALIGNED = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -68,6 +70,14 @@ def token_ends(span_ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 Unit = tuple[int, int, int, int, str, bytes, "Counter | None"]
 
 
+def joined(x: Unit | None, y: Unit | None) -> Unit | None:
+    """What two units give, one behind the other."""
+    if x is None or y is None:
+        return None
+    counted = x[-1] + y[-1] if x[-1] and y[-1] else x[-1] or y[-1]
+    return (*map(operator.add, x[:-1], y[:-1]), counted)
+
+
 class Aligner:
     """Aligned units of texts, remembered up to a number."""
 
@@ -95,17 +105,18 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
             raise ValueError("a piece of this model reaches over a blank")
-        marks_apart = not any(_LETTER_AND_MARK.search(p) for p in pieces)
-        self.border = re.compile(f"{_BLANK}|{_MARK}" if marks_apart else _BLANK)
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
             for i, p in enumerate(pieces)
         ]
+        texts_b = [t for i, t in enumerate(self.bytes_b) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.together = {t[i : i + 2] for t in [*self.bytes_a, *texts_b] for i in range(len(t) - 1)}
         self.sizes_a = np.array(list(map(len, self.bytes_a)), np.int64)
         self.sizes_b = np.array(list(map(len, self.bytes_b)), np.int64)
         marks = ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;"))
         self.marked = np.array([f"{i}{mark}" for size, pair in marks for i in range(size) for mark in pair], object)
         self.known: dict[str, Unit | None] = {}
+        self.passing: dict[str, Unit | None] = {}
 
     def _align(self, units: list[str]) -> list[Unit | None]:
         """Units in blocks, each as one text; those that a neighbour could change, or that spoil a block, alone."""
@@ -117,10 +128,37 @@ class Aligner:
         for rest in (plain, other):
             for low in range(0, len(rest), BLOCK_UNITS):
                 block = rest[low : low + BLOCK_UNITS]
-                done = self._block(block) or [(self._block([u]) or [None])[0] for u in block]
-                found.update(zip(block, done))
+                found.update(zip(block, self._halved(block)))
         return [found[u] for u in units]
 
+    def _halved(self, units: list[str]) -> list[Unit | None]:
+        """The units as one block, or as two where some unit spoils it."""
+        done = self._block(units)
+        if done is not None or len(units) == 1:
+            return done or [None]
+        half = len(units) // 2
+        return self._halved(units[:half]) + self._halved(units[half:])
+
+    def _word_and_marks(self, unit: str) -> tuple[str, str] | None:
+        """A word and the marks behind it, if no token can hold the end of the one and the start of the other."""
+        word = unit.rstrip(_MARKS)
+        if len(word) == len(unit) or not word[-1:].isalpha() or word[-1] >= _LATIN:
+            return None
+        mark = unit[len(word)].encode()
+        if word[-1].encode()[-1:] + mark in self.together or _LEAD[-1].encode() + mark in self.together:
+            return None
+        return word, unit[len(word) :]
+
+    def _new(self, units: Iterable[str]) -> dict[str, Unit | None]:
+        """Units that are not remembered, and the words and marks that some are put together of."""
+        units = set(units)
+        cut = {u: parts for u in units if u[-1] in _MARKS and (parts := self._word_and_marks(u))}
+        single = list(units.difference(cut).union(*cut.values()).difference(self.known))
+        found = dict(zip(single, self._align(single)))
+        for unit, (word, marks) in cut.items():
+            found[unit] = joined(*(found[x] if x in found else self.known[x] for x in (word, marks)))
+        return found
+
     def _block(self, units: list[str]) -> list[Unit] | None:
         """The units one behind the other as one text, cut by its spans; None if a tokenizer does not give it back.
 
@@ -211,21 +249,24 @@ class Aligner:
             decoded = text.decode("utf-8")
         except UnicodeDecodeError:
             return []
-        return self.border.split(" " + decoded) if decoded else []
+        return _UNIT.findall(" " + decoded) if decoded else []
 
     def learn(self, parts: Iterable[list[str]]) -> None:
-        """Align and remember the new units of several texts, up to the number that is kept."""
-        fresh = [u for u in set().union(*parts).difference(self.known) if len(u) <= UNIT_LETTERS]
-        fresh = fresh[: max(0, UNITS_KEPT - len(self.known))]
-        self.known.update(zip(fresh, self._align(fresh)))
+        """Align the new units of several texts; those up to the number that is kept are remembered, the others
+        until the next texts come."""
+        self.passing = self._new(set().union(*parts).difference(self.known))
+        fresh = [u for u in self.passing if len(u) <= UNIT_LETTERS]
+        for unit in fresh[: max(0, UNITS_KEPT - len(self.known))]:
+            self.known[unit] = self.passing.pop(unit)
 
     def units(self, parts: list[str]) -> Iterator[list[Unit | None]]:
         """The aligned units in order, a few thousand at a time."""
-        known = self.known
+        known, passing = self.known, self.passing
         for low in range(0, len(parts), UNITS_AT_ONCE):
             part = parts[low : low + UNITS_AT_ONCE]
-            fresh = list(set(part).difference(known))
-            own = dict(zip(fresh, self._align(fresh))) if fresh else {}
+            fresh = set(part).difference(known)
+            own = {u: passing[u] for u in fresh if u in passing}
+            own.update(self._new(fresh.difference(own)))
             yield [own[u] if u in own else known[u] for u in part] if own else list(map(known.__getitem__, part))
 
     def of_parts(self, parts: list[str]) -> dict:
@@ -265,8 +306,7 @@ class Aligner:
                 size += len(texts[high])
                 high += 1
             parts = [self.parts(t) for t in texts[low:high]]
-            if size <= TEXT_BYTES:
-                self.learn(parts)
+            self.learn(parts if size <= TEXT_BYTES else [])
             out += map(self.of_parts, parts)
             low = high
         return out
