@@ -429,11 +429,8 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int = S
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     rows = rows.withColumn("__doc", F.col("doc_id").cast("bigint")).withColumn("__row", F.xxhash64(text_bytes()))
     rows = join_small(rows, marks, ["__doc", "__row"], "left", array="__cut", limit=MARKS)
-    split = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__cut"))
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
-    )
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__cut", i))
+    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return rows.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
         F.coalesce("__lines", F.lit(0)).cast("bigint").alias("n_lines"),
