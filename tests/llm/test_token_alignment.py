@@ -128,3 +128,16 @@ def test_units_beyond_the_kept_number_are_aligned_once_for_several_texts(words,
     first, second = aligner.of_texts([text, text])
     assert len(aligner.known) <= 5 and len(sent) == len(set(sent))
     assert {k: str(v) for k, v in first.items()} == {k: str(v) for k, v in second.items()}
+
+
+def test_plain_texts_are_cut_into_the_units_of_the_pattern(words, monkeypatch):
+    """Without the pattern where one blank or line break parts all words."""
+    import vigilog.llm.token_alignment as module
+
+    aligner = Aligner(*tokenizer_paths())
+    for text in [t for t in TEXTS if t] + ["a\nb c", "a b\n", "\na", "a\n\nb", "a\tb  c", "a\0b c", "a\x1fb c", "a\u2003b c"]:
+        assert aligner.parts(text.encode()) == module._UNIT.findall(" " + text)
+    monkeypatch.setattr(module, "_UNIT", None)
+    plain = words(1, 20) + "\n" + words(2, 20)
+    parts = aligner.parts(plain.encode())
+    assert len(parts) == 40 and "".join(parts) == " " + plain

@@ -65,9 +65,9 @@ def token_ends(span_ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where((np.diff(span_ends, prepend=0) == sizes) & (span_ends == refined), span_ends, refined)
 
 
-# What a unit adds to its text: numbers of tokens, groups and links, its groups as text, its links as packed
-# 64-bit pairs, and the counted pairs of huge groups.
-Unit = tuple[int, int, int, int, str, bytes, "Counter | None"]
+# What a unit adds to its text: its number of A tokens, its groups as text, its links as packed 64-bit pairs, and
+# the counted pairs of huge groups. The numbers of groups, B tokens and links are those of the marks and pairs.
+Unit = tuple[int, str, bytes, "Counter | None"]
 
 
 def joined(x: Unit | None, y: Unit | None) -> Unit | None:
@@ -115,6 +115,7 @@ class Aligner:
         self.sizes_b = np.array(list(map(len, self.bytes_b)), np.int64)
         marks = ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;"))
         self.marked = np.array([f"{i}{mark}" for size, pair in marks for i in range(size) for mark in pair], object)
+        self.apart: dict[str, bool] = {}  # by a letter and the mark behind it
         self.known: dict[str, Unit | None] = {}
         self.passing: dict[str, Unit | None] = {}
 
@@ -144,10 +145,11 @@ class Aligner:
         word = unit.rstrip(_MARKS)
         if len(word) == len(unit) or not word[-1:].isalpha() or word[-1] >= _LATIN:
             return None
-        mark = unit[len(word)].encode()
-        if word[-1].encode()[-1:] + mark in self.together or _LEAD[-1].encode() + mark in self.together:
-            return None
-        return word, unit[len(word) :]
+        border = unit[len(word) - 1 : len(word) + 1]
+        if border not in self.apart:
+            mark = border[1].encode()
+            self.apart[border] = self.together.isdisjoint((border[0].encode()[-1:] + mark, _LEAD[-1].encode() + mark))
+        return (word, unit[len(word) :]) if self.apart[border] else None
 
     def _new(self, units: Iterable[str]) -> dict[str, Unit | None]:
         """Units that are not remembered, and the words and marks that some are put together of."""
@@ -219,8 +221,7 @@ class Aligner:
         packed = (left * len(self.bytes_b) + right).tobytes()
         pairs_at = np.append(0, np.cumsum(each)).tolist()
         tokens_at = np.append(0, np.cumsum(many_a + many_b)).tolist()
-        links_at = np.append(0, np.cumsum(links)).tolist()
-        ends_a, ends_b = np.append(0, last_a).tolist(), np.append(0, last_b).tolist()
+        ends_a = np.append(0, last_a).tolist()
         out, any_huge = [], bool(huge.any())
         for low, high in zip(start, stop):
             counted = None
@@ -233,9 +234,6 @@ class Aligner:
             out.append(
                 (
                     ends_a[high] - ends_a[low],
-                    ends_b[high] - ends_b[low],
-                    high - low,
-                    links_at[high] - links_at[low],
                     "".join(listed[tokens_at[low] : tokens_at[high]]),
                     packed[8 * pairs_at[low] : 8 * pairs_at[high]],
                     counted,
@@ -249,6 +247,9 @@ class Aligner:
             decoded = text.decode("utf-8")
         except UnicodeDecodeError:
             return []
+        plain = decoded.replace("\n", " ")
+        if plain and "\0" not in plain and " ".join(plain.split()) == plain:  # one blank or line break between two words
+            return (" " + decoded).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
         return _UNIT.findall(" " + decoded) if decoded else []
 
     def learn(self, parts: Iterable[list[str]]) -> None:
@@ -264,10 +265,14 @@ class Aligner:
         known, passing = self.known, self.passing
         for low in range(0, len(parts), UNITS_AT_ONCE):
             part = parts[low : low + UNITS_AT_ONCE]
-            fresh = set(part).difference(known)
-            own = {u: passing[u] for u in fresh if u in passing}
-            own.update(self._new(fresh.difference(own)))
-            yield [own[u] if u in own else known[u] for u in part] if own else list(map(known.__getitem__, part))
+            found = list(map(known.get, part))
+            if None in found:
+                fresh = {u for u, f in zip(part, found) if f is None and u not in known}
+                own = {u: passing[u] for u in fresh if u in passing}
+                if len(own) < len(fresh):
+                    own.update(self._new(fresh.difference(own)))
+                found = [own.get(u) if f is None else f for u, f in zip(part, found)]
+            yield found
 
     def of_parts(self, parts: list[str]) -> dict:
         """The columns of one row but its id."""
@@ -279,12 +284,16 @@ class Aligner:
         for part in self.units(parts):
             if None in part:
                 return none
-            *counts, listed, packed, many = zip(*part)
-            totals = [x + sum(y) for x, y in zip(totals, counts)]
-            digest.update((held + "".join(listed))[:-1].encode())
-            held = ";"  # the mark behind the last group is left to the next part
+            of_a, listed, packed, many = zip(*part)
+            shown = "".join(listed)
             found = np.frombuffer(b"".join(packed), np.int64)
-            huge = [m for m in many if m]
+            huge = [m for m in many if m] if any(many) else []
+            n_a, n_groups = sum(of_a), shown.count(";")
+            n_b = shown.count(",") + 2 * n_groups - n_a
+            n_links = len(found) + sum(m.total() for m in huge)
+            totals = [x + y for x, y in zip(totals, (n_a, n_b, n_groups, n_links))]
+            digest.update((held + shown)[:-1].encode())
+            held = ";"  # the mark behind the last group is left to the next part
             if not len(pairs) and not huge:
                 pairs, times = np.unique(found, return_counts=True)
             else:
