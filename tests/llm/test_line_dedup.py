@@ -2,7 +2,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from vigilog.llm.line_dedup import Lines, _word_counts, normaliser, dedup_lines, line_table, word_distance
+from vigilog.llm.line_dedup import Lines, _word_counts, normaliser, dedup_lines, line_table, parities, word_distance
 
 
 def _distance(a, b):
@@ -120,3 +120,35 @@ def test_word_counts_are_those_of_all_documents(make, words):
     line = Lines([texts[0].encode()], 32)
     found = dict(zip(hashes.tolist(), counts.tolist()))
     assert [found.get(h, 1) for h in line.hashes.tolist()] == [expected[w] for w in texts[0].split()]
+
+
+def test_parities_differ_by_no_more_than_the_edits(words):
+    """Two for an edit at most, and one for an edit that changes the length."""
+    r = random.Random(8)
+    for i in range(300):
+        line = words(i, 40).encode().split()
+        other, edits = list(line), r.randrange(9)
+        for _ in range(edits):
+            at = r.randrange(len(other))
+            other[at : at + r.randrange(2)] = [b"new%d" % r.randrange(9)] * r.randrange(2)
+        bits = sum(((x ^ y) & 2**64 - 1).bit_count() for x, y in zip(parities(line), parities(other)))
+        assert len(parities(line)) == 8 and bits <= 2 * edits - abs(len(line) - len(other))
+
+
+def test_lines_beyond_the_similarity_are_not_listed_in_pairs(make, words, monkeypatch):
+    """Changed copies of one line that is not there, further from each other than 85 percent: few pairs to verify."""
+    import vigilog.llm.line_dedup as module
+
+    r = random.Random(9)
+    base = words(1, 60)
+    listed = {}
+
+    def counted(df, name, staged=module.staged):
+        out = staged(df, name)
+        listed[name] = listed.get(name, 0) + (out.count() if name in ("close", "again", "late") else 0)
+        return out
+
+    monkeypatch.setattr(module, "staged", counted)
+    found = dedup_lines(make([(i, _changed(r, base, 6).replace("z", f"z{i}")) for i in range(150)])).collect()
+    assert sum(x.n_removed for x in found) >= 1
+    assert listed["late"] < 1500  # of 11,175

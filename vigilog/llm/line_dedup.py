@@ -15,6 +15,7 @@ kept, all others are taken out of their documents.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Registry, documents, join_small, map_rows, staged, text_bytes
-from .linking import components, cross_pairs, hub_pairs
+from .linking import components, cross_pairs, main_pairs
 
 ops = Registry()
 
@@ -32,6 +33,7 @@ BLOCKS = 8  # of 32 bits; 99 percent of the pairs that just reach 85 percent agr
 POWER = 3  # of the random weights; see above
 LIGHT = 64.0
 SLICE_BYTES = 1 << 20  # of texts that are sketched at once, or one longer line
+CELLS = 8  # 64-bit words of the parities of lines that are still apart after the hubs
 MARKS = 2_000_000  # rows and line numbers that are sent to the texts instead of shuffling those
 RANKED = 50_000  # words that keep their counts, the most common ones; all others weigh as if they came once
 
@@ -304,17 +306,27 @@ def word_distance(a: list, b: list, most: int) -> int:
     return score
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line) for ``wanted`` (id, doc_id, row, at): the normalised lines, from their documents."""
+def parities(words: list[bytes]) -> list[int]:
+    """The parity of the words in each of 64 * ``CELLS`` cells."""
+    odd = 0
+    for word in words:
+        odd ^= 1 << (zlib.crc32(word) % (64 * CELLS))
+    return np.frombuffer(odd.to_bytes(8 * CELLS, "little"), "<i8").tolist()
+
+
+def _of_lines(docs: DataFrame, wanted: DataFrame, take: Callable[[list[bytes]], dict], schema: str) -> DataFrame:
+    """(id, ...) for ``wanted`` (id, doc_id, row, at): what ``take`` makes of the words of each, from their documents."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def make() -> Callable:
         def work(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"id": [], "line": []}
+            out: dict[str, list] = {c: [] for c in ("id", *names)}
             for text, places in zip(rows["text"], rows["places"]):
                 lines = text.split(b"\n")
                 for place in places:
                     out["id"].append(place["id"])
-                    out["line"].append(b" ".join(split_words(lines[place["at"]])))
+                    for name, value in take(split_words(lines[place["at"]])).items():
+                        out[name].append(value)
             return out
 
         return work
@@ -322,24 +334,24 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     places = staged(wanted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "id")).alias("places")), "places")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
     rows = join_small(rows.withColumn("row", F.xxhash64("text")), places, ["doc_id", "row"], array="places")
-    found = map_rows(rows.select("text", "places"), make, "id bigint, line binary")
-    return found.groupBy("id").agg(F.first("line").alias("line"))  # repeated rows give a line twice
+    found = map_rows(rows.select("text", "places"), make, f"id bigint, {schema}")
+    return found.groupBy("id").agg(*[F.first(c).alias(c) for c in names])  # repeated rows give a line twice
 
 
-def _may_match(a: str, b: str, similarity: int) -> Column:
-    """Whether two classes (structs or sides with n, odd, more) can be similar: an edit changes the
-    length by one and two parities at most."""
+def _may_match(a: str, b: str, similarity: int, words: tuple[str, ...] = ("odd", "more")) -> Column:
+    """Whether two classes (structs or sides with n and the parities ``words``) can be similar: an edit that changes
+    the length by one changes one parity at most, any other two."""
     edits = f"floor(greatest({a}.n, {b}.n) * {100 - similarity} / 100)"
-    bits = f"bit_count({a}.odd ^ {b}.odd) + bit_count({a}.more ^ {b}.more)"
-    return F.expr(f"abs({a}.n - {b}.n) <= {edits} AND {bits} <= 2 * {edits}")
+    bits = " + ".join(f"bit_count({a}.{w} ^ {b}.{w})" for w in words)
+    return F.expr(f"abs({a}.n - {b}.n) <= {edits} AND {bits} <= 2 * {edits} - abs({a}.n - {b}.n)")
 
 
-def _close(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """The pairs that can be similar by length and parities."""
-    sketch = F.struct("n", "odd", "more")
-    found = join_small(classes.select(F.col("id").alias("a"), sketch.alias("x")), staged(pairs, "line-pairs"), "a")
-    found = join_small(classes.select(F.col("id").alias("b"), sketch.alias("y")), staged(found, "line-pairs"), "b")
-    return found.where(_may_match("x", "y", similarity)).select("a", "b")
+def _close(pairs: DataFrame, sketches: DataFrame, condition: Column) -> DataFrame:
+    """The pairs whose sketches (id, ...) fulfil the condition on the structs x and y."""
+    sketch = F.struct(*[c for c in sketches.columns if c != "id"])
+    found = join_small(sketches.select(F.col("id").alias("a"), sketch.alias("x")), staged(pairs, "line-pairs"), "a")
+    found = join_small(sketches.select(F.col("id").alias("b"), sketch.alias("y")), staged(found, "line-pairs"), "b")
+    return found.where(condition).select("a", "b")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
@@ -374,30 +386,42 @@ def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int
     rare = F.lit(255) - F.least(F.lit(255), F.floor(8 * F.log2("copies"))).cast("bigint")
     unique = F.shiftleft(rare.cast("bigint"), 55).bitwiseOR(F.monotonically_increasing_id())
     classes = staged(classes.withColumn("id", unique), "line-classes")
-    posted = classes.select(F.explode("keys").alias("key"), "id")
-    shared = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = staged(shared.where(F.col("size") > 1), "line-keys")
-    many = join_small(posted, shared.where("size > 2").select("key"), "key")
-    many = staged(many.withColumn("score", -F.col("id")), "line-postings")
-    two = shared.where("size = 2").select("a", "b")
-    close = staged(_close(two.union(hub_pairs(many)).distinct(), classes, similarity), "close")
+    # Both sides of the join are the same shuffle; lists are never gathered.
+    posted = classes.select(F.explode("keys").alias("key"), "id").repartition("key")
+    shared = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+    postings = staged(posted.join(shared.hint("shuffle_hash"), "key"), "line-postings")
     placed = classes.select("id", "first.*")
-    sketches = classes.select("id", "n", "odd", "more")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ends")
-        return staged(_verified(pairs, _texts_of(docs, join_small(placed, ends, "id")), similarity), "line-links")
-
-    edges = verified(close)
-    groups = staged(components(edges, "line-stars"), "line-groups")
-    # Keys whose classes are still apart: only they are compared any further.
-    component = F.coalesce("component", "id").alias("component")
-    placed_keys = staged(join_small(many.select("key", "id"), groups, "id", "left").select("key", "id", component), "line-open")
-    mixed = placed_keys.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-    rest = staged(placed_keys.join(mixed, "key", "left_semi").select("key", "id", "component"), "line-rest")
-    late = staged(cross_pairs(rest, _may_match("l", "r", similarity), sketches), "late")
-    edges = edges.union(verified(late))
-    groups = staged(components(edges, "line-stars"), "line-groups")
+        lines = _of_lines(docs, join_small(placed, ends, "id"), lambda words: {"line": b" ".join(words)}, "line binary")
+        return staged(_verified(pairs, lines, similarity), "line-links")
+
+    def still_open(postings: DataFrame, groups: DataFrame) -> DataFrame:
+        """Postings of the keys whose classes are still apart, with their components."""
+        component = F.coalesce("component", "id").alias("component")
+        all_ = staged(join_small(postings.select("key", "id"), groups, "id", "left").select("key", "id", component), "line-open")
+        mixed = all_.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+        return staged(all_.join(mixed, "key", "left_semi").select("key", "id", "component"), "line-rest")
+
+    def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
+        stars = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return staged(components(stars.union(edges), "line-stars"), "line-groups")
+
+    first = postings.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    close = staged(_close(first, classes.select("id", "n", "odd", "more"), _may_match("x", "y", similarity)), "close")
+    groups = staged(components(verified(close), "line-stars"), "line-groups")
+    # Only classes that are still apart under a key of three or more are compared any further, by more parities:
+    # first with one more member of the key's largest group, then those that this leaves apart with each other.
+    rest = still_open(postings.where("size > 2"), groups)
+    wanted = join_small(placed, staged(rest.select("id").distinct(), "line-ends"), "id")
+    sketches = staged(_of_lines(docs, wanted, lambda words: {"n": len(words), "bits": parities(words)}, "n int, bits array<bigint>"), "line-sketches")
+    cells = tuple(f"bits[{i}]" for i in range(CELLS))
+    again = staged(_close(main_pairs(rest), sketches, _may_match("x", "y", similarity, cells)), "again")
+    groups = merged(groups, verified(again))
+    rest = still_open(rest, groups)
+    late = staged(cross_pairs(rest, _may_match("l", "r", similarity, cells), sketches), "late")
+    groups = merged(groups, verified(late))
     # Most classes are one line and linked with nothing: only the others have lines to take out.
     linked = staged(join_small(classes.select("id", "print", "first"), groups, "id"), "line-linked")
     firsts = linked.groupBy("component").agg(F.min("first").alias("kept"))

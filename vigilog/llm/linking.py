@@ -29,6 +29,16 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
     )
 
 
+def main_pairs(postings: DataFrame) -> DataFrame:
+    """Distinct (a, b) of postings (key, id, component): a is outside the largest component of its key, b is the
+    one of that component's members under the key that a hash draws."""
+    drawn = F.min(F.struct(F.xxhash64("id").alias("hash"), "id")).getField("id").alias("id")
+    sizes = postings.groupBy("key", "component").agg(F.count("*").alias("n"), drawn)
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "id")).alias("main"))
+    pairs = postings.join(main, "key").where("component <> main.component")
+    return pairs.select(F.col("id").alias("a"), F.col("main.id").alias("b")).distinct()
+
+
 def cross_pairs(postings: DataFrame, condition: Column | None = None, sketches: DataFrame | None = None) -> DataFrame:
     """Distinct (a, b) of postings (key, id, component) under one key in different components.
 
