@@ -333,7 +333,7 @@ def _of_lines(docs: DataFrame, wanted: DataFrame, take: Callable[[list[bytes]],
 
     places = staged(wanted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "id")).alias("places")), "places")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
-    rows = join_small(rows.withColumn("row", F.xxhash64("text")), places, ["doc_id", "row"], array="places")
+    rows = join_small(rows.withColumn("row", F.xxhash64("text")), places, ["doc_id", "row"], array="places", limit=MARKS)
     found = map_rows(rows.select("text", "places"), make, f"id bigint, {schema}")
     return found.groupBy("id").agg(*[F.first(c).alias(c) for c in names])  # repeated rows give a line twice
 
