@@ -152,3 +152,54 @@ def test_lines_beyond_the_similarity_are_not_listed_in_pairs(make, words, monkey
     found = dedup_lines(make([(i, _changed(r, base, 6).replace("z", f"z{i}")) for i in range(150)])).collect()
     assert sum(x.n_removed for x in found) >= 1
     assert listed["late"] < 1500  # of 11,175
+
+
+def test_lines_are_named_to_the_tasks_in_parts_and_texts_are_split_twice(make, words, monkeypatch):
+    """What is sent at once does not grow with the lines that are compared, nor the times that the texts are read."""
+    import vigilog.llm.line_dedup as module
+
+    r = random.Random(11)
+    lines = [words(i, 30) for i in range(40)]
+    rows = [(i, line) for i, line in enumerate(lines)] + [(100 + i, _changed(r, line, 2)) for i, line in enumerate(lines)]
+    sent, reads = [], []
+
+    def counted(df, name, staged_texts=module.staged_texts):
+        out = staged_texts(df, name)
+        if name == "line-texts":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "PLACES", 30)
+    monkeypatch.setattr(module, "staged_texts", counted)
+    monkeypatch.setattr(module, "text_bytes", lambda *a, text_bytes=module.text_bytes: reads.append(a) or text_bytes(*a))
+    found = dedup_lines(make(rows)).collect()
+    assert {x.doc_id for x in found if x.n_removed} >= set(range(100, 140))
+    assert sum(sent) >= 80 and max(sent) <= 45
+    assert len(reads) == 3  # words counted, lines sketched, and the result
+
+
+def test_blocks_are_the_signs_of_the_summed_weights(words):
+    """Whether one pair outweighs the others or not."""
+    import numpy as np
+
+    import vigilog.llm.line_dedup as module
+
+    lines = Lines([words(i, 8 + i).encode() for i in range(40)], 32)
+    counts = np.random.default_rng(5).integers(1, 50, len(lines.hashes)).astype(float)
+    got = module.simhash_blocks(lines.hashes, counts, lines.starts)
+    for k, (low, n) in enumerate(zip(lines.starts.tolist(), lines.words.tolist())):
+        h, c = lines.hashes[low : low + n], counts[low : low + n]
+        pairs = module._mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+        for block in range(module.BLOCKS):
+            own = module._mixed(pairs + np.uint64((block + 1) * 0xD1B54A32D192ED03 % 2**64))
+            weights = 1 / (c[:-1] * c[1:]) / (((own >> np.uint64(32)).astype(float) + 1) / 2.0**32) ** 3
+            own, weights = own[weights >= weights.max() / module.LIGHT], weights[weights >= weights.max() / module.LIGHT]
+            sums = [sum(w if int(x) >> bit & 1 else -w for x, w in zip(own, weights)) for bit in range(32)]
+            assert [int(got[k, block]) >> bit & 1 for bit in range(32)] == [int(x > 0) for x in sums]
+
+
+def test_long_lines_of_few_words_are_compared_as_they_are(make):
+    """They have no blocks; equal ones are copies still."""
+    few = "".join(chr(97 + i % 26) for i in range(40)) + " two three"
+    got = {x.doc_id: x.n_removed for x in dedup_lines(make([(1, few), (2, few.upper()), (3, few + " x")])).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}

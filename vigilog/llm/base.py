@@ -25,6 +25,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_texts(df: DataFrame, name: str) -> DataFrame:
+    """As ``staged``, for tables that hold texts: packed closer."""
+    path = work_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_small(
     rows: DataFrame,
     keys: DataFrame,

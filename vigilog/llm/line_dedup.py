@@ -17,12 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Registry, documents, join_small, map_rows, staged, text_bytes
+from .base import Registry, documents, join_small, map_rows, staged, staged_texts, text_bytes
 from .linking import components, cross_pairs, main_pairs
 
 ops = Registry()
@@ -30,31 +31,39 @@ ops = Registry()
 MIN_BYTES = 32  # shorter normalised lines are ordinary language and stay
 SIMILARITY = 85  # percent of the words of the longer line that no edit touches
 BLOCKS = 8  # of 32 bits; 99 percent of the pairs that just reach 85 percent agree in one or more
-POWER = 3  # of the random weights; see above
 LIGHT = 64.0
-SLICE_BYTES = 1 << 20  # of texts that are sketched at once, or one longer line
+SLICE_BYTES = 1 << 18  # of texts that are sketched at once, or one longer line
 CELLS = 8  # 64-bit words of the parities of lines that are still apart after the hubs
-MARKS = 2_000_000  # rows and line numbers that are sent to the texts instead of shuffling those
+MARKS = 2_000_000  # rows and line numbers that are sent to the texts at the end instead of shuffling those
+PLACES = 250_000  # lines that are named to the tasks at once
 RANKED = 50_000  # words that keep their counts, the most common ones; all others weigh as if they came once
 
 _FROM_E0 = re.compile(rb"[\xe0-\xf4]")  # first bytes of characters from U+0800 on
-_INSIDE = re.compile(rb"(?<=[0-9])[!-/:-@\[-`{-~]+(?=[0-9])")
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+# Marks between digits, in a text with 0 for each digit, a dot for each mark and blanks for all else.
+_INSIDE = re.compile(rb"0\.+(?=0)")
+_DIGIT_OR_MARK = bytes(0x30 if chr(c) in "0123456789" else 0x2E if c in _MARKS else 0x20 for c in range(256))
 # Characters of scripts that are written without blanks: each is a word.
 _DENSE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def normaliser(digits: bool = True) -> Callable[[bytes], bytes]:
     """Lower-cases ASCII letters and drops ASCII marks; with ``digits`` all digits count as one."""
-    marks = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
     table = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     if digits:
         table = table.translate(bytes.maketrans(b"123456789", b"000000000"))
-    return lambda line: line.translate(table, marks)
+    return lambda line: line.translate(table, _MARKS)
 
 
 def _numbered(line: bytes, normal: Callable[[bytes], bytes] = normaliser(digits=False)) -> bytes:
     """Normalised with its digits; marks between digits part them, so that other numbers stay other words."""
-    return normal(_INSIDE.sub(b" ", line))
+    inside = [found.span() for found in _INSIDE.finditer(line.translate(_DIGIT_OR_MARK))]
+    if inside:
+        parted = bytearray(line)
+        for digit, end in inside:
+            parted[digit + 1 : end] = b" " * (end - digit - 1)
+        line = bytes(parted)
+    return normal(line)
 
 
 def split_words(line: bytes) -> list[bytes]:
@@ -80,20 +89,29 @@ def simhash_blocks(hashes: np.ndarray, counts: np.ndarray, starts: np.ndarray) -
     rare[:-1] = 1.0 / (counts[:-1] * counts[1:])
     rare[starts[1:] - 1] = 0.0  # the last word of a line has no next one
     line = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(hashes)))
-    out = np.empty((len(starts), BLOCKS), np.int64)
+    out = np.empty((len(starts), BLOCKS), np.uint32)
     for block in range(BLOCKS):
         own = _mixed(pairs + np.uint64((block + 1) * 0xD1B54A32D192ED03 % 2**64))
-        drawn = ((own >> np.uint64(32)).astype(np.float32) + np.float32(1)) * np.float32(2.0**-32)
-        weights = rare / drawn**POWER
+        drawn = (own >> np.uint64(32)).astype(np.float32)
+        drawn += np.float32(1)
+        drawn *= np.float32(2.0**-32)
+        weights = rare / (drawn * drawn * drawn)  # the power is 3, see above
         heaviest = np.maximum.reduceat(weights, starts)
         voting = np.flatnonzero(weights >= (heaviest / LIGHT)[line])
-        signs = np.unpackbits(own[voting].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1)
-        weight = weights[voting, None]
-        first = np.searchsorted(line[voting], np.arange(len(starts)))
-        sums = np.add.reduceat(np.where(signs, weight, -weight), first, axis=0)
-        bits = np.packbits(sums > 0, axis=1).view("<u4").ravel()
-        out[:, block] = bits.astype(np.int64) | (block << 32)
-    return out
+        weight, voter = weights[voting], line[voting]
+        first = np.searchsorted(voter, np.arange(len(starts)))
+        # Where one pair outweighs all others together, its signs are the block.
+        own = own[voting].astype("<u4")
+        top = np.flatnonzero(weight == heaviest[voter])
+        out[voter[top], block] = own[top]
+        split = np.add.reduceat(weight, first) >= np.float32(1.99) * heaviest
+        mine = split[voter]
+        if mine.any():
+            weight, voter = weight[mine, None], voter[mine]
+            signs = np.unpackbits(own[mine].view(np.uint8).reshape(-1, 4), axis=1)
+            sums = np.add.reduceat(np.where(signs, weight, -weight), np.flatnonzero(np.diff(voter, prepend=-1)), axis=0)
+            out[split, block] = np.packbits(sums > 0, axis=1).view("<u4").ravel()
+    return out.view(np.int32)
 
 
 # What a byte of a normalised text is: part of a word, a blank, the end of a line, or the seam of two characters
@@ -105,39 +123,38 @@ _KINDS[0x0A], _KINDS[0x01] = _END, _SEAM
 
 
 class Lines:
-    """The lines of one or more texts that take part: their places and the hashes of their words.
+    """The lines of one or more texts that take part: their places, normalised texts and the hashes of their words.
 
     Everything is one array operation over the bytes of the texts. A word's hash is a polynomial of its
-    bytes, mixed with its length.
+    bytes, mixed with its length: the difference of two running sums, brought to the power at which a word begins.
     """
 
     def __init__(self, texts: list[bytes], min_bytes: int) -> None:
         raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         lengths = np.diff(np.flatnonzero(raw == 0x0A), prepend=-1) - 1
-        data = np.frombuffer(b"\n".join([*map(_seamed, map(_numbered, texts)), b""]), np.uint8)
+        normal = b"\n".join([*map(_seamed, map(_numbered, texts)), b""])
+        data = np.frombuffer(normal, np.uint8)
         kinds = _KINDS[data]
-        word = kinds == _WORD
-        before = np.append(np.uint8(_END), kinds[:-1])
-        first = np.flatnonzero(word & (before != _WORD))
-        at = np.flatnonzero(word)
-        sizes = np.diff(np.append(np.searchsorted(at, first), len(at)))
+        edges = np.flatnonzero(np.diff(kinds == _WORD, prepend=False))
+        first, last = edges[::2], edges[1::2]  # the last byte ends a line, so each word has an end
+        sizes = last - first
         ends = np.flatnonzero(kinds == _END)
-        line = np.searchsorted(ends, first)
-        n_lines = len(ends)
-        size = np.bincount(line, sizes, n_lines) + np.bincount(line, before[first] != _SEAM, n_lines)
-        self.words = np.bincount(line, minlength=n_lines)
-        taken = (lengths >= min_bytes) & (size > min_bytes)
+        upto = np.searchsorted(first, ends)
+        words = np.diff(upto, prepend=0)
+        room = sizes + (kinds[first - 1] != _SEAM)  # at 0 this is the end of the last line
+        total = np.append(0, np.cumsum(room))[upto]
+        taken = (lengths >= min_bytes) & (np.diff(total, prepend=0) > min_bytes)
         self.at = np.flatnonzero(taken)
-        mine = np.repeat(taken[line], sizes)
-        chosen = taken[line]
-        at, sizes, first = at[mine], sizes[chosen], first[chosen]
-        offset = at - np.repeat(first, sizes)
-        values = _BYTE_VALUES[data[at]] * _powers(int(sizes.max(initial=0)))[offset]
-        places = np.cumsum(sizes) - sizes
-        sums = np.add.reduceat(values, places) if len(places) else np.empty(0, np.uint64)
-        self.hashes = _mixed(sums + sizes.astype(np.uint64))
-        self.words = self.words[self.at]
+        chosen = np.repeat(taken, words)
+        first, last, sizes = first[chosen], last[chosen], sizes[chosen]
+        powers, inverse = _powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[data] * powers[: len(data)], out=sums[1:])
+        self.hashes = _mixed((sums[last] - sums[first]) * inverse[first] + sizes.astype(np.uint64))
+        self.words = words[self.at]
         self.starts = np.cumsum(self.words) - self.words
+        plain = normal.replace(b"\x01", b" ")
+        self.texts = [plain[low:high] for low, high in zip((np.append(-1, ends)[self.at] + 1).tolist(), ends[self.at].tolist())]
 
     def prints(self) -> np.ndarray:
         """Two 64-bit sums over the words of each line and their places."""
@@ -151,21 +168,25 @@ class Lines:
 
 
 _BYTE_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_POWERS = [np.ones(1, np.uint64)]
+_BASE = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(most: int) -> np.ndarray:
-    """Powers of the polynomial's base up to at least ``most`` of them."""
-    if len(_POWERS[0]) < most:
-        base = np.full(max(64, 2 * most), 0x5851F42D4C957F2D, np.uint64)
-        base[0] = 1
-        _POWERS[0] = np.multiply.accumulate(base)
-    return _POWERS[0]
+    """Powers of the polynomial's base and of its inverse up to at least ``most`` of them."""
+    if _POWERS and _POWERS[0].shape[1] >= most:
+        return _POWERS[0]
+    bases = np.ones((2, max(2 * SLICE_BYTES, most)), np.uint64)
+    bases[0, 1:], bases[1, 1:] = _BASE, pow(_BASE, -1, 2**64)
+    powers = np.multiply.accumulate(bases, axis=1)
+    if most <= 8 * SLICE_BYTES:  # those of one very long line are not kept
+        _POWERS[:] = [powers]
+    return powers
 
 
 def _seamed(normal: bytes) -> bytes:
     """A normalised text with a mark on both sides of each character of a script without blanks."""
-    if not _FROM_E0.search(normal):
+    if normal.isascii() or not _FROM_E0.search(normal):
         return normal
     return _DENSE.sub("\x01\\1\x01", normal.decode("utf-8", "replace")).encode()
 
@@ -219,15 +240,31 @@ def _word_counts(docs: DataFrame, min_bytes: int) -> tuple[np.ndarray, np.ndarra
     return words[order], np.array([r["n"] for r in rows], np.float64)[order]
 
 
+def _weights(common: np.ndarray, ranks: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The ranks of word hashes among the ``common`` ones, which are in order; 1 for all others."""
+    common, ranks = np.append(common, np.uint64(2**64 - 1)), np.append(ranks, 1.0)
+    begins = np.searchsorted(common, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
+
+    def of(hashes: np.ndarray) -> np.ndarray:
+        at = begins[hashes >> np.uint64(46)]
+        while (behind := common[at] < hashes).any():
+            at += behind
+        return np.where(common[at] == hashes, ranks[at], 1.0)
+
+    return of
+
+
 def line_table(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int = SIMILARITY, counts: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """A row per line that takes part: doc_id, row (hash of the text), at (from 0), print, its number of
-    words n, 128 parities of its words (odd, more) and the blocks of its SimHash (keys).
+    words n, 128 parities of its words (odd, more), the blocks of its SimHash (keys) and its normalised text (line).
 
-    Lines of so few words that no edit is allowed have no keys. Very long texts are taken in parts.
+    Lines of so few words that no edit is allowed have neither keys nor line. Very long texts are taken in parts.
     """
     common, ranks = counts or (np.empty(0, np.uint64), np.empty(0))
 
     def make() -> Callable:
+        weights = _weights(common, ranks)
+
         def sketch(parts: list[tuple[int, int, int, bytes]], out: dict[str, list]) -> None:
             """Rows of (doc_id, row, lines before, text)."""
             lines = Lines([text for _, _, _, text in parts], min_bytes)
@@ -246,16 +283,13 @@ def line_table(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int = SI
             for name, mask in (("odd", low), ("more", ~low)):
                 out[name] += np.bitwise_xor.reduceat(np.where(mask, one, np.uint64(0)), starts).view("<i8").tolist()
             out["n"] += lines.words.tolist()
-            weights = np.ones(len(hashes))
-            if len(common):
-                near = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                weights = np.where(common[near] == hashes, ranks[near], 1.0)
             fuzzy = lines.words * (100 - similarity) // similarity > 0
-            blocks = simhash_blocks(hashes, weights, starts)
+            blocks = simhash_blocks(hashes, weights(hashes), starts)
             out["keys"] += [k if f else [] for k, f in zip(blocks.tolist(), fuzzy.tolist())]
+            out["line"] += [x if f else None for x, f in zip(lines.texts, fuzzy.tolist())]
 
         def work(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "row", "at", "print", "n", "odd", "more", "keys")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "row", "at", "print", "n", "odd", "more", "keys", "line")}
             waiting: list[tuple[int, int, int, bytes]] = []
             size = 0
             for doc, row, text in zip(rows["doc_id"], rows["row"], rows["text"]):
@@ -273,7 +307,7 @@ def line_table(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int = SI
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
     rows = rows.where("doc_id IS NOT NULL").withColumn("row", F.xxhash64("text"))
-    return map_rows(rows, make, "doc_id bigint, row bigint, at int, print binary, n int, odd bigint, more bigint, keys array<bigint>")
+    return map_rows(rows, make, "doc_id bigint, row bigint, at int, print binary, n int, odd bigint, more bigint, keys array<int>, line binary")
 
 
 def word_distance(a: list, b: list, most: int) -> int:
@@ -314,28 +348,21 @@ def parities(words: list[bytes]) -> list[int]:
     return np.frombuffer(odd.to_bytes(8 * CELLS, "little"), "<i8").tolist()
 
 
-def _of_lines(docs: DataFrame, wanted: DataFrame, take: Callable[[list[bytes]], dict], schema: str) -> DataFrame:
-    """(id, ...) for ``wanted`` (id, doc_id, row, at): what ``take`` makes of the words of each, from their documents."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def make() -> Callable:
-        def work(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {c: [] for c in ("id", *names)}
-            for text, places in zip(rows["text"], rows["places"]):
-                lines = text.split(b"\n")
-                for place in places:
-                    out["id"].append(place["id"])
-                    for name, value in take(split_words(lines[place["at"]])).items():
-                        out[name].append(value)
-            return out
+def _of_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, line) for ``wanted`` (id, place) of the lines with these places.
 
-        return work
-
-    places = staged(wanted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "id")).alias("places")), "places")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
-    rows = join_small(rows.withColumn("row", F.xxhash64("text")), places, ["doc_id", "row"], array="places", limit=MARKS)
-    found = map_rows(rows.select("text", "places"), make, f"id bigint, {schema}")
-    return found.groupBy("id").agg(*[F.first(c).alias(c) for c in names])  # repeated rows give a line twice
+    Places are in the order of the files of ``lines``: one part of them after the other is sent to the files that
+    hold it, so no text is shuffled and what is sent at once is bounded.
+    """
+    wanted = staged(wanted, "line-places")
+    parts = max(1, -(-wanted.count() // PLACES))
+    cuts = wanted.approxQuantile("place", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    found = []
+    for low, high in zip([-1, *map(int, cuts)], [*map(int, cuts), 2**63 - 1]):
+        within = F.col("place").between(low + 1, high)
+        part = lines.select("place", "line").where(within).join(F.broadcast(wanted.where(within)), "place")
+        found.append(staged_texts(part.select("id", "line"), "line-texts"))
+    return reduce(DataFrame.union, found)
 
 
 def _may_match(a: str, b: str, similarity: int, words: tuple[str, ...] = ("odd", "more")) -> Column:
@@ -375,27 +402,52 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
     return map_rows(pairs.join(a, "a").join(b, "b"), make, "a bigint, b bigint")
 
 
+def _sketches(lines: DataFrame) -> DataFrame:
+    """(id, n, bits) of lines (id, line): the number of their words and their parities."""
+
+    def make() -> Callable:
+        def work(rows: dict[str, list]) -> dict[str, list]:
+            words = [line.split() for line in rows["line"]]
+            return {"id": rows["id"], "n": [len(w) for w in words], "bits": [parities(w) for w in words]}
+
+        return work
+
+    return map_rows(lines, make, "id bigint, n int, bits array<bigint>")
+
+
 def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """All lines that take part, and those to take out: (doc_id, row, at) of all of a group but its first."""
-    lines = staged(line_table(docs, min_bytes, similarity, _word_counts(docs, min_bytes)), "lines")
-    classes = lines.groupBy("print").agg(
-        F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count("*").alias("copies"),
-        *[F.first(c).alias(c) for c in ("n", "odd", "more", "keys")],
+    lines = line_table(docs, min_bytes, similarity, _word_counts(docs, min_bytes))
+    lines = staged_texts(lines.withColumn("place", F.monotonically_increasing_id()), "lines")
+    # All columns have a fixed width, so classes are hashed and not sorted.
+    blocks = [F.get("keys", F.lit(i)).alias(f"block{i}") for i in range(BLOCKS)]
+    alike = ("n", "odd", "more", *[f"block{i}" for i in range(BLOCKS)])
+    classes = lines.select("print", "place", "n", "odd", "more", *blocks).groupBy("print").agg(
+        F.min("place").alias("place"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in alike]
     )
     # Ids are fixed by writing them; lines with most copies get the smallest ones.
     rare = F.lit(255) - F.least(F.lit(255), F.floor(8 * F.log2("copies"))).cast("bigint")
     unique = F.shiftleft(rare.cast("bigint"), 55).bitwiseOR(F.monotonically_increasing_id())
     classes = staged(classes.withColumn("id", unique), "line-classes")
     # Both sides of the join are the same shuffle; lists are never gathered.
-    posted = classes.select(F.explode("keys").alias("key"), "id").repartition("key")
+    posted = classes.where("block0 IS NOT NULL").select(F.posexplode(F.array(*alike[3:])).alias("block", "bits"), "id")
+    key = F.shiftleft(F.col("block").cast("bigint"), 32) + F.col("bits")
+    posted = posted.select(key.alias("key"), "id").repartition("key")
     shared = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
     postings = staged(posted.join(shared.hint("shuffle_hash"), "key"), "line-postings")
-    placed = classes.select("id", "first.*")
+    placed = classes.select("id", "place")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        return _of_lines(lines, join_small(placed, staged(ids.distinct(), "line-ends"), "id"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return staged(_verified(pairs, texts, similarity), "line-links")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ends")
-        lines = _of_lines(docs, join_small(placed, ends, "id"), lambda words: {"line": b" ".join(words)}, "line binary")
-        return staged(_verified(pairs, lines, similarity), "line-links")
+    def among(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return verified(pairs, join_small(texts, staged(ends(pairs).distinct(), "line-ends"), "id", "left_semi"))
 
     def still_open(postings: DataFrame, groups: DataFrame) -> DataFrame:
         """Postings of the keys whose classes are still apart, with their components."""
@@ -410,25 +462,26 @@ def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int
 
     first = postings.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     close = staged(_close(first, classes.select("id", "n", "odd", "more"), _may_match("x", "y", similarity)), "close")
-    groups = staged(components(verified(close), "line-stars"), "line-groups")
+    groups = staged(components(verified(close, texts(ends(close))), "line-stars"), "line-groups")
     # Only classes that are still apart under a key of three or more are compared any further, by more parities:
     # first with one more member of the key's largest group, then those that this leaves apart with each other.
     rest = still_open(postings.where("size > 2"), groups)
-    wanted = join_small(placed, staged(rest.select("id").distinct(), "line-ends"), "id")
-    sketches = staged(_of_lines(docs, wanted, lambda words: {"n": len(words), "bits": parities(words)}, "n int, bits array<bigint>"), "line-sketches")
+    apart = texts(rest.select("id"))
+    sketches = staged(_sketches(apart), "line-sketches")
     cells = tuple(f"bits[{i}]" for i in range(CELLS))
     again = staged(_close(main_pairs(rest), sketches, _may_match("x", "y", similarity, cells)), "again")
-    groups = merged(groups, verified(again))
+    groups = merged(groups, among(again, apart))
     rest = still_open(rest, groups)
     late = staged(cross_pairs(rest, _may_match("l", "r", similarity, cells), sketches), "late")
-    groups = merged(groups, verified(late))
+    groups = merged(groups, among(late, apart))
     # Most classes are one line and linked with nothing: only the others have lines to take out.
-    linked = staged(join_small(classes.select("id", "print", "first"), groups, "id"), "line-linked")
-    firsts = linked.groupBy("component").agg(F.min("first").alias("kept"))
-    copied = join_small(classes.where("copies > 1").select("id", "print", "first"), groups, "id", "left_anti")
-    of_print = linked.join(firsts, "component").select("print", "kept").union(copied.select("print", F.col("first").alias("kept")))
+    linked = join_small(classes.select("id", "print"), groups, "id").select("print", F.col("component").alias("group"))
+    copied = join_small(classes.where("copies > 1").select("id", "print"), groups, "id", "left_anti")
+    of_print = staged(linked.union(copied.select("print", F.col("id").alias("group"))), "line-linked")
     lines = lines.select("doc_id", "row", "at", "print")
-    out = join_small(lines, staged(of_print, "line-kept"), "print").where(F.struct("doc_id", "row", "at") != F.col("kept"))
+    many = staged(join_small(lines, of_print, "print").drop("print"), "line-many")
+    firsts = staged(many.groupBy("group").agg(F.min(F.struct("doc_id", "row", "at")).alias("kept")), "line-kept")
+    out = join_small(many, firsts, "group").where(F.struct("doc_id", "row", "at") != F.col("kept"))
     return lines, out.select("doc_id", "row", "at")
 
 
