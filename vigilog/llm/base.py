@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from vigilog.session import work_folder
 
 BATCH_BYTES = 8 << 20
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 40 << 20
+TABLE_BYTES = 64  # of a row in a hash table, for its place
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,20 +34,39 @@ def staged_texts(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(
-    rows: DataFrame,
-    keys: DataFrame,
-    on: str | list[str],
-    how: str = "inner",
-    array: str | None = None,
-    limit: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join wide rows with a staged table of short rows: sent to all executors up to ``limit``
-    rows, so that the wide rows stay where they are, and shuffled beyond. The elements of
-    the column ``array`` count as rows."""
-    size = F.count(F.lit(1)) if array is None else F.sum(1 + F.greatest(F.size(F.col(array)), F.lit(0)).cast("bigint"))
-    small = (keys.agg(size).first()[0] or 0) <= limit
-    return rows.join(F.broadcast(keys) if small else keys, on, how)
+def row_bytes(rows: DataFrame) -> Column:
+    """About the bytes that the rows take in the table that Spark sends to all executors, summed: their values, 8 for
+    each column and what the table itself needs. Null if there are none."""
+
+    def beyond(value: Column, kind: DataType) -> Column:
+        """Of a value, besides the 8 of its column."""
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+        if isinstance(kind, StructType):
+            return sum((8 + beyond(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(8).cast("bigint"))
+        if isinstance(kind, MapType):
+            return beyond(F.map_keys(value), ArrayType(kind.keyType)) + beyond(F.map_values(value), ArrayType(kind.valueType))
+        if isinstance(kind, ArrayType):
+            size = 16 + 8 * F.greatest(F.size(value), F.lit(0)).cast("bigint")
+            if not isinstance(kind.elementType, (StringType, BinaryType, StructType, MapType, ArrayType)):
+                return size
+            rest = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + beyond(x, kind.elementType))
+            return size + F.coalesce(rest, F.lit(0).cast("bigint"))
+        return F.lit(0).cast("bigint")
+
+    each = F.lit(8 + TABLE_BYTES).cast("bigint")
+    return F.sum(sum((8 + beyond(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema.fields), each))
+
+
+def join_small(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join wide rows with a staged table: sent to all executors up to ``BROADCAST_BYTES``, so that the wide rows stay
+    where they are, and shuffled beyond.
+
+    The driver builds what is sent and holds it two or three times, so its bytes count, however many rows they are. Spark
+    is not left to send more on its own account: it goes by the size of the packed files.
+    """
+    small = (keys.agg(row_bytes(keys)).first()[0] or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 
 def text_bytes(column: str = "text"):
@@ -60,7 +81,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     batches are cut so that one with long texts isn't turned into objects at once.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     out = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)

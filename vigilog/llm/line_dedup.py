@@ -34,7 +34,6 @@ BLOCKS = 8  # of 32 bits; 99 percent of the pairs that just reach 85 percent agr
 LIGHT = 64.0
 SLICE_BYTES = 1 << 18  # of texts that are sketched at once, or one longer line
 CELLS = 8  # 64-bit words of the parities of lines that are still apart after the hubs
-MARKS = 2_000_000  # rows and line numbers that are sent to the texts at the end instead of shuffling those
 PLACES = 250_000  # lines that are named to the tasks at once
 RANKED = 50_000  # words that keep their counts, the most common ones; all others weigh as if they came once
 
@@ -221,7 +220,8 @@ def _slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[list[bytes]
 def _word_counts(docs: DataFrame, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``RANKED`` most common words in order, and how often the lines of all documents have them.
 
-    They only weigh word pairs; the driver and each task hold no more than this table.
+    They only weigh word pairs; the driver and each task hold no more than this table. It is cut out of all words
+    by tasks, after those in too rare an eighth of an octave are left out: an ordered collect brings so many of each task.
     """
 
     def make() -> Callable:
@@ -234,7 +234,14 @@ def _word_counts(docs: DataFrame, min_bytes: int) -> tuple[np.ndarray, np.ndarra
 
     texts = docs.where("doc_id IS NOT NULL").select(text_bytes().alias("text"))
     counts = map_rows(texts, make, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "word").limit(RANKED).collect()
+    counts = staged(counts.withColumn("octave", F.floor(8 * F.log2("n")).cast("int")), "line-words")
+    least, left = 0, RANKED
+    for octave, size in sorted(counts.groupBy("octave").count().collect(), reverse=True):
+        if left <= 0:
+            break
+        least, left = octave, left - size
+    common = counts.where(F.col("octave") >= least).orderBy(F.desc("n"), "word").limit(RANKED)
+    rows = staged(common.select("word", "n"), "line-words").collect()
     words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(words)
     return words[order], np.array([r["n"] for r in rows], np.float64)[order]
@@ -505,7 +512,7 @@ def dedup_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, similarity: int = S
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     rows = rows.withColumn("__doc", F.col("doc_id").cast("bigint")).withColumn("__row", F.xxhash64(text_bytes()))
-    rows = join_small(rows, marks, ["__doc", "__row"], "left", array="__cut", limit=MARKS)
+    rows = join_small(rows, marks, ["__doc", "__row"], "left")
     left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__cut", i))
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return rows.select(

@@ -45,10 +45,13 @@ def cross_pairs(postings: DataFrame, condition: Column | None = None, sketches:
     A pair with many common keys is listed under the least of them alone: each posting brings the lesser keys of its
     id, and a pair that has one of those in common is left to that. ``condition`` may compare the columns of
     ``sketches`` (id, ...) of the sides ``l`` and ``r``; ids without a sketch are left out.
+
+    Spark sizes the exploded rows by the file of the lists, many times too low, so the joins are told not to send them
+    to all executors.
     """
     lists = postings.groupBy("id").agg(F.first("component").alias("component"), F.sort_array(F.collect_set("key")).alias("keys"))
     lists = staged(lists, "key-lists")
-    each = lists if sketches is None else staged(join_small(sketches, lists, "id", array="keys"), "key-lists")
+    each = lists if sketches is None else staged(join_small(sketches, lists, "id"), "key-lists")
     sizes = lists.select("component", F.explode("keys").alias("key")).groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = (
         sizes.groupBy("key")
@@ -58,8 +61,8 @@ def cross_pairs(postings: DataFrame, condition: Column | None = None, sketches:
     )
     each = each.select("*", F.posexplode("keys").alias("place", "key"))
     each = each.withColumn("lesser", F.slice("keys", F.lit(1), F.col("place"))).drop("keys", "place")
-    left = each.join(mixed, "key").where("component <> main").drop("main").alias("l")
-    right = each.join(mixed, "key").alias("r")
+    left = each.join(mixed.hint("merge"), "key").where("component <> main").drop("main").alias("l")
+    right = each.join(mixed.hint("merge"), "key").alias("r").hint("merge")
     apart = F.expr("l.component <> r.component AND (r.component = r.main OR l.id < r.id)")
     apart = apart if condition is None else apart & condition
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & ~F.arrays_overlap("l.lesser", "r.lesser"))

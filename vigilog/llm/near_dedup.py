@@ -172,7 +172,7 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDT
     posted = posted.select("id", F.xxhash64("at", "value").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
-        posted.join(shared, "key")
+        posted.join(shared.hint("merge"), "key")  # both are many times larger than the file of the classes
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rare"))
         .where(F.size("rare") >= matches)
